@@ -21,6 +21,11 @@ BASE_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Local runs only: the driver JVM is the whole cluster, so give it the heap.
+LOCAL_CONF = {
+    "spark.driver.memory": os.environ.get("LEDGERLAKE_DRIVER_MEMORY", "16g"),
+}
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerlake", extra: dict | None = None) -> SparkSession:
@@ -29,6 +34,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
