@@ -112,7 +112,7 @@ def arithmetic_problems(inv: Column, tolerance: float = 0.01) -> Column:
     total = subtotal + tax, each within ``tolerance``."""
     items = inv["line_items"]
     tol = F.lit(tolerance).cast("decimal(18,4)")
-    amount_sum = F.aggregate(items, F.lit(0).cast("decimal(28,2)"), lambda acc, x: acc + x["amount"])
+    amount_sum = F.aggregate(items, F.lit(0).cast("decimal(28,2)"), lambda acc, x: (acc + x["amount"]).cast("decimal(28,2)"))
     return F.array_compact(F.array(
         F.when(~F.forall(items, lambda x: F.abs(x["amount"] - x["quantity"] * x["unit_price"]) <= tol),
                F.lit("amount")),

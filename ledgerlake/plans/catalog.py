@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlake.plans import q_evaluate, q_identity, q_reuse  # noqa: F401
+from ledgerlake.plans import q_corpus, q_evaluate, q_identity, q_reuse  # noqa: F401
 from ledgerlake.plans.registry import ORACLES, QUERIES
 
 
