@@ -202,3 +202,94 @@ def render_mixed(invoices: DataFrame, seed: int = 0, noise: float = 0.0) -> Data
     if noise:
         out = out.withColumn("text", ocr_noise(F.col("text"), seed, i, noise))
     return out
+
+
+# The rewrite prompt and the five target styles.
+RENDER_PROMPT = (
+    "You are producing training data for a document-extraction model.\n\n"
+    "Rewrite the invoice below as a realistic {style}. Vary the wording, ordering and "
+    "layout naturally — real documents are messy.\n\n"
+    "Hard requirements:\n"
+    "- Every value below must appear in your output, exactly once, unaltered.\n"
+    "- Do not invent, drop, round or recompute any figure.\n"
+    "- Output only the document text. No preamble, no commentary, no code fences.\n\n"
+    "Invoice data:\n{payload}")
+LLM_STYLES = ["scanned invoice with a plain-text line-item table",
+              "email from accounts receivable to a customer",
+              "terse point-of-sale receipt printout",
+              "paragraph of prose summarizing the charges in a records system",
+              "fax cover sheet followed by billing details"]
+MAX_RENDER_ATTEMPTS = 4
+
+
+def indented_json(inv: Column) -> Column:
+    """Invoice struct as two-space indented JSON in declaration order."""
+    from ledgerlake.functions.jsontext import json_quote
+    from ledgerlake.functions.money import plain_number
+
+    def item(x):
+        return F.concat(
+            F.lit('    {\n      "description": '), json_quote(x["description"]),
+            F.lit(',\n      "quantity": '), plain_number(x["quantity"]),
+            F.lit(',\n      "unit_price": '), plain_number(x["unit_price"]),
+            F.lit(',\n      "amount": '), plain_number(x["amount"]), F.lit("\n    }"))
+
+    items = inv["line_items"]
+    items_text = F.when(F.size(items) == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit("[\n"), F.array_join(F.transform(items, item), ",\n"), F.lit("\n  ]")))
+    return F.concat(
+        F.lit('{\n  "vendor": '), json_quote(inv["vendor"]),
+        F.lit(',\n  "invoice_number": '), json_quote(inv["invoice_number"]),
+        F.lit(',\n  "invoice_date": '), json_quote(F.date_format(inv["invoice_date"], "yyyy-MM-dd")),
+        F.lit(',\n  "line_items": '), items_text,
+        F.lit(',\n  "subtotal": '), plain_number(inv["subtotal"]),
+        F.lit(',\n  "tax": '), plain_number(inv["tax"]),
+        F.lit(',\n  "total": '), plain_number(inv["total"]),
+        F.lit(',\n  "currency": '), json_quote(inv["currency"]), F.lit("\n}"))
+
+
+def render_prompt(invoice: Column, style: Column) -> Column:
+    head, rest = RENDER_PROMPT.split("{style}")
+    mid, tail = rest.split("{payload}")
+    return F.concat(F.lit(head), style, F.lit(mid), indented_json(invoice), F.lit(tail))
+
+
+def model_render(prompts: DataFrame, render_factory, prompt_col: str = "prompt",
+                 max_attempts: int = MAX_RENDER_ATTEMPTS, backoff_seconds: float = 0.0) -> DataFrame:
+    """Model-rendered text per prompt through a user-supplied renderer.
+
+    ``render_factory()`` runs once per task and returns ``prompt -> text``.
+    Up to ``max_attempts`` tries with exponential backoff; an empty answer or
+    a final failure drops the record (``rendered`` is NULL and ``error`` set),
+    so callers filter and sort by id afterwards.
+    """
+    import time as _time
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    schema = T.StructType(prompts.schema.fields + [T.StructField("rendered", T.StringType()),
+                                                   T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        render = render_factory()
+        for pdf in batches:
+            texts, errors = [], []
+            for prompt in pdf[prompt_col].tolist():
+                text, err = None, None
+                for attempt in range(max_attempts):
+                    try:
+                        text = (render(prompt) or "").strip() or None
+                        err = None if text else "empty"
+                        if text:
+                            break
+                    except Exception as exc:  # noqa: BLE001 - renderer failures are data
+                        err = f"{type(exc).__name__}: {exc}"
+                    if attempt + 1 < max_attempts and backoff_seconds:
+                        _time.sleep(backoff_seconds * 2 ** attempt)
+                texts.append(text)
+                errors.append(err)
+            yield pdf.assign(rendered=texts, error=errors)
+
+    return prompts.mapInPandas(run, schema)

@@ -132,3 +132,63 @@ def records(spark, sf_dir):
     return inv.select(F.format_string("inv-%06d", "id").alias("id"), F.col("id").alias("index"), "text",
                       build_completion(F.col("invoice")).alias("target"), F.lit("template").alias("style"),
                       "invoice")
+
+
+def prompts(spark, sf_dir):
+    g = generated(spark, sf_dir)
+    inv = as_invoice(g, ["id"])
+    style = C.pick(C.LLM_STYLES, C.draw(SEED, F.col("id"), "llm_style"))
+    return inv.select("id", style.alias("style"), C.render_prompt(F.col("invoice"), style).alias("prompt"))
+
+
+@register("render_prompt", S.WITH_GEN + f"SELECT id, {S.render_prompt_sql()} AS prompt FROM gen")
+def q_render_prompt(spark, sf_dir):
+    return prompts(spark, sf_dir).select("id", "prompt")
+
+
+DROP_EVERY = 7
+
+
+def _stub_renderer_factory():
+    """Deterministic stand-in for a hosted model: rewrites the prompt's
+    invoice block as plain lines; answers empty for every 7th invoice (those
+    records are dropped) and fails transiently on every 5th call."""
+    state = {"calls": 0}
+
+    def render(prompt: str) -> str:
+        import re
+        state["calls"] += 1
+        if state["calls"] % 5 == 0:
+            raise ConnectionError("transient")
+        payload = prompt.split("Invoice data:\n", 1)[1]
+        number = re.search(r'"invoice_number": "[A-Z]+-\d+-(\d+)"', payload)
+        if number and int(number.group(1)) % DROP_EVERY == 0:
+            return ""
+        return "\n".join(line.strip() for line in payload.splitlines() if ":" in line)
+    return render
+
+
+def model_rendered(spark, sf_dir):
+    """Records rendered by the stub model: failures dropped, sorted by id."""
+    out = C.model_render(prompts(spark, sf_dir), _stub_renderer_factory)
+    return out.filter(F.col("rendered").isNotNull())
+
+
+@register("llm_render")
+def q_llm_render(spark, sf_dir):
+    out = model_rendered(spark, sf_dir)
+    return out.select(F.format_string("inv-%06d", "id").alias("id"), F.col("rendered").alias("text"),
+                      "style").orderBy("id")
+
+
+@register("dropped_count", S.WITH_GEN + f"""
+SELECT CAST(count(*) AS BIGINT) AS requested,
+       CAST(count(*) FILTER (WHERE seq % {DROP_EVERY} <> 0) AS BIGINT) AS written,
+       CAST(count(*) FILTER (WHERE seq % {DROP_EVERY} = 0) AS BIGINT) AS dropped
+FROM (SELECT id, CAST(split_part(invoice_number, '-', 3) AS INT) AS seq FROM gen)""")
+def q_dropped_count(spark, sf_dir):
+    requested = generated(spark, sf_dir).select("id")
+    written = model_rendered(spark, sf_dir).select("id", F.lit(1).alias("w"))
+    counts = requested.join(written, "id", "left").agg(
+        F.count(F.lit(1)).alias("requested"), F.count("w").alias("written"))
+    return counts.select("requested", "written", (F.col("requested") - F.col("written")).alias("dropped"))

@@ -139,3 +139,29 @@ GEN_COMPLETION = ("('{\"vendor\":' || " + jq("vendor") + " || ',\"invoice_number
 
 WITH_GEN = "WITH " + GEN_CTE.strip() + "\n"
 WITH_RENDER = "WITH " + GEN_CTE.strip() + "," + RENDER_CTE + "\n"
+
+
+def indented_json() -> str:
+    """DuckDB spelling of corpus.indented_json over gen/rendered columns."""
+    item = ("'    {' || chr(10) || '      \"description\": ' || " + jq("x.description") + " || ',' || chr(10) || "
+            "'      \"quantity\": ' || " + num("x.quantity") + " || ',' || chr(10) || "
+            "'      \"unit_price\": ' || " + num("x.unit_price") + " || ',' || chr(10) || "
+            "'      \"amount\": ' || " + num("x.amount") + " || chr(10) || '    }'")
+    items = ("(CASE WHEN len(line_items) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string("
+             "list_transform(line_items, lambda x: " + item + "), ',' || chr(10)) || chr(10) || '  ]' END)")
+    nl = " || chr(10) || "
+    return ("('{'" + nl + "'  \"vendor\": ' || " + jq("vendor") + " || ','" + nl
+            + "'  \"invoice_number\": ' || " + jq("invoice_number") + " || ','" + nl
+            + "'  \"invoice_date\": ' || to_json(strftime(invoice_date, '%Y-%m-%d')) || ','" + nl
+            + "'  \"line_items\": ' || " + items + " || ','" + nl
+            + "'  \"subtotal\": ' || " + num("subtotal") + " || ','" + nl
+            + "'  \"tax\": ' || " + num("tax") + " || ','" + nl
+            + "'  \"total\": ' || " + num("total") + " || ','" + nl
+            + "'  \"currency\": ' || " + jq("currency") + nl + "'}')")
+
+
+def render_prompt_sql() -> str:
+    head, rest = C.RENDER_PROMPT.split("{style}")
+    mid, tail = rest.split("{payload}")
+    style = pick(C.LLM_STYLES, draw("id", "'llm_style'"))
+    return f"({lit(head)} || {style} || {lit(mid)} || {indented_json()} || {lit(tail)})"
