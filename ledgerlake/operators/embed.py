@@ -15,16 +15,30 @@ from pyspark.sql import functions as F
 DEFAULT_DIMS = 64
 
 
-def _hash_count_batch(texts: pd.Series, dims: int, unit: bool = False) -> pd.Series:
+CACHE_LIMIT = 1 << 20
+
+
+def _hash_count_batch(texts: pd.Series, dims: int, unit: bool = False, cache: dict | None = None) -> pd.Series:
     """Token counts per hashed slot for a batch of already-normalized texts
-    (divided by their Euclidean norm when ``unit``; zero stays zero)."""
+    (divided by their Euclidean norm when ``unit``; zero stays zero).
+
+    ``cache`` memoizes token -> slot: vocabularies repeat heavily, so most
+    tokens are hashed once per task."""
+    cache = {} if cache is None else cache
     out = []
     for text in texts:
         if text is None:
             out.append(None)
             continue
-        slots = [int.from_bytes(hashlib.sha1(tok.encode()).digest()[:4], "big") % dims
-                 for tok in text.split()]
+        if len(cache) > CACHE_LIMIT:
+            cache.clear()
+        slots = []
+        for tok in text.split():
+            slot = cache.get(tok)
+            if slot is None:
+                slot = int.from_bytes(hashlib.sha1(tok.encode()).digest()[:4], "big") % dims
+                cache[tok] = slot
+            slots.append(slot)
         vec = np.bincount(np.asarray(slots, dtype=np.int64), minlength=dims).astype(np.float64)
         norm = float(np.sqrt(vec @ vec))
         out.append(vec / norm if unit and norm > 0 else vec)
@@ -40,9 +54,11 @@ def hash_counts(text, dims: int = DEFAULT_DIMS, unit: bool = False) -> Column:
     token once per slot (array lambdas re-evaluate outer expressions) or needs
     an explode plus two shuffles. Narrow: no shuffle, linear in text size.
     """
+    cache: dict = {}
+
     @F.pandas_udf("array<double>")
     def _counts(texts: pd.Series) -> pd.Series:
-        return _hash_count_batch(texts, dims, unit)
+        return _hash_count_batch(texts, dims, unit, cache)
 
     return _counts(F.col(text) if isinstance(text, str) else text)
 
