@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import text as T
 from ledgerlake.operators.embed import hash_embed
 from ledgerlake.operators.similarity import nearest
+from ledgerlake.session import ensure_checkpoint_dir
 
 DEFAULT_THRESHOLD = 0.95
 DEFAULT_TTL_SECONDS = 86_400
@@ -65,12 +66,12 @@ def lookup_miss(probes: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def semantic_candidates(misses: DataFrame, store: DataFrame, probe_id: str = "probe_id",
-                        threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                        threshold: float = DEFAULT_THRESHOLD, materialized: bool = False) -> DataFrame:
     """Top-1 store entry per probe, kept when similarity >= threshold, with the
     stored fingerprint and answer joined back by key (payload stays out of the
     similarity stage)."""
     top = nearest(misses.select(probe_id, "embedding"), store.select("exact_key", "embedding"),
-                  probe_id, "exact_key", "embedding", threshold)
+                  probe_id, "exact_key", "embedding", threshold, materialize=not materialized)
     meta = store.select(F.col("exact_key").alias("match_key"), F.col("digits").alias("match_digits"),
                         "answer")
     return top.join(meta, "match_key", "left")
@@ -79,7 +80,15 @@ def semantic_candidates(misses: DataFrame, store: DataFrame, probe_id: str = "pr
 def two_tier_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_id",
                     threshold: float = DEFAULT_THRESHOLD, require_numeric_match: bool = True,
                     semantic_enabled: bool = True) -> DataFrame:
-    """Outcome per probe: probe_id, outcome, tier, similarity, match_key, answer."""
+    """Outcome per probe: probe_id, outcome, tier, similarity, match_key, answer.
+
+    Probe and store tables are checkpointed once (shared folder) and every
+    branch -- exact join, anti join, similarity search, guard join -- reads
+    them, so keys and embeddings are computed once per input row.
+    """
+    ensure_checkpoint_dir(probes.sparkSession)
+    probes = probes.select(probe_id, "exact_key", "digits", "embedding").checkpoint()
+    store = store.select("exact_key", "digits", "embedding", "answer").checkpoint()
     ex = probes.select(probe_id, "exact_key").join(
         store.select("exact_key", "answer"), "exact_key", "inner")
     exact = ex.select(probe_id, F.lit("exact").alias("outcome"), F.lit("exact").alias("tier"),
@@ -91,7 +100,8 @@ def two_tier_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_
                              F.lit(None).cast("string").alias("match_key"),
                              F.lit(None).cast("string").alias("answer"))
         return exact.unionByName(rest)
-    cand = semantic_candidates(misses, store, probe_id, threshold)
+    misses = misses.checkpoint()
+    cand = semantic_candidates(misses, store, probe_id, threshold, materialized=True)
     cand = cand.join(misses.select(probe_id, "digits"), probe_id, "inner")
     agree = F.col("digits").eqNullSafe(F.col("match_digits"))
     passes = agree if require_numeric_match else F.lit(True)
