@@ -47,6 +47,11 @@ def number_tag(d) -> Column:
                 cents.try_cast("decimal(38,2)").cast("string"), cents.cast("string")))))
 
 
+def decimal_tag(c) -> Column:
+    """Tag of an exact cents value held as DECIMAL (no float round trip)."""
+    return F.when(_col(c).isNotNull(), F.concat(F.lit("n:"), _col(c).cast("decimal(38,2)").cast("string")))
+
+
 def string_tag(c) -> Column:
     """Normalize a text value: collapse spaces; without commas and leading
     currency marks (and a CA$ prefix) it may read as a number, else folded

@@ -195,15 +195,16 @@ def flatten_invoice(inv: Column) -> Column:
     def src(path, f, c):
         if f in numeric:
             return F.struct(path.alias("path"), F.lit(None).cast("string").alias("s"),
-                            c.cast("double").alias("d"))
+                            c.cast("decimal(38,2)").alias("d"))
         text = F.date_format(c, "yyyy-MM-dd") if f == "invoice_date" else c
-        return F.struct(path.alias("path"), text.alias("s"), F.lit(None).cast("double").alias("d"))
+        return F.struct(path.alias("path"), text.alias("s"), F.lit(None).cast("decimal(38,2)").alias("d"))
 
     scalars = F.array(*[src(F.lit(f), f, inv[f]) for f in SCALAR_FIELDS])
     items = F.flatten(F.transform(F.coalesce(inv["line_items"], F.array()), lambda e, i: F.array(
         *[src(_item_path(i, f), f, e[f]) for f in ITEM_FIELDS])))
+    # Gold money is exact cents in DECIMAL: tag it by a direct cast.
     return _tag_entries(F.concat(scalars, items), lambda x: F.when(
-        x["d"].isNotNull(), V.number_tag(x["d"])).otherwise(V.string_tag(x["s"])))
+        x["d"].isNotNull(), V.decimal_tag(x["d"])).otherwise(V.string_tag(x["s"])))
 
 
 def field_confusion(pred_entries: Column, gold_entries: Column, parsed_ok: Column) -> list[Column]:

@@ -17,6 +17,7 @@ from ledgerlake.operators.embed import hash_counts, model_embed
 from ledgerlake.operators.similarity import nearest, pairs_above
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
+from ledgerlake.session import ensure_checkpoint_dir
 from ledgerlake.sources.tables import table
 
 THRESHOLD = 0.95
@@ -265,8 +266,10 @@ SELECT p.key_a, p.key_b, round(p.sim, 6) AS similarity
 FROM pairs p JOIN store sa ON sa.exact_key = p.key_a JOIN store sb ON sb.exact_key = p.key_b
 WHERE p.sim >= {THRESHOLD} AND sa.digits IS DISTINCT FROM sb.digits""")
 def q_guard_collision_report(spark, sf_dir):
-    store = _store(_docs(spark, sf_dir))
-    pairs = pairs_above(store, store, "exact_key", "exact_key", "embedding", THRESHOLD, self_join=True)
+    ensure_checkpoint_dir(spark)
+    store = _store(_docs(spark, sf_dir)).select("exact_key", "digits", "embedding").checkpoint()
+    pairs = pairs_above(store, store, "exact_key", "exact_key", "embedding", THRESHOLD, self_join=True,
+                        materialize=False)
     fa = store.select(F.col("exact_key").alias("a"), F.col("digits").alias("da"))
     fb = store.select(F.col("exact_key").alias("b"), F.col("digits").alias("db"))
     j = pairs.join(fa, "a").join(fb, "b").filter(~F.col("da").eqNullSafe(F.col("db")))
