@@ -100,21 +100,30 @@ def two_tier_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_
                              F.lit(None).cast("string").alias("match_key"),
                              F.lit(None).cast("string").alias("answer"))
         return exact.unionByName(rest)
-    misses = misses.checkpoint()
-    cand = semantic_candidates(misses, store, probe_id, threshold, materialized=True)
-    cand = cand.join(misses.select(probe_id, "digits"), probe_id, "inner")
+    # The semantic outcome depends only on the normalized text (embedding and
+    # numbers), so search once per distinct missing key: a document resubmitted
+    # a million times costs one search. ``min_by`` keeps it deterministic and
+    # is a partial aggregate, so a hot key ships one row per map task.
+    keys = (misses.groupBy("exact_key")
+            .agg(F.min_by(F.struct("embedding", "digits"), F.col(probe_id)).alias("r"))
+            .select("exact_key", "r.embedding", "r.digits").checkpoint())
+    cand = semantic_candidates(keys.withColumnRenamed("exact_key", "probe_key"), store, "probe_key",
+                               threshold, materialized=True)
+    cand = cand.join(keys.select(F.col("exact_key").alias("probe_key"), "digits"), "probe_key", "inner")
     agree = F.col("digits").eqNullSafe(F.col("match_digits"))
     passes = agree if require_numeric_match else F.lit(True)
-    sem = cand.select(
-        probe_id,
+    per_key = cand.select(
+        F.col("probe_key").alias("exact_key"),
         F.when(passes, F.lit("semantic")).otherwise(F.lit("guard_rejected")).alias("outcome"),
         F.when(passes, F.lit("semantic")).alias("tier"),
         "similarity", "match_key", F.when(passes, F.col("answer")).alias("answer"))
-    missed = misses.join(cand.select(probe_id), probe_id, "left_anti").select(
-        probe_id, F.lit("miss").alias("outcome"), F.lit(None).cast("string").alias("tier"),
-        F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("match_key"),
-        F.lit(None).cast("string").alias("answer"))
-    return exact.unionByName(sem).unionByName(missed)
+    # Back to probes: one row per key on the right, so a skewed probe key is a
+    # skewed equi-join that AQE splits.
+    resolved = misses.select(probe_id, "exact_key").join(per_key, "exact_key", "left")
+    sem = resolved.select(
+        probe_id, F.coalesce(F.col("outcome"), F.lit("miss")).alias("outcome"), "tier", "similarity",
+        "match_key", "answer")
+    return exact.unionByName(sem)
 
 
 def cache_stats(outcomes: DataFrame) -> DataFrame:

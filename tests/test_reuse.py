@@ -117,3 +117,12 @@ def test_pairs_above_self_join(spark):
     sims = np.round(mn @ mn.T, 9)
     want = {(i, j) for i in range(41) for j in range(41) if i < j and i != 3 and j != 3 and sims[i, j] >= 0.6}
     assert got == want
+
+
+def test_hot_missing_key_searched_once_answers_every_copy(spark):
+    store = _store(spark, [(INVOICE_A, RESULT_A), (INVOICE_B, RESULT_B)])
+    probes = [A_ANNOTATED] * 60 + [A_ANNOTATED.lower()] * 20 + ["unrelated ticket"] * 5
+    out = _lookup(spark, store, probes)
+    assert len(out) == 85
+    assert all(out[i]["outcome"] == "semantic" and out[i]["answer"] == RESULT_A for i in range(80))
+    assert all(out[i]["outcome"] == "miss" for i in range(80, 85))
