@@ -82,12 +82,12 @@ def _outcomes_sql(guard: bool = True, semantic: bool = True) -> str:
     if not semantic:
         return REUSE_WITH + """,
 outcomes AS (
-  SELECT probe_id, 'exact' AS outcome, 'exact' AS tier, 1.0 AS similarity, match_key, answer FROM exact
+  SELECT probe_id, 'exact' AS outcome, 'exact' AS tier, CAST(1.0 AS DOUBLE) AS similarity, match_key, answer FROM exact
   UNION ALL
   SELECT probe_id, 'miss', NULL, NULL, NULL, NULL FROM misses)"""
     return REUSE_WITH + f""",
 outcomes AS (
-  SELECT probe_id, 'exact' AS outcome, 'exact' AS tier, 1.0 AS similarity, match_key, answer FROM exact
+  SELECT probe_id, 'exact' AS outcome, 'exact' AS tier, CAST(1.0 AS DOUBLE) AS similarity, match_key, answer FROM exact
   UNION ALL
   SELECT c.probe_id, CASE WHEN {ok} THEN 'semantic' ELSE 'guard_rejected' END,
          CASE WHEN {ok} THEN 'semantic' END, c.sim, c.match_key, CASE WHEN {ok} THEN c.answer END
@@ -163,7 +163,7 @@ def q_model_embed(spark, sf_dir):
 
 @register("exact_lookup", REUSE_WITH + """
 SELECT p.probe_id, CASE WHEN s.answer IS NOT NULL THEN 'exact' END AS tier,
-       CASE WHEN s.answer IS NOT NULL THEN 1.0 END AS similarity, s.answer
+       CASE WHEN s.answer IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS similarity, s.answer
 FROM probes p LEFT JOIN store s USING (exact_key)""")
 def q_exact_lookup(spark, sf_dir):
     keyed = _docs(spark, sf_dir)
@@ -253,7 +253,7 @@ def q_hit_ratio(spark, sf_dir):
     return stats.select(R.hit_ratio(stats).alias("hit_ratio"))
 
 
-@register("cache_snapshot", _outcomes_sql() + STATS_SQL + f"\nSELECT *, {THRESHOLD} AS threshold FROM snap")
+@register("cache_snapshot", _outcomes_sql() + STATS_SQL + f"\nSELECT *, CAST({THRESHOLD} AS DOUBLE) AS threshold FROM snap")
 def q_cache_snapshot(spark, sf_dir):
     return R.cache_snapshot(R.cache_stats(_lookup(spark, sf_dir, threshold=THRESHOLD)), THRESHOLD)
 

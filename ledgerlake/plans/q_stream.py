@@ -15,7 +15,7 @@ TTL = 86_400
 
 @register("stream_exact_lookup", QR.REUSE_WITH + """
 SELECT p.probe_id, CASE WHEN s.answer IS NOT NULL THEN 'exact' END AS tier,
-       CASE WHEN s.answer IS NOT NULL THEN 1.0 END AS similarity, s.answer
+       CASE WHEN s.answer IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS similarity, s.answer
 FROM probes p LEFT JOIN store s USING (exact_key)""")
 def q_stream_exact_lookup(spark, sf_dir):
     store = QR._store(QR._docs(spark, sf_dir))
