@@ -42,49 +42,76 @@ OCR_FROM, OCR_TO = "SO", "50"
 
 def draw(seed, id_col: Column, slot) -> Column:
     """Uniform [0, 1) from the first 32 bits of md5(seed:id:slot)."""
+    return hex_draw(draw_hex(seed, id_col, slot), 0)
+
+
+def draw_hex(seed, id_col: Column, group) -> Column:
+    """md5(seed:id:group): 128 bits, i.e. four independent 32-bit draws."""
     key = F.concat_ws(":", F.lit(str(seed)), id_col.cast("string"),
-                      slot if isinstance(slot, Column) else F.lit(str(slot)))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+                      group if isinstance(group, Column) else F.lit(str(group)))
+    return F.md5(key)
+
+
+def hex_draw(hexed: Column, j: int) -> Column:
+    """Draw number ``j`` (0-3) of an md5 hex string, as uniform [0, 1)."""
+    return F.conv(F.substring(hexed, 8 * j + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def pick(values: list, u: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(u * len(values)) + 1).cast("int"))
 
 
+# Draw layout: group "head" -> stem, suffix, date, prefix; group "more" ->
+# number, item count, tax rate, currency; groups "rank:0".."rank:3" -> one
+# draw per product (product k uses group k // 4, draw k % 4); group
+# "item:<k>" -> quantity, unit price; group "render" -> date layout, style,
+# model-render style.
+RANK_GROUPS = 4
+
+
 def generate_invoices(ids: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
     """One arithmetically consistent invoice per input id.
 
     1-6 distinct products (sampled without replacement by sorting per-product
     draws), quantity 1-40, unit price uniform in the product's range, cents
-    rounding; subtotal, tax at one of ten rates, total.
+    rounding; subtotal, tax at one of ten rates, total. Each md5 is computed
+    once per row and yields four draws.
     """
     i = F.col(id_col)
-    products = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("description"),
-                                  F.lit(lo).alias("low"), F.lit(hi).alias("high"))
-                         for k, (n, lo, hi) in enumerate(PRODUCTS)])
-    ranked = F.array_sort(F.transform(products, lambda p: F.struct(
-        draw(seed, i, F.concat(F.lit("product:"), p["k"].cast("string"))).alias("r"), p.alias("p"))))
-    n_items = (F.floor(draw(seed, i, "n_items") * MAX_ITEMS) + 1).cast("int")
+    hashed = ids.select(i.alias("id"), draw_hex(seed, i, "head").alias("h_head"),
+                        draw_hex(seed, i, "more").alias("h_more"),
+                        *[draw_hex(seed, i, f"rank:{g}").alias(f"h_rank{g}") for g in range(RANK_GROUPS)])
+    ranked = F.array_sort(F.array(*[
+        F.struct(hex_draw(F.col(f"h_rank{k // 4}"), k % 4).alias("r"),
+                 F.struct(F.lit(k).alias("k"), F.lit(n).alias("description"),
+                          F.lit(lo).alias("low"), F.lit(hi).alias("high")).alias("p"))
+        for k, (n, lo, hi) in enumerate(PRODUCTS)]))
+    n_items = (F.floor(hex_draw(F.col("h_more"), 1) * MAX_ITEMS) + 1).cast("int")
+    idc = F.col("id")
+
+    def with_hash(x):
+        return F.struct(x["p"].alias("p"),
+                        draw_hex(seed, idc, F.concat(F.lit("item:"), x["p"]["k"].cast("string"))).alias("h"))
 
     def item(x):
         p = x["p"]
-        key = p["k"].cast("string")
-        qty = (F.floor(draw(seed, i, F.concat(F.lit("qty:"), key)) * MAX_QTY) + 1).cast(MONEY)
-        price = money(p["low"] + (p["high"] - p["low"]) * draw(seed, i, F.concat(F.lit("price:"), key)))
+        qty = (F.floor(hex_draw(x["h"], 0) * MAX_QTY) + 1).cast(MONEY)
+        price = money(p["low"] + (p["high"] - p["low"]) * hex_draw(x["h"], 1))
         return F.struct(p["description"].alias("description"), qty.alias("quantity"),
                         price.alias("unit_price"), money(qty * price).alias("amount"))
 
-    issued = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.floor(draw(seed, i, "date") * DAY_SPAN).cast("int"))
-    out = ids.select(
-        i.alias("id"),
-        F.concat(pick(VENDOR_STEMS, draw(seed, i, "stem")), F.lit(" "),
-                 pick(VENDOR_SUFFIXES, draw(seed, i, "suffix"))).alias("vendor"),
+    head, more = F.col("h_head"), F.col("h_more")
+    issued = F.date_add(F.to_date(F.lit(FIRST_DAY)), F.floor(hex_draw(head, 2) * DAY_SPAN).cast("int"))
+    out = hashed.select(
+        "id",
+        F.concat(pick(VENDOR_STEMS, hex_draw(head, 0)), F.lit(" "),
+                 pick(VENDOR_SUFFIXES, hex_draw(head, 1))).alias("vendor"),
         issued.alias("invoice_date"),
-        pick(NUMBER_PREFIXES, draw(seed, i, "prefix")).alias("prefix"),
-        (F.floor(draw(seed, i, "number") * MAX_SEQ) + 1).cast("int").alias("seq"),
-        F.transform(F.slice(ranked, 1, n_items), item).alias("line_items"),
-        pick([str(r) for r in TAX_RATES], draw(seed, i, "tax")).cast("decimal(6,4)").alias("rate"),
-        pick(CURRENCIES, draw(seed, i, "currency")).alias("currency"))
+        pick(NUMBER_PREFIXES, hex_draw(head, 3)).alias("prefix"),
+        (F.floor(hex_draw(more, 0) * MAX_SEQ) + 1).cast("int").alias("seq"),
+        F.transform(F.transform(F.slice(ranked, 1, n_items), with_hash), item).alias("line_items"),
+        pick([str(r) for r in TAX_RATES], hex_draw(more, 2)).cast("decimal(6,4)").alias("rate"),
+        pick(CURRENCIES, hex_draw(more, 3)).alias("currency"))
     out = out.withColumn("invoice_number", F.format_string("%s-%d-%05d", "prefix", F.year("invoice_date"), "seq"))
     out = out.withColumn("subtotal", money(F.aggregate(
         "line_items", F.lit(0).cast("decimal(28,2)"), lambda acc, x: (acc + x["amount"]).cast("decimal(28,2)"))))
@@ -193,12 +220,14 @@ def render_mixed(invoices: DataFrame, seed: int = 0, noise: float = 0.0) -> Data
     Adds ``style`` and ``text``.
     """
     i = F.col("id")
-    date_text = date_variant(F.col("invoice_date"), draw(seed, i, "date_layout"))
-    k = F.floor(draw(seed, i, "style") * len(STYLES)).cast("int")
+    h = invoices.withColumn("_h_render", draw_hex(seed, i, "render"))
+    date_text = date_variant(F.col("invoice_date"), hex_draw(F.col("_h_render"), 0))
+    u_style = hex_draw(F.col("_h_render"), 1)
+    k = F.floor(u_style * len(STYLES)).cast("int")
     text = F.lit(None).cast("string")
     for n, name in enumerate(STYLES):
         text = F.when(k == n, RENDERERS[name](date_text)).otherwise(text)
-    out = invoices.withColumn("style", pick(STYLES, draw(seed, i, "style"))).withColumn("text", text)
+    out = h.withColumn("style", pick(STYLES, u_style)).withColumn("text", text).drop("_h_render")
     if noise:
         out = out.withColumn("text", ocr_noise(F.col("text"), seed, i, noise))
     return out

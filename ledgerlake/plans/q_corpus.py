@@ -87,11 +87,11 @@ def q_amount_format(spark, sf_dir):
 
 
 @register("date_variants", f"""
-SELECT o_orderkey, {S.date_variant('o_orderdate', S.draw('o_orderkey', "'date_layout'"))} AS date_text FROM orders""")
+SELECT o_orderkey, {S.date_variant('o_orderdate', S.hexd('o_orderkey', "'render'", 0))} AS date_text FROM orders""")
 def q_date_variants(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", C.date_variant(F.to_date("o_orderdate"),
-                                                 C.draw(SEED, F.col("o_orderkey"), "date_layout")).alias("date_text"))
+                                                 C.hex_draw(C.draw_hex(SEED, F.col("o_orderkey"), "render"), 0)).alias("date_text"))
 
 
 def _style_query(style):
@@ -99,7 +99,7 @@ def _style_query(style):
 
     def q(spark, sf_dir):
         g = generated(spark, sf_dir)
-        dt = C.date_variant(F.col("invoice_date"), C.draw(SEED, F.col("id"), "date_layout"))
+        dt = C.date_variant(F.col("invoice_date"), C.hex_draw(C.draw_hex(SEED, F.col("id"), "render"), 0))
         return g.select("id", C.RENDERERS[style](dt).alias("text"))
     register(f"render_{style}", S.WITH_GEN + f"SELECT id, {fn(S.DT)} AS text FROM gen")(q)
 
@@ -137,7 +137,7 @@ def records(spark, sf_dir):
 def prompts(spark, sf_dir):
     g = generated(spark, sf_dir)
     inv = as_invoice(g, ["id"])
-    style = C.pick(C.LLM_STYLES, C.draw(SEED, F.col("id"), "llm_style"))
+    style = C.pick(C.LLM_STYLES, C.hex_draw(C.draw_hex(SEED, F.col("id"), "render"), 2))
     return inv.select("id", style.alias("style"), C.render_prompt(F.col("invoice"), style).alias("prompt"))
 
 

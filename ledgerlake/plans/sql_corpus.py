@@ -14,6 +14,13 @@ def draw(id_expr: str, slot_expr: str, seed: int = SEED) -> str:
             f"AS BIGINT) / 4294967296.0)")
 
 
+def hexd(id_expr: str, group_expr: str, j, seed: int = SEED) -> str:
+    """Draw ``j`` (0-3) of md5(seed:id:group), as uniform [0, 1)."""
+    start = f"(8 * ({j}) + 1)"
+    return (f"(CAST(('0x' || substr(md5('{seed}:' || CAST({id_expr} AS VARCHAR) || ':' || {group_expr}), {start}, 8)) "
+            f"AS BIGINT) / 4294967296.0)")
+
+
 def pick(values, u: str) -> str:
     arr = "[" + ", ".join(lit(str(v)) for v in values) + "]"
     return f"{arr}[CAST(floor({u} * {len(values)}) AS INT) + 1]"
@@ -32,22 +39,22 @@ gen_ids AS (SELECT o_orderkey AS id FROM orders),
 gen_prod AS (SELECT * FROM (VALUES {PROD_VALUES}) p(k, description, low, high)),
 gen_head AS (
   SELECT id,
-    {pick(C.VENDOR_STEMS, draw('id', "'stem'"))} || ' ' || {pick(C.VENDOR_SUFFIXES, draw('id', "'suffix'"))} AS vendor,
-    CAST(DATE '{C.FIRST_DAY}' + CAST(floor({draw('id', "'date'")} * {C.DAY_SPAN}) AS INT) AS DATE) AS invoice_date,
-    {pick(C.NUMBER_PREFIXES, draw('id', "'prefix'"))} AS prefix,
-    CAST(floor({draw('id', "'number'")} * {C.MAX_SEQ}) + 1 AS INT) AS seq,
-    CAST(floor({draw('id', "'n_items'")} * {C.MAX_ITEMS}) + 1 AS INT) AS n_items,
-    CAST({pick(TAX_RATES, draw('id', "'tax'"))} AS DECIMAL(6,4)) AS rate,
-    {pick(CURRENCIES, draw('id', "'currency'"))} AS currency
+    {pick(C.VENDOR_STEMS, hexd('id', "'head'", 0))} || ' ' || {pick(C.VENDOR_SUFFIXES, hexd('id', "'head'", 1))} AS vendor,
+    CAST(DATE '{C.FIRST_DAY}' + CAST(floor({hexd('id', "'head'", 2)} * {C.DAY_SPAN}) AS INT) AS DATE) AS invoice_date,
+    {pick(C.NUMBER_PREFIXES, hexd('id', "'head'", 3))} AS prefix,
+    CAST(floor({hexd('id', "'more'", 0)} * {C.MAX_SEQ}) + 1 AS INT) AS seq,
+    CAST(floor({hexd('id', "'more'", 1)} * {C.MAX_ITEMS}) + 1 AS INT) AS n_items,
+    CAST({pick(TAX_RATES, hexd('id', "'more'", 2))} AS DECIMAL(6,4)) AS rate,
+    {pick(CURRENCIES, hexd('id', "'more'", 3))} AS currency
   FROM gen_ids),
 gen_ranked AS (
   SELECT h.id, p.k, p.description, p.low, p.high,
-         row_number() OVER (PARTITION BY h.id ORDER BY {draw('h.id', "'product:' || p.k")}, p.k) AS pos, h.n_items
+         row_number() OVER (PARTITION BY h.id ORDER BY {hexd('h.id', "'rank:' || (p.k // 4)", 'p.k % 4')}, p.k) AS pos, h.n_items
   FROM gen_head h, gen_prod p),
 gen_lines AS (
   SELECT id, pos, description,
-         CAST(floor({draw('id', "'qty:' || k")} * {C.MAX_QTY}) + 1 AS DECIMAL(18,2)) AS quantity,
-         {money(f"low + (high - low) * {draw('id', chr(39) + 'price:' + chr(39) + ' || k')}")} AS unit_price
+         CAST(floor({hexd('id', "'item:' || k", 0)} * {C.MAX_QTY}) + 1 AS DECIMAL(18,2)) AS quantity,
+         {money(f"low + (high - low) * {hexd('id', chr(39) + 'item:' + chr(39) + ' || k', 1)}")} AS unit_price
   FROM gen_ranked WHERE pos <= n_items),
 gen_items AS (
   SELECT id, list(struct_pack(description := description, quantity := quantity, unit_price := unit_price,
@@ -113,11 +120,11 @@ def render_prose(dt: str) -> str:
             f"|| currency || '.')")
 
 
-DT = date_variant("invoice_date", draw("id", "'date_layout'"))
-STYLE_K = f"CAST(floor({draw('id', chr(39) + 'style' + chr(39))} * 4) AS INT)"
+DT = date_variant("invoice_date", hexd("id", "'render'", 0))
+STYLE_K = f"CAST(floor({hexd('id', chr(39) + 'render' + chr(39), 1)} * 4) AS INT)"
 RENDER_CTE = f"""
 rendered AS (
-  SELECT *, {pick(C.STYLES, draw('id', "'style'"))} AS style,
+  SELECT *, {pick(C.STYLES, hexd('id', "'render'", 1))} AS style,
          CASE {STYLE_K} WHEN 0 THEN {render_table(DT)} WHEN 1 THEN {render_email(DT)}
               WHEN 2 THEN {render_receipt(DT)} ELSE {render_prose(DT)} END AS text
   FROM gen)"""
@@ -163,5 +170,5 @@ def indented_json() -> str:
 def render_prompt_sql() -> str:
     head, rest = C.RENDER_PROMPT.split("{style}")
     mid, tail = rest.split("{payload}")
-    style = pick(C.LLM_STYLES, draw("id", "'llm_style'"))
+    style = pick(C.LLM_STYLES, hexd("id", "'render'", 2))
     return f"({lit(head)} || {style} || {lit(mid)} || {indented_json()} || {lit(tail)})"
