@@ -62,7 +62,9 @@ FROM (SELECT tag, id, unnest(pe) AS e FROM pred_valid WHERE parsed_ok)""")
 def q_flatten_record(spark, sf_dir):
     _, _, preds = _inputs(spark, sf_dir)
     v = E.validate_predictions(preds).filter("parsed_ok")
-    e = v.select("tag", "id", F.explode(E.flatten_extracted()).alias("e"))
+    # explode_outer: avoids an inferred size() > 0 filter that would evaluate
+    # the flattening twice; parsed records always yield at least one row.
+    e = v.select("tag", "id", F.explode_outer(E.flatten_extracted()).alias("e")).filter(F.col("e").isNotNull())
     return e.select("tag", "id", F.substring_index("e", "=", 1).alias("path"),
                     F.expr("substr(e, instr(e, '=') + 1)").alias("value"))
 

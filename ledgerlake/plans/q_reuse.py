@@ -109,7 +109,10 @@ def _outcome_cols(df):
 def q_hash_embed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     v = docs.select("doc_id", hash_counts(T.normalize_text("text")).alias("v"))
-    e = v.select("doc_id", F.posexplode("v").alias("dim", "c"))
+    # posexplode_outer: a plain posexplode makes the optimizer infer a
+    # size(v) > 0 filter and push it below the exchange, evaluating the
+    # Python UDF twice.
+    e = v.select("doc_id", F.posexplode_outer("v").alias("dim", "c"))
     return e.filter("c > 0").select("doc_id", "dim", F.col("c").cast("bigint").alias("count"))
 
 
@@ -118,7 +121,7 @@ def q_l2_normalize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counts = docs.select("doc_id", hash_counts(T.normalize_text("text")).alias("c"))
     v = counts.select("doc_id", l2_normalize("c").alias("v"))
-    e = v.select("doc_id", F.posexplode("v").alias("dim", "w"))
+    e = v.select("doc_id", F.posexplode_outer("v").alias("dim", "w"))
     return e.filter("w <> 0").select("doc_id", "dim", F.round("w", 6).alias("value"))
 
 

@@ -119,7 +119,7 @@ fmt AS (
 @register("to_conversation", RECORDS_SQL + "SELECT id, pos, role, content FROM conv")
 def q_to_conversation(spark, sf_dir):
     r = records(spark, sf_dir)
-    m = r.select("id", F.posexplode(CH.to_conversation(F.col("text"), F.col("invoice"))).alias("pos", "m"))
+    m = r.select("id", F.posexplode_outer(CH.to_conversation(F.col("text"), F.col("invoice"))).alias("pos", "m"))
     return m.select("id", "pos", "m.role", "m.content")
 
 
