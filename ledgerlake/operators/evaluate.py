@@ -220,20 +220,23 @@ def field_confusion(pred_entries: Column, gold_entries: Column, parsed_ok: Colum
     ]
 
 
-def score_records(predictions: DataFrame, gold: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per record: parse flags and confusion counts.
-
-    ``predictions``: tag, id, prediction. ``gold``: id + ``invoice`` struct.
-    Each stage is its own projection so every JSON field is extracted once.
-    """
-    checked = validate_predictions(predictions)
-    pred = checked.select("tag", id_col, "parsed_ok", "schema_valid",
+def score_pairs(pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """Per record confusion for already-paired rows: ``tag``, ``id``,
+    ``prediction`` and ``gold_entries`` (from ``flatten_invoice``). Narrow:
+    no shuffle until the report aggregate."""
+    checked = validate_predictions(pairs)
+    pred = checked.select("tag", id_col, "parsed_ok", "schema_valid", "gold_entries",
                           F.when(F.col("parsed_ok"), flatten_extracted())
                           .otherwise(F.array().cast("array<string>")).alias("pred_entries"))
+    return pred.select("tag", id_col, "parsed_ok", "schema_valid",
+                       *field_confusion(F.col("pred_entries"), F.col("gold_entries"), F.col("parsed_ok")))
+
+
+def score_records(predictions: DataFrame, gold: DataFrame, id_col: str = "id") -> DataFrame:
+    """Pair raw outputs (tag, id, prediction) with gold (id, ``invoice``
+    struct) by id -- one equi-join -- and score each pair."""
     gold_flat = gold.select(id_col, flatten_invoice(F.col("invoice")).alias("gold_entries"))
-    joined = pred.join(gold_flat, id_col, "inner")
-    return joined.select("tag", id_col, "parsed_ok", "schema_valid",
-                         *field_confusion(F.col("pred_entries"), F.col("gold_entries"), F.col("parsed_ok")))
+    return score_pairs(predictions.join(gold_flat, id_col, "inner"), id_col)
 
 
 def _rate(num: Column, den: Column) -> Column:

@@ -82,9 +82,11 @@ def _dollar_text(c):
     return F.concat(F.lit('"$'), F.format_number(c.cast(MONEY), 2), F.lit('"'))
 
 
-def predictions(gold: DataFrame) -> DataFrame:
+def predictions(gold: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Two runs of raw model output per gold invoice: ``baseline`` varies every
-    record by id mod 10; ``tuned`` varies only where id mod 20 < 10."""
+    record by id mod 10; ``tuned`` varies only where id mod 20 < 10.
+    ``carry`` columns of the gold row ride along (e.g. its flattened entries),
+    so the runs stay paired with their target without a join."""
     items = F.transform("line_items", item_json)
     n = F.size("line_items")
     num = {m: plain_number(F.col(m)) for m in ("subtotal", "tax", "total")}
@@ -121,4 +123,5 @@ def predictions(gold: DataFrame) -> DataFrame:
     tuned = F.when(F.pmod(F.col("id"), F.lit(20)) < 10, varied).otherwise(c)
     runs = F.array(F.struct(F.lit("baseline").alias("tag"), varied.alias("prediction")),
                    F.struct(F.lit("tuned").alias("tag"), tuned.alias("prediction")))
-    return gold.select("id", F.explode(runs).alias("r")).select("r.tag", "id", "r.prediction")
+    carry = carry or []
+    return gold.select("id", *carry, F.explode(runs).alias("r")).select("r.tag", "id", "r.prediction", *carry)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import values as V
 from ledgerlake.functions.jsontext import salvage_object, strip_fences
 from ledgerlake.operators import evaluate as E
-from ledgerlake.operators.evaluate import score_records, score_report
-from ledgerlake.operators.invoice import as_invoice
+from ledgerlake.operators.evaluate import score_pairs, score_records, score_report
+from ledgerlake.operators.invoice import INVOICE, as_invoice
 from ledgerlake.operators.runs import alignment_report, compare_runs, run_report
 from ledgerlake.plans.derived import gold_invoices, predictions
 from ledgerlake.plans.registry import register
@@ -24,6 +24,15 @@ def _inputs(spark, sf_dir):
     return gold, as_invoice(gold, ["id"]), predictions(gold)
 
 
+def _pairs(spark, sf_dir):
+    """Both runs paired with their target by construction: gold is derived
+    once, flattened once per order, then fanned out to the two runs."""
+    gold = gold_invoices(spark, sf_dir)
+    inv_struct = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INVOICE.fields])
+    flat = gold.withColumn("gold_entries", E.flatten_invoice(inv_struct))
+    return predictions(flat, carry=["gold_entries"])
+
+
 def _runs(spark):
     return spark.createDataFrame([(k, m, s) for k, (m, s) in RUNS.items()],
                                  "tag string, model string, include_schema boolean")
@@ -71,28 +80,24 @@ def q_flatten_record(spark, sf_dir):
 
 @register("field_confusion", WITH_ALL + "SELECT tag, id, tp, fp, fn FROM confusion")
 def q_field_confusion(spark, sf_dir):
-    _, gold, preds = _inputs(spark, sf_dir)
-    return score_records(preds, gold).select("tag", "id", "tp", "fp", "fn")
+    return score_pairs(_pairs(spark, sf_dir)).select("tag", "id", "tp", "fp", "fn")
 
 
 @register("exact_match", WITH_ALL + "SELECT tag, id, exact FROM confusion")
 def q_exact_match(spark, sf_dir):
-    _, gold, preds = _inputs(spark, sf_dir)
-    return score_records(preds, gold).select("tag", "id", "exact")
+    return score_pairs(_pairs(spark, sf_dir)).select("tag", "id", "exact")
 
 
 @register("field_prf", WITH_REPORT + "SELECT tag, field_precision, field_recall, field_f1 FROM report")
 def q_field_prf(spark, sf_dir):
-    _, gold, preds = _inputs(spark, sf_dir)
-    return score_report(score_records(preds, gold)).select(
+    return score_report(score_pairs(_pairs(spark, sf_dir))).select(
         "tag", "field_precision", "field_recall", "field_f1")
 
 
 @register("json_health", WITH_REPORT + """
 SELECT tag, n, json_parse_rate, invalid_json_syntax_rate, schema_validity_rate FROM report""")
 def q_json_health(spark, sf_dir):
-    _, gold, preds = _inputs(spark, sf_dir)
-    return score_report(score_records(preds, gold)).select(
+    return score_report(score_pairs(_pairs(spark, sf_dir))).select(
         "tag", "n", "json_parse_rate", "invalid_json_syntax_rate", "schema_validity_rate")
 
 
@@ -101,8 +106,7 @@ SELECT r.*, runs.model, runs.include_schema FROM report r JOIN {RUNS_SQL} ON r.t
 
 
 def score_run(spark, sf_dir):
-    _, gold, preds = _inputs(spark, sf_dir)
-    return run_report(score_report(score_records(preds, gold)), _runs(spark))
+    return run_report(score_report(score_pairs(_pairs(spark, sf_dir))), _runs(spark))
 
 
 register("score_run", SCORE_RUN_SQL)(score_run)

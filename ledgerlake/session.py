@@ -16,6 +16,11 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Coalescing targets total shuffle bytes / parallelism; a 1 MB floor
+    # collapses small shuffles that feed CPU-heavy stages (parsing, JSON,
+    # rendering) into a handful of tasks. At cluster scale shuffles are far
+    # above this floor, so it only matters for small inputs.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
