@@ -14,7 +14,7 @@ from ledgerlake.operators.invoice import as_invoice, build_completion
 from ledgerlake.plans import sql_corpus as S
 from ledgerlake.plans.derived import gold_invoices
 from ledgerlake.plans.registry import register
-from ledgerlake.plans.sql_invoice import GOLD_CTE, num
+from ledgerlake.plans.sql_invoice import GOLD_CTE
 from ledgerlake.sources.tables import table
 
 SEED = S.SEED

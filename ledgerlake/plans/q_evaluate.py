@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import values as V
 from ledgerlake.functions.jsontext import salvage_object, strip_fences
 from ledgerlake.operators import evaluate as E
-from ledgerlake.operators.evaluate import score_pairs, score_records, score_report
+from ledgerlake.operators.evaluate import score_pairs, score_report
 from ledgerlake.operators.invoice import INVOICE, as_invoice
 from ledgerlake.operators.runs import alignment_report, compare_runs, run_report
 from ledgerlake.plans.derived import gold_invoices, predictions

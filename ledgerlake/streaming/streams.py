@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlake.session import scratch_path
@@ -111,7 +110,3 @@ def windowed_metrics(events: DataFrame, window: str = "1 hour", watermark: str =
         F.sum("value").alias("value_sum"))
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "n_events", "n_errors", "value_sum")
-
-
-__all__ = ["stream_table", "run_available_now", "stream_exact_lookup", "ttl_first_sights",
-           "windowed_metrics", "T"]
