@@ -12,13 +12,13 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.llm.common import stray_columns
 
@@ -202,12 +202,6 @@ class _Cut(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
-def coder_of(data: bytes, pattern: str) -> PrefixCoder:
-    """One coder per Python worker and vocabulary."""
-    return PrefixCoder(load_ranks(data), pattern)
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Encode and decode every whole ``text``; a null text counts as empty.
 
@@ -218,17 +212,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        # a worker keeps the broadcast value between tasks, and with it the coder built there
+        shared = spark.sparkContext.broadcast({"ranks": f.read()})
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
     through = stray_columns(docs, set(added))
     frame = docs.select(*[F.col(f"`{c}`") for c in through])
-    schema = frame.schema
+    schema = T.StructType(list(frame.schema.fields))
     for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("ids", "binary")):
         if name in added:
             schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(shared.value, pattern)
+        state = shared.value
+        if "coder" not in state:
+            state["coder"] = PrefixCoder(load_ranks(state["ranks"]), pattern)
+        coder = state["coder"]
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 rows = batch.slice(part, 2000)
