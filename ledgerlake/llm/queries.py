@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, line_dedup
+from ledgerlake.llm import ann_blocks, bpe, html_text, line_dedup, minhash, mixing, topk, toxicity
 from ledgerlake.llm.common import read
 
 QUERIES: dict = {}
@@ -38,8 +38,94 @@ def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_register("op2_ann_blocks", """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v) AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 20
+""")
+def op2_ann_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_blocks.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_register("op3_minhash_stars", """
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS src, a AS dst FROM u UNION SELECT r.src, u.b FROM r JOIN u ON r.dst = u.a),
+c AS (SELECT src, min(dst) AS component FROM r GROUP BY src)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.src = d.doc_id
+""")
+def op3_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@_register("op4_toxicity_channel")
+def op4_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_register("op7_tag_paths")
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_register("op9_threshold_topk", """
+WITH v AS (SELECT vec_id, max(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+""")
+def op9_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_register("op6_bpe_prefix")
 def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
     return coded.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
+@_register("op10_temperature_mix", r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words,
+                            ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place FROM documents),
+t AS (SELECT sum(n_words) AS total FROM d),
+s AS (SELECT source, sum(n_words)::BIGINT AS tokens, sum(n_words) / (SELECT total FROM t)::DOUBLE AS share FROM d GROUP BY source HAVING sum(n_words) > 0),
+l AS (SELECT list(share) AS p, count(*) AS n FROM s),
+hi AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS up UNION ALL
+       SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN up ELSE mid END FROM (
+         SELECT i, lo, up, (lo + up) / 2 AS mid,
+                ln(list_sum(list_transform(p, lambda x: pow(x, (lo + up) / 2)))) - list_sum(list_transform(p, lambda x: pow(x, (lo + up) / 2) * (lo + up) / 2 * ln(x)))
+                  / list_sum(list_transform(p, lambda x: pow(x, (lo + up) / 2))) >= 0.98 * ln(n::DOUBLE) - 1e-12 AS ok
+         FROM hi, l WHERE i < 48)),
+ra AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS up UNION ALL
+       SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE up END FROM (
+         SELECT i, lo, up, (lo + up) / 2 AS mid,
+                list_max(list_transform(p, lambda x: pow(x, (lo + up) / 2) / x)) / list_sum(list_transform(p, lambda x: pow(x, (lo + up) / 2))) <= 4.0 + 1e-12 AS ok
+         FROM ra, l WHERE i < 48)),
+a AS (SELECT CASE WHEN n < 2 THEN 1.0 ELSE greatest(
+        CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= 0.98 * ln(n::DOUBLE) - 1e-12 THEN 1.0 ELSE (SELECT max(lo) FROM hi WHERE i = 48) END,
+        CASE WHEN list_max(list_transform(p, lambda x: 1 / x)) / n <= 4.0 + 1e-12 THEN 0.0 ELSE (SELECT max(up) FROM ra WHERE i = 48) END) END AS a FROM l),
+w AS (SELECT source, tokens, pow(share, (SELECT a FROM a)) / (SELECT sum(pow(share, (SELECT a FROM a))) FROM s) AS weight FROM s),
+b AS (SELECT source, tokens, weight, floor(round(weight * (SELECT total FROM t)::DOUBLE, 3))::BIGINT AS budget FROM w),
+c AS (SELECT d.*, b.weight, b.tokens, b.budget, sum(n_words) OVER (PARTITION BY d.source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto
+      FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, source, n_words, coalesce(weight, 0.0) AS weight,
+       coalesce(budget // tokens + CASE WHEN upto <= budget % tokens THEN 1 ELSE 0 END, 0)::BIGINT AS n_copies FROM c
+""")
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_words", "weight", "n_copies")
