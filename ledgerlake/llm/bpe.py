@@ -34,7 +34,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixCoder:
     """Encodes pieces by the prefix table; compatible pairs of tokens and unit encodings are memoised (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000):
         self.ranks, self.memo = ranks, memo
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -45,7 +45,9 @@ class PrefixCoder:
         self.pairs: dict[int, bool] = {}
         #: the tokens that merging their own bytes gives; only these can end a prefix
         self.formed = {t: r for t, r in ranks.items() if len(t) == 1 or self.split(r) is not None}
-        self.units = _Units(self)
+        self.pieces = _Memo(lambda p: self.packed(self.piece(p.encode())), memo)
+        self.spaced = _Memo(lambda chunk: self.chunk(chunk, " "), memo)
+        self.cut = _Memo(self.unit, memo)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The last merge that makes ``token``; None for one byte, or when merging its bytes ends elsewhere."""
@@ -130,12 +132,19 @@ class PrefixCoder:
                 table += last[at - shift + 1:]
         return changed, table
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def unit(self, text: str) -> bytes:
         """A run of white space and the run after it, as little-endian ids; pieces never reach past such a unit."""
-        ids: list[int] = []
-        for p in self.find(text):
-            ids += self.piece(p.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def chunk(self, text: str, before: str) -> bytes:
+        """The unit of a chunk between single spaces, with the space before it."""
+        if not text or self.odd(text):
+            raise _Odd
+        return self.unit(before + text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
@@ -143,9 +152,9 @@ class PrefixCoder:
             return b""
         first, *rest = text.split(" ")
         try:
-            return b"".join([self.units[first], *map(self.units.spaced, rest)])
+            return b"".join([self.chunk(first, ""), *map(self.spaced.__getitem__, rest)])
         except _Odd:
-            return b"".join(map(self.units.plain, self.units_of(text)))
+            return b"".join(map(self.cut.__getitem__, self.units_of(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -155,51 +164,24 @@ class _Odd(Exception):
     """White space other than single spaces between words: units must be cut by pattern."""
 
 
-class _Units(dict):
-    """Memo of units. Key: a chunk between single spaces, standing for itself; ``after`` for it with its space."""
-
-    def __init__(self, coder: PrefixCoder):
-        super().__init__()
-        self.coder = coder
-        self.after = _After(coder)
-        self.spaced = self.after.__getitem__
-        self.cut = _Cut(coder)
-        self.plain = self.cut.__getitem__
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or self.coder.odd(chunk):
-            raise _Odd
-        return self.coder.unit(chunk)
-
-
-class _After(dict):
-    def __init__(self, coder: PrefixCoder):
-        super().__init__()
-        self.coder = coder
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or self.coder.odd(chunk):
-            raise _Odd
-        if len(self) >= self.coder.memo:
-            self.clear()
-        ids = self.coder.unit(" " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
+class _Memo(dict):
+    """Bounded memo in two generations: a full young one becomes the old one, and what is used again returns."""
 
-class _Cut(dict):
-    def __init__(self, coder: PrefixCoder):
+    def __init__(self, compute, limit: int):
         super().__init__()
-        self.coder = coder
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.coder.memo:
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self.coder.unit(unit)
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+        self[key] = value
+        return value
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
