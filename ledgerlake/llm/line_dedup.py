@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width = (high - low) // batches + 1
     batch = F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("int")
     stored, _ = write_table(line_postings(plain, min_chars).withColumn("batch", batch), "line-postings")
-    hot = repeated_lines(stored, min_docs, batches, fanout)
+    hot, _ = write_table(repeated_lines(stored, min_docs, batches, fanout), "repeated-lines")
     drops = stored.join(hot, "key").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(
         F.collect_set("key").alias("__drop")).withColumnRenamed("doc_id", "__doc")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann_blocks, bpe, html_text, line_dedup, minhash, mixing, topk, toxicity
+from ledgerlake.llm import ann_blocks, bpe, chat, html_text, line_dedup, minhash, mixing, pii, topk, toxicity
 from ledgerlake.llm.common import read
 
 QUERIES: dict = {}
@@ -75,6 +75,28 @@ def op4_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_register("op5_pii_surrogates")
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="surrogate-key-1").select("doc_id", "text", "n_entities")
+
+
+@_register("op8_chat_snapshots", """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t),
+p AS (SELECT *, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY pos)) AS h FROM r),
+f AS (SELECT conv_id, max(pos) AS n, max_by(h, pos) AS h FROM p GROUP BY conv_id),
+w AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, n, h FROM f GROUP BY n, h),
+x AS (SELECT DISTINCT p.pos, p.h FROM p JOIN f USING (conv_id) WHERE p.pos < f.n),
+m AS (SELECT w.* FROM w ANTI JOIN x ON x.pos = w.n AND x.h = w.h)
+SELECT conv_id, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 256) - 1 AS INTEGER) AS part, n AS n_turns, n_copies,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM r JOIN m USING (conv_id) GROUP BY conv_id, turn // 256, n, n_copies
+""")
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 @_register("op7_tag_paths")
 def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
