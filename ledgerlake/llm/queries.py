@@ -72,7 +72,9 @@ def op3_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op4_toxicity_channel")
 def op4_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 @_register("op5_pii_surrogates")

@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlake.llm.common import drop_table, quoted, write_table
+from ledgerlake.llm.common import drop_table, quoted, stray_columns, write_table
 
 SYMBOLS = 64  # 0: not a letter, 1-26: a-z, 27-58: U+00E0 to U+00FF, 59: any other letter
 #: Letters that a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
         "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "?": "", "*": "", "#": "h", "%": "", "&": ""}
-LEET_COST, DROP_INSIDE, DROP_MARK, DROP_DIGIT, COLLAPSE = 1.5, 5.0, 0.5, 6.0, 0.7
+LEET_COST, DROP_INSIDE, DROP_MARK, DROP_DIGIT, COLLAPSE = 1.5, 8.0, 0.5, 10.0, 0.7
 LONGEST_WORD = 40
 
 
@@ -167,55 +168,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000,
-             words: int = 50_000) -> DataFrame:
-    """Toxicity score of every whole text.
+def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, words: int = 50_000) -> dict:
+    """Character model over all of ``docs``, word weights and coefficients from labelled documents.
 
     ``labels`` (doc_id, toxic) names clean (0) and toxic (1) documents; only those whose crc32(doc_id as text) mod 5
     is not 0 are learnt from, at most about ``sample`` of them, chosen by a hash of the id (a repeated id counts
-    once, with its largest label; null ids or labels are ignored). The character model counts all of ``docs``; the
-    word table keeps the ``words`` heaviest words. Scores read the text alone.
-
-    Returns one row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5). Null and
-    empty texts have no words and get the score of such a text. Other columns are not read. Without usable labels
-    of both kinds every score is the share of toxic labels (0 without any). An empty table gives an empty result.
+    once, with its largest label; null ids or labels are ignored). The word table keeps the ``words`` heaviest words.
+    Without usable labels of both kinds every score is the share of toxic labels.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     cells = trigram_counts(plain.select("text")).toPandas()  # at most 64^3 rows
     counts = np.zeros(SYMBOLS ** 3, np.int64)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    costs = trigram_costs(counts)
-
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "label_id is not null and toxic is not null").where(~held_out(F.col("label_id")))
     # the share to take follows from the number of labels, so the sample has the stated bound at any size
-    n_known = known.count()
-    share = min(1.0, sample / max(n_known, 1))
+    share = min(1.0, sample / max(known.count(), 1))
     taken = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    learn, learn_path = write_table(
-        plain.join(F.broadcast(taken), plain.doc_id.cast("long") == taken.label_id).dropDuplicates(["label_id"]).select("text", "toxic"), "labelled")
-    model = _learn(learn, costs, words)
-    drop_table(spark, learn_path)
-    shared = spark.sparkContext.broadcast(model)
+    learn, path = write_table(
+        plain.join(F.broadcast(taken), plain.doc_id == taken.label_id).dropDuplicates(["label_id"]).select("text", "toxic"), "labelled")
+    model = _learn(learn, trigram_costs(counts), words)
+    drop_table(docs.sparkSession, path)
+    return model
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with held_out, score (0 to 1) and predicted (1 if score >= 0.5) added or replaced.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The score reads the whole text and nothing else. Null and empty texts have no words and get the score of such a
+    text. One narrow pass; an empty table gives an empty result.
+    """
+    through = stray_columns(docs, {"held_out", "score", "predicted"})
+    frame = docs.select(*[quoted(c) for c in through], F.col(quoted(text_col)).alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(dict(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        if "memo" not in held:
+        if "memo" not in held:  # a worker keeps the broadcast value, and with it the memo
             held["memo"] = Weights(Decoder(held["costs"]), held["weights"])
         look, theta = held["memo"].__getitem__, held["theta"]
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("__text").to_pylist():
                 tokens = joined((text or "").lower().split())
                 x = features([w for w in map(look, tokens) if w], len(tokens))
                 z = sum(a * b for a, b in zip(x, theta, strict=True))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(out, pa.float64())], names=[*through, "score"])
 
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(score, f"doc_id {kind}, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    scored = frame.mapInArrow(run, schema)
+    return scored.select(*[quoted(c) for c in through], held_out(F.col(quoted(id_col))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _learn(learn: DataFrame, costs: np.ndarray, words: int) -> dict:
