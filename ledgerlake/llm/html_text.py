@@ -49,15 +49,16 @@ class Block:
     side: bool
 
 
-def _words(attributes: str) -> tuple[str, bool]:
-    """An element's class for its path, and whether its names put it outside the article."""
+def _words(attributes: str, holder: bool) -> tuple[str, bool]:
+    """An element's class for its path, and whether its names put it outside the article; of an element that may
+    itself be the article (``holder``) only whole names count, so that "has-comments" says nothing against it."""
     label, side = "", False
     for name, value in _NAMED.findall(attributes):
         value = html.unescape(value.strip("\"'"))
         if name.lower() == "class" and not label:
             label = ".".join(value.split()[:2])
         plain = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        side = side or not SIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", plain))
+        side = side or not SIDE_WORDS.isdisjoint(plain.split() if holder else re.split(r"[^a-z]+", plain))
     return label, side
 
 
@@ -137,12 +138,12 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] in HOLDS[tag]:
                     break
-        label, side = _words(m[3] or m[6] or "")
+        label, side = _words(m[3] or m[6] or "", tag in ("article", "main"))
         if tag not in INLINE:
             close()
         serial += 1
         inside = any(x[0] in ("article", "main") for x in stack)
-        side = side and tag not in ("html", "body", "main") and not (tag == "article" and not inside)
+        side = side and tag not in ("html", "body")
         side = side or (tag in SIDE and not (tag == "header" and inside))
         stack.append((tag, f"{tag}.{label}" if label else tag, serial, side))
     close()
