@@ -46,14 +46,14 @@ def q_stream_ttl_dedup(spark, sf_dir):
 @register("stream_metrics", """
 WITH w AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n_events,
-         count(*) FILTER (WHERE event_type = 'error') AS n_errors, sum(value) AS value_sum
+         count(*) FILTER (WHERE event_type = 'error') AS n_errors, sum(CAST(value AS DECIMAL(18, 4))) AS value_sum
   FROM events GROUP BY 1),
 wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM events)
 SELECT epoch_us(window_start) AS window_start_us, CAST(n_events AS BIGINT) AS n_events,
-       CAST(n_errors AS BIGINT) AS n_errors, round(value_sum, 4) AS value_sum
+       CAST(n_errors AS BIGINT) AS n_errors, CAST(value_sum AS DOUBLE) AS value_sum
 FROM w, wm WHERE window_start + INTERVAL 1 HOUR <= watermark""")
 def q_stream_metrics(spark, sf_dir):
     ev = S.stream_table(spark, sf_dir, "events")
     out = S.run_available_now(S.windowed_metrics(ev, "1 hour", "1 hour"), "metrics")
     return out.select(F.unix_micros("window_start").alias("window_start_us"), "n_events", "n_errors",
-                      F.round("value_sum", 4).alias("value_sum"))
+                      F.col("value_sum").cast("double").alias("value_sum"))

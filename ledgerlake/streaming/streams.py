@@ -22,12 +22,13 @@ from ledgerlake.session import scratch_path
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """One supplied table as a streaming source (zone-less timestamps cast to
     session-zone TIMESTAMP so watermarks accept them)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    root = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{root}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.parquet(sf_dir)
+    # a glob of one name: the stream source takes it for a single file as well as for a folder of part files
+    df = reader.parquet(f"{root}/{{{name}}}.parquet")
     for f in schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
@@ -107,6 +108,6 @@ def windowed_metrics(events: DataFrame, window: str = "1 hour", watermark: str =
     w = events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("n_errors"),
-        F.sum("value").alias("value_sum"))
+        F.sum(F.col("value").cast("decimal(18,4)")).alias("value_sum"))
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "n_events", "n_errors", "value_sum")
