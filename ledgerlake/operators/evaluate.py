@@ -232,11 +232,20 @@ def score_pairs(pairs: DataFrame, id_col: str = "id") -> DataFrame:
                        *field_confusion(F.col("pred_entries"), F.col("gold_entries"), F.col("parsed_ok")))
 
 
-def score_records(predictions: DataFrame, gold: DataFrame, id_col: str = "id") -> DataFrame:
-    """Pair raw outputs (tag, id, prediction) with gold (id, ``invoice``
-    struct) by id -- one equi-join -- and score each pair."""
+def score_records(predictions: DataFrame, gold: DataFrame, tags: list[str], id_col: str = "id") -> DataFrame:
+    """Pair raw outputs (tag, id, prediction) of the runs ``tags`` with gold
+    (id, ``invoice`` struct) by tag and id and score each pair.
+
+    A target without an answer scores as an unparseable one (all its fields
+    are missed); an answer without a target has only false positives. Use
+    ``runs.require_aligned`` to refuse such runs instead.
+    """
+    every = F.array(*[F.lit(t) for t in tags])
     gold_flat = gold.select(id_col, flatten_invoice(F.col("invoice")).alias("gold_entries"))
-    return score_pairs(predictions.join(gold_flat, id_col, "inner"), id_col)
+    gold_flat = gold_flat.withColumn("tag", F.explode(every))
+    pairs = predictions.select("tag", id_col, "prediction").join(gold_flat, ["tag", id_col], "full_outer")
+    none = F.array().cast("array<string>")
+    return score_pairs(pairs.withColumn("gold_entries", F.coalesce("gold_entries", none)), id_col)
 
 
 def _rate(num: Column, den: Column) -> Column:

@@ -10,9 +10,16 @@ COMPARED_METRICS = ["field_f1", "field_precision", "field_recall", "exact_match_
 
 
 def run_report(report: DataFrame, runs: DataFrame) -> DataFrame:
-    """Attach run metadata (model, include_schema) to the per-tag report.
-    ``runs`` holds one row per tag, so the join is a tiny broadcast."""
-    return report.join(F.broadcast(runs), "tag", "inner")
+    """Attach run metadata (model, include_schema) to the per-tag report; a
+    tag without metadata keeps its report, with nulls."""
+    return report.join(runs, "tag", "left")
+
+
+def require_aligned(report: DataFrame) -> None:
+    """Raise if ``alignment_report`` found unmatched ids in any run."""
+    bad = [f"{r['tag']}: {r['n_unmatched']}" for r in report.where("n_unmatched > 0").orderBy("tag").limit(20).collect()]
+    if bad:
+        raise ValueError("predictions and targets do not pair up; unmatched ids by run: " + ", ".join(bad))
 
 
 def alignment_report(predictions: DataFrame, gold_ids: DataFrame, tags: list[str]) -> DataFrame:

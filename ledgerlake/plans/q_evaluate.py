@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import values as V
 from ledgerlake.functions.jsontext import salvage_object, strip_fences
 from ledgerlake.operators import evaluate as E
-from ledgerlake.operators.evaluate import score_pairs, score_report
-from ledgerlake.operators.invoice import INVOICE, as_invoice
+from ledgerlake.operators.evaluate import score_records, score_report
+from ledgerlake.operators.invoice import as_invoice
 from ledgerlake.operators.runs import alignment_report, compare_runs, run_report
 from ledgerlake.plans.derived import gold_invoices, predictions
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.sql_invoice import WITH_ALL, WITH_REPORT, str_tag
+from ledgerlake.session import scratch_path
 from ledgerlake.sources.tables import table
 
 RUNS = {"baseline": ("base-instruct", True), "tuned": ("tuned-adapter", False)}
@@ -24,13 +25,25 @@ def _inputs(spark, sf_dir):
     return gold, as_invoice(gold, ["id"]), predictions(gold)
 
 
-def _pairs(spark, sf_dir):
-    """Both runs paired with their target by construction: gold is derived
-    once, flattened once per order, then fanned out to the two runs."""
-    gold = gold_invoices(spark, sf_dir)
-    inv_struct = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INVOICE.fields])
-    flat = gold.withColumn("gold_entries", E.flatten_invoice(inv_struct))
-    return predictions(flat, carry=["gold_entries"])
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def stored_runs(spark, sf_dir):
+    """Prediction (tag, id, prediction) and target (id, invoice) tables as a
+    run leaves them: two written tables, made once per session and data set."""
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _STORED:
+        _, targets, preds = _inputs(spark, sf_dir)
+        paths = scratch_path(spark, "targets"), scratch_path(spark, "predictions")
+        targets.write.parquet(paths[0])
+        preds.write.parquet(paths[1])
+        _STORED[made] = paths
+    return [spark.read.parquet(p) for p in reversed(_STORED[made])]
+
+
+def _scored(spark, sf_dir):
+    preds, targets = stored_runs(spark, sf_dir)
+    return score_records(preds, targets, list(RUNS))
 
 
 def _runs(spark):
@@ -80,24 +93,24 @@ def q_flatten_record(spark, sf_dir):
 
 @register("field_confusion", WITH_ALL + "SELECT tag, id, tp, fp, fn FROM confusion")
 def q_field_confusion(spark, sf_dir):
-    return score_pairs(_pairs(spark, sf_dir)).select("tag", "id", "tp", "fp", "fn")
+    return _scored(spark, sf_dir).select("tag", "id", "tp", "fp", "fn")
 
 
 @register("exact_match", WITH_ALL + "SELECT tag, id, exact FROM confusion")
 def q_exact_match(spark, sf_dir):
-    return score_pairs(_pairs(spark, sf_dir)).select("tag", "id", "exact")
+    return _scored(spark, sf_dir).select("tag", "id", "exact")
 
 
 @register("field_prf", WITH_REPORT + "SELECT tag, field_precision, field_recall, field_f1 FROM report")
 def q_field_prf(spark, sf_dir):
-    return score_report(score_pairs(_pairs(spark, sf_dir))).select(
+    return score_report(_scored(spark, sf_dir)).select(
         "tag", "field_precision", "field_recall", "field_f1")
 
 
 @register("json_health", WITH_REPORT + """
 SELECT tag, n, json_parse_rate, invalid_json_syntax_rate, schema_validity_rate FROM report""")
 def q_json_health(spark, sf_dir):
-    return score_report(score_pairs(_pairs(spark, sf_dir))).select(
+    return score_report(_scored(spark, sf_dir)).select(
         "tag", "n", "json_parse_rate", "invalid_json_syntax_rate", "schema_validity_rate")
 
 
@@ -106,7 +119,7 @@ SELECT r.*, runs.model, runs.include_schema FROM report r JOIN {RUNS_SQL} ON r.t
 
 
 def score_run(spark, sf_dir):
-    return run_report(score_report(score_pairs(_pairs(spark, sf_dir))), _runs(spark))
+    return run_report(score_report(_scored(spark, sf_dir)), _runs(spark))
 
 
 register("score_run", SCORE_RUN_SQL)(score_run)
@@ -117,11 +130,17 @@ SELECT coalesce(p.tag, g.tag) AS tag,
        CAST(count(p.id) AS BIGINT) AS n_predictions, CAST(count(g.id) AS BIGINT) AS n_gold,
        CAST(count(*) FILTER (WHERE p.id IS NULL OR g.id IS NULL) AS BIGINT) AS n_unmatched
 FROM (SELECT id, unnest(['baseline', 'tuned']) AS tag FROM gold) g
-FULL OUTER JOIN predictions p ON p.tag = g.tag AND p.id = g.id
+FULL OUTER JOIN (SELECT tag, CASE WHEN tag = 'baseline' AND id % 101 = 7 THEN -id - 1 ELSE id END AS id
+                 FROM predictions WHERE NOT (tag = 'tuned' AND id % 97 = 5)) p ON p.tag = g.tag AND p.id = g.id
 GROUP BY 1""")
 def q_alignment_guard(spark, sf_dir):
-    gold, _, preds = _inputs(spark, sf_dir)
-    return alignment_report(preds, gold.select("id"), ["baseline", "tuned"])
+    """The runs with faults: ``tuned`` lacks some answers, ``baseline`` has
+    some under ids that no target has."""
+    preds, targets = stored_runs(spark, sf_dir)
+    tag, key = F.col("tag"), F.col("id")
+    faulty = preds.filter(~((tag == "tuned") & (key % 97 == 5))).withColumn(
+        "id", F.when((tag == "baseline") & (key % 101 == 7), -key - 1).otherwise(key))
+    return alignment_report(faulty, targets.select("id"), list(RUNS))
 
 
 @register("compare_runs", SCORE_RUN_SQL.replace("SELECT r.*, runs.model", """, scored_runs AS (
