@@ -1,72 +1,48 @@
-"""Text embedders: the deterministic hashed bag-of-words (native) and a
-pluggable model encoder (Arrow-batched pandas UDF, one load per task)."""
+"""Text embedders: the deterministic hashed bag-of-words (DataFrame functions)
+and a pluggable model encoder (Arrow-batched pandas UDF, one load per task)."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.vectors import l2_normalize
 
 DEFAULT_DIMS = 64
 
 
-CACHE_LIMIT = 1 << 20
-
-
-def _hash_count_batch(texts: pd.Series, dims: int, unit: bool = False, cache: dict | None = None) -> pd.Series:
-    """Token counts per hashed slot for a batch of already-normalized texts
-    (divided by their Euclidean norm when ``unit``; zero stays zero).
-
-    ``cache`` memoizes token -> slot: vocabularies repeat heavily, so most
-    tokens are hashed once per task."""
-    cache = {} if cache is None else cache
-    out = []
-    for text in texts:
-        if text is None:
-            out.append(None)
-            continue
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-        slots = []
-        for tok in text.split():
-            slot = cache.get(tok)
-            if slot is None:
-                slot = int.from_bytes(hashlib.sha1(tok.encode()).digest()[:4], "big") % dims
-                cache[tok] = slot
-            slots.append(slot)
-        vec = np.bincount(np.asarray(slots, dtype=np.int64), minlength=dims).astype(np.float64)
-        norm = float(np.sqrt(vec @ vec))
-        out.append(vec / norm if unit and norm > 0 else vec)
-    return pd.Series(out)
-
-
-def hash_counts(text, dims: int = DEFAULT_DIMS, unit: bool = False) -> Column:
-    """Token counts per hashed slot, as ARRAY<DOUBLE> of length ``dims``.
-
-    ``text`` must already be normalized (``normalize_text``): tokens are its
-    whitespace-separated words. Per-token SHA-1 plus a bincount is done in an
-    Arrow-batched pandas UDF: the native alternative either re-hashes every
-    token once per slot (array lambdas re-evaluate outer expressions) or needs
-    an explode plus two shuffles. Narrow: no shuffle, linear in text size.
+def token_slot(token: Column, dims: int = DEFAULT_DIMS) -> Column:
+    """Vector slot of a word: the first 32 bits of its SHA-1, modulo ``dims``."""
+    return (F.conv(F.substring(F.sha1(token), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
+
+
+def slot_counts(texts: DataFrame, key: str, text: str, dims: int = DEFAULT_DIMS) -> DataFrame:
+    """(key, dim, c): words per hashed slot of each key's normalized text.
+
+    Counts are combined before the shuffle, so a document ships at most
+    ``dims`` small rows however long it is.
     """
-    cache: dict = {}
+    words = texts.select(key, F.explode(F.split(text, " ")).alias("word")).where("word <> ''")
+    return words.groupBy(key, token_slot(F.col("word"), dims).alias("dim")).agg(F.count(F.lit(1)).alias("c"))
 
-    @F.pandas_udf("array<double>")
-    def _counts(texts: pd.Series) -> pd.Series:
-        return _hash_count_batch(texts, dims, unit, cache)
 
-    return _counts(F.col(text) if isinstance(text, str) else text)
+def count_vectors(texts: DataFrame, key: str, text: str, dims: int = DEFAULT_DIMS, name: str = "embedding") -> DataFrame:
+    """(key, vector): the slot counts as ARRAY<DOUBLE>; keys without words have
+    no row. Keys whose rows repeat one text get a multiple of its vector."""
+    slots = slot_counts(texts, key, text, dims).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("dim", F.col("c").cast("double").alias("c")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return slots.select(key, dense.alias(name))
 
 
-def hash_embed(text, dims: int = DEFAULT_DIMS) -> Column:
-    """Unit-length hashed bag-of-words vector of normalized text (zero vector
-    for empty text)."""
-    return hash_counts(text, dims, unit=True)
+def hash_embed(texts: DataFrame, key: str, text: str, dims: int = DEFAULT_DIMS) -> DataFrame:
+    """(key, embedding): unit-length hashed bag-of-words vectors."""
+    counts = count_vectors(texts, key, text, dims)
+    return counts.select(key, l2_normalize("embedding").alias("embedding"))
 
 
 def model_embed(encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]],

@@ -27,17 +27,32 @@ DEFAULT_TTL_SECONDS = 86_400
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add exact key, number fingerprint and hashed embedding; drop the text.
+    """Replace the text by exact key, number fingerprint and normalized text.
 
-    Narrow projection only: the raw text never reaches a shuffle.
+    Narrow projection only; ``norm`` is for ``vectors`` and is pruned where no
+    vector is wanted.
     """
     norm = T.normalize_text(text_col)
     return (df.withColumn("exact_key", F.sha2(norm, 256))
             .withColumn("digits", T.numeric_fingerprint(text_col))
-            .withColumn("embedding", hash_embed(norm))
+            .withColumn("norm", norm)
             .drop(text_col))
 
 
+def vectors(keyed_rows: DataFrame) -> DataFrame:
+    """(exact_key, embedding) of ``keyed`` rows. Rows of one key have one text,
+    so their summed counts have the direction of a single one."""
+    return hash_embed(keyed_rows.select("exact_key", "norm"), "exact_key", "norm")
+
+
+def unexpired(store: DataFrame, now: Column | None, ttl_seconds: int | None, written_at: str = "written_at") -> DataFrame:
+    """Entries that may still answer at ``now``: those written less than
+    ``ttl_seconds`` before. Without ``now`` or with a falsy ttl, all of them."""
+    if now is None or not ttl_seconds:
+        return store
+    return store.where(now < F.col(written_at) + F.make_interval(secs=F.lit(ttl_seconds)))
+
+
 def store_upsert(writes: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
     """Last write per key wins (both tiers are keyed by the exact key).
 
@@ -50,9 +65,11 @@ def store_upsert(writes: DataFrame, key: str, order: list[str], payload: list[st
     return latest.select(key, *[F.col(f"w.{c}").alias(c) for c in payload], "n_writes")
 
 
-def exact_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_id") -> DataFrame:
-    """Probes joined to stored answers on the exact key (left join)."""
-    s = store.select("exact_key", F.col("answer").alias("stored_answer"))
+def exact_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_id", now: Column | None = None,
+                 ttl_seconds: int | None = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """Probes joined to stored answers on the exact key (left join); with
+    ``now`` an entry past its ``ttl_seconds`` is no answer."""
+    s = unexpired(store, now, ttl_seconds).select("exact_key", F.col("answer").alias("stored_answer"))
     j = probes.select(probe_id, "exact_key").join(s, "exact_key", "left")
     hit = F.col("stored_answer").isNotNull()
     return j.select(probe_id, F.when(hit, F.lit("exact")).alias("tier"),
@@ -65,30 +82,35 @@ def lookup_miss(probes: DataFrame, store: DataFrame) -> DataFrame:
     return probes.join(store.select("exact_key"), "exact_key", "left_anti")
 
 
-def semantic_candidates(misses: DataFrame, store: DataFrame, probe_id: str = "probe_id",
-                        threshold: float = DEFAULT_THRESHOLD, materialized: bool = False) -> DataFrame:
-    """Top-1 store entry per probe, kept when similarity >= threshold, with the
-    stored fingerprint and answer joined back by key (payload stays out of the
-    similarity stage)."""
-    top = nearest(misses.select(probe_id, "embedding"), store.select("exact_key", "embedding"),
-                  probe_id, "exact_key", "embedding", threshold, materialize=not materialized)
+def semantic_candidates(probe_vectors: DataFrame, store: DataFrame, store_vectors: DataFrame, probe_id: str = "probe_id",
+                        threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Top-1 store entry per probe vector (probe_id, embedding), kept when
+    similarity >= threshold, with the stored fingerprint and answer joined
+    back by key (payload stays out of the similarity stage).
+    ``store_vectors`` (exact_key, embedding) may hold keys the store lacks."""
+    held = store_vectors.join(store.select("exact_key"), "exact_key", "left_semi")
+    top = nearest(probe_vectors.select(probe_id, "embedding"), held, probe_id, "exact_key", "embedding", threshold)
     meta = store.select(F.col("exact_key").alias("match_key"), F.col("digits").alias("match_digits"),
                         "answer")
     return top.join(meta, "match_key", "left")
 
 
-def two_tier_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_id",
+def two_tier_lookup(probes: DataFrame, store: DataFrame, store_vectors: DataFrame, probe_id: str = "probe_id",
                     threshold: float = DEFAULT_THRESHOLD, require_numeric_match: bool = True,
-                    semantic_enabled: bool = True) -> DataFrame:
+                    semantic_enabled: bool = True, now: Column | None = None,
+                    ttl_seconds: int | None = DEFAULT_TTL_SECONDS) -> DataFrame:
     """Outcome per probe: probe_id, outcome, tier, similarity, match_key, answer.
 
-    Probe and store tables are checkpointed once (shared folder) and every
-    branch -- exact join, anti join, similarity search, guard join -- reads
-    them, so keys and embeddings are computed once per input row.
+    ``probes`` are ``keyed`` rows, ``store`` has exact_key, digits and answer
+    (and written_at, if ``now`` is given: an entry past its ``ttl_seconds``
+    answers in neither tier), ``store_vectors`` its ``vectors``. Keys and
+    answers are checkpointed once (shared folder); vectors are made only for
+    the keys that the exact tier leaves open.
     """
     ensure_checkpoint_dir(probes.sparkSession)
-    probes = probes.select(probe_id, "exact_key", "digits", "embedding").checkpoint()
-    store = store.select("exact_key", "digits", "embedding", "answer").checkpoint()
+    texts = probes.select("exact_key", "norm")
+    probes = probes.select(probe_id, "exact_key", "digits").checkpoint()
+    store = unexpired(store, now, ttl_seconds).select("exact_key", "digits", "answer").checkpoint()
     ex = probes.select(probe_id, "exact_key").join(
         store.select("exact_key", "answer"), "exact_key", "inner")
     exact = ex.select(probe_id, F.lit("exact").alias("outcome"), F.lit("exact").alias("tier"),
@@ -104,11 +126,9 @@ def two_tier_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "probe_
     # numbers), so search once per distinct missing key: a document resubmitted
     # a million times costs one search. ``min_by`` keeps it deterministic and
     # is a partial aggregate, so a hot key ships one row per map task.
-    keys = (misses.groupBy("exact_key")
-            .agg(F.min_by(F.struct("embedding", "digits"), F.col(probe_id)).alias("r"))
-            .select("exact_key", "r.embedding", "r.digits").checkpoint())
-    cand = semantic_candidates(keys.withColumnRenamed("exact_key", "probe_key"), store, "probe_key",
-                               threshold, materialized=True)
+    keys = misses.groupBy("exact_key").agg(F.min_by("digits", F.col(probe_id)).alias("digits")).checkpoint()
+    probe_vectors = vectors(texts).join(keys.select("exact_key"), "exact_key", "left_semi").withColumnRenamed("exact_key", "probe_key")
+    cand = semantic_candidates(probe_vectors, store, store_vectors, "probe_key", threshold)
     cand = cand.join(keys.select(F.col("exact_key").alias("probe_key"), "digits"), "probe_key", "inner")
     agree = F.col("digits").eqNullSafe(F.col("match_digits"))
     passes = agree if require_numeric_match else F.lit(True)

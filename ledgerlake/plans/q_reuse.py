@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as T
-from ledgerlake.functions.vectors import cosine, l2_normalize
+from ledgerlake.functions.vectors import cosine
 from ledgerlake.operators import reuse as R
-from ledgerlake.operators.embed import hash_counts, model_embed
+from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, slot_counts
 from ledgerlake.operators.similarity import nearest, pairs_above
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
@@ -31,9 +31,12 @@ def _docs(spark, sf_dir):
 
 
 def _store(keyed):
-    writes = keyed.filter(F.pmod("doc_id", F.lit(5)) != 0).withColumn(
-        "answer", F.to_json(F.struct("doc_id", "source")))
-    return R.store_upsert(writes, "exact_key", ["doc_id"], ["doc_id", "answer", "digits", "embedding"])
+    writes = _writes(keyed).withColumn("answer", F.to_json(F.struct("doc_id", "source")))
+    return R.store_upsert(writes, "exact_key", ["doc_id"], ["doc_id", "answer", "digits"])
+
+
+def _writes(keyed):
+    return keyed.filter(F.pmod("doc_id", F.lit(5)) != 0)
 
 
 def _probes(keyed):
@@ -42,7 +45,7 @@ def _probes(keyed):
 
 def _lookup(spark, sf_dir, **opts):
     keyed = _docs(spark, sf_dir)
-    return R.two_tier_lookup(_probes(keyed), _store(keyed), "probe_id", **opts)
+    return R.two_tier_lookup(_probes(keyed), _store(keyed), R.vectors(_writes(keyed)), "probe_id", **opts)
 
 
 REUSE_WITH = f"""
@@ -108,20 +111,15 @@ def _outcome_cols(df):
 @register("hash_embed", REUSE_WITH + "\nSELECT doc_id, CAST(dim AS INT) AS dim, CAST(c AS BIGINT) AS count FROM vec")
 def q_hash_embed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    v = docs.select("doc_id", hash_counts(T.normalize_text("text")).alias("v"))
-    # posexplode_outer: a plain posexplode makes the optimizer infer a
-    # size(v) > 0 filter and push it below the exchange, evaluating the
-    # Python UDF twice.
-    e = v.select("doc_id", F.posexplode_outer("v").alias("dim", "c"))
-    return e.filter("c > 0").select("doc_id", "dim", F.col("c").cast("bigint").alias("count"))
+    norm = docs.select("doc_id", T.normalize_text("text").alias("norm"))
+    return slot_counts(norm, "doc_id", "norm").select("doc_id", "dim", F.col("c").alias("count"))
 
 
 @register("l2_normalize", REUSE_WITH + "\nSELECT doc_id, CAST(dim AS INT) AS dim, round(w, 6) AS value FROM vec")
 def q_l2_normalize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", hash_counts(T.normalize_text("text")).alias("c"))
-    v = counts.select("doc_id", l2_normalize("c").alias("v"))
-    e = v.select("doc_id", F.posexplode_outer("v").alias("dim", "w"))
+    v = hash_embed(docs.select("doc_id", T.normalize_text("text").alias("norm")), "doc_id", "norm")
+    e = v.select("doc_id", F.posexplode("embedding").alias("dim", "w"))
     return e.filter("w <> 0").select("doc_id", "dim", F.round("w", 6).alias("value"))
 
 
@@ -133,7 +131,7 @@ SELECT i.doc_id AS doc_a, j.doc_id AS doc_b, round(coalesce(dots.dot, 0.0), 6) A
 FROM ids i JOIN ids j ON j.doc_id = i.doc_id + 1 LEFT JOIN dots ON dots.doc_a = i.doc_id""")
 def q_cosine_similarity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    v = docs.select("doc_id", hash_counts(T.normalize_text("text")).alias("v"))
+    v = count_vectors(docs.select("doc_id", T.normalize_text("text").alias("norm")), "doc_id", "norm", name="v")
     a = v.select(F.col("doc_id").alias("doc_a"), F.col("v").alias("va"))
     b = v.select(F.col("doc_id").alias("doc_b"), F.col("v").alias("vb"))
     j = a.join(b, b.doc_b == a.doc_a + 1)
@@ -196,11 +194,18 @@ def q_semantic_top1(spark, sf_dir):
                       F.round("similarity", 6).alias("similarity"))
 
 
+def _candidates(keyed):
+    """Probes without an exact answer, and their best store entry."""
+    store = _store(keyed)
+    misses = R.lookup_miss(_probes(keyed), store)
+    probe_vectors = misses.select("probe_id", "exact_key").join(R.vectors(_probes(keyed)), "exact_key")
+    return misses, R.semantic_candidates(probe_vectors, store, R.vectors(_writes(keyed)), "probe_id", THRESHOLD)
+
+
 @register("similarity_threshold", REUSE_WITH + "\nSELECT probe_id, match_key, round(sim, 6) AS similarity FROM cand")
 def q_similarity_threshold(spark, sf_dir):
     keyed = _docs(spark, sf_dir)
-    store = _store(keyed)
-    cand = R.semantic_candidates(R.lookup_miss(_probes(keyed), store), store, "probe_id", THRESHOLD)
+    _, cand = _candidates(keyed)
     return cand.select("probe_id", "match_key", F.round("similarity", 6).alias("similarity"))
 
 
@@ -208,10 +213,8 @@ def q_similarity_threshold(spark, sf_dir):
 SELECT probe_id, match_key, digits IS NOT DISTINCT FROM match_digits AS guard_ok FROM cand""")
 def q_numeric_guard(spark, sf_dir):
     keyed = _docs(spark, sf_dir)
-    store = _store(keyed)
-    misses = R.lookup_miss(_probes(keyed), store)
-    cand = R.semantic_candidates(misses, store, "probe_id", THRESHOLD).join(
-        misses.select("probe_id", "digits"), "probe_id")
+    misses, cand = _candidates(keyed)
+    cand = cand.join(misses.select("probe_id", "digits"), "probe_id")
     return cand.select("probe_id", "match_key",
                        F.col("digits").eqNullSafe(F.col("match_digits")).alias("guard_ok"))
 
@@ -270,9 +273,10 @@ FROM pairs p JOIN store sa ON sa.exact_key = p.key_a JOIN store sb ON sb.exact_k
 WHERE p.sim >= {THRESHOLD} AND sa.digits IS DISTINCT FROM sb.digits""")
 def q_guard_collision_report(spark, sf_dir):
     ensure_checkpoint_dir(spark)
-    store = _store(_docs(spark, sf_dir)).select("exact_key", "digits", "embedding").checkpoint()
-    pairs = pairs_above(store, store, "exact_key", "exact_key", "embedding", THRESHOLD, self_join=True,
-                        materialize=False)
+    keyed = _docs(spark, sf_dir)
+    store = _store(keyed).select("exact_key", "digits").checkpoint()
+    held = R.vectors(_writes(keyed))
+    pairs = pairs_above(held, held, "exact_key", "exact_key", "embedding", THRESHOLD, self_join=True)
     fa = store.select(F.col("exact_key").alias("a"), F.col("digits").alias("da"))
     fb = store.select(F.col("exact_key").alias("b"), F.col("digits").alias("db"))
     j = pairs.join(fa, "a").join(fb, "b").filter(~F.col("da").eqNullSafe(F.col("db")))
@@ -293,6 +297,23 @@ def q_store_clear(spark, sf_dir):
     return R.clear_store(store)
 
 
+EXPIRY_NOW, EXPIRY_TTL = "2024-01-03 00:00:00", 86_400
+
+
+@register("expiring_lookup", REUSE_WITH + f""",
+live AS (SELECT * FROM store WHERE TIMESTAMP '{EXPIRY_NOW}' < TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 4) DAY + INTERVAL (EXPIRES) SECOND)
+SELECT p.probe_id, CASE WHEN s.answer IS NOT NULL THEN 'exact' END AS tier,
+       CASE WHEN s.answer IS NOT NULL THEN CAST(1.0 AS DOUBLE) END AS similarity, s.answer
+FROM probes p LEFT JOIN live s USING (exact_key)""".replace("(EXPIRES)", str(EXPIRY_TTL)))
+def q_expiring_lookup(spark, sf_dir):
+    """Exact lookups when half of the entries, written on four successive
+    days, have expired; their probes are misses."""
+    keyed = _docs(spark, sf_dir)
+    written = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(days=F.pmod("doc_id", F.lit(4)).cast("int"))
+    store = _store(keyed).withColumn("written_at", written)
+    return R.exact_lookup(_probes(keyed), store, now=F.to_timestamp(F.lit(EXPIRY_NOW)), ttl_seconds=EXPIRY_TTL)
+
+
 @register("ttl_expire", f"""
 WITH w AS (SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS key, ts FROM events),
 now_t AS (SELECT max(ts) AS now FROM events),
