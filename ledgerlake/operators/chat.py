@@ -20,21 +20,21 @@ RESPONSE_MARKER = "<|start_header_id|>assistant<|end_header_id|>"
 
 
 class ChatTemplate:
-    """Chat template as parameters: per-message prefix / suffix around
-    ``role`` and ``content`` plus a closing text. The default is a Llama-3
-    style stand-in."""
+    """Chat template as parameters: an opening, then per message ``head``,
+    role, ``role_end``, content and ``message_end``, then a closing."""
 
-    def __init__(self, head="<|start_header_id|>", role_end="<|end_header_id|>\n", message_end="",
-                 closing="<|eot_id|>"):
-        self.head, self.role_end, self.message_end, self.closing = head, role_end, message_end, closing
+    def __init__(self, head: str, role_end: str, message_end: str, opening: str = "", closing: str = ""):
+        self.head, self.role_end, self.message_end = head, role_end, message_end
+        self.opening, self.closing = opening, closing
 
     def render(self, messages: Column) -> Column:
         parts = F.transform(messages, lambda m: F.concat(
             F.lit(self.head), m["role"], F.lit(self.role_end), m["content"], F.lit(self.message_end)))
-        return F.concat(F.array_join(parts, ""), F.lit(self.closing))
+        return F.concat(F.lit(self.opening), F.array_join(parts, ""), F.lit(self.closing))
 
 
-LLAMA3 = ChatTemplate()
+# The Llama 3 chat format.
+LLAMA3 = ChatTemplate("<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>", opening="<|begin_of_text|>")
 
 _TITLES = {"vendor": "Vendor", "invoice_number": "Invoice Number", "invoice_date": "Invoice Date",
            "line_items": "Line Items", "subtotal": "Subtotal", "tax": "Tax", "total": "Total",
@@ -98,8 +98,7 @@ def to_conversation(document: Column, invoice: Column, include_schema: bool = Fa
         F.struct(F.lit("assistant").alias("role"), build_completion(invoice).alias("content"))))
 
 
-def format_records(records: DataFrame, template: ChatTemplate = LLAMA3,
-                   include_schema: bool = False) -> DataFrame:
+def format_records(records: DataFrame, template: ChatTemplate, include_schema: bool = False) -> DataFrame:
     """Records (``text`` + ``invoice``) -> one templated training string each.
     A pure projection: three messages per record, no grouping."""
     return records.withColumn("formatted", template.render(

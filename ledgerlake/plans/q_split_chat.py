@@ -110,8 +110,8 @@ conv AS (
   UNION ALL SELECT id, 1, 'user', {lit(_USER_HEAD)} || text || {lit(_USER_TAIL)} FROM recs
   UNION ALL SELECT id, 2, 'assistant', target FROM recs),
 fmt AS (
-  SELECT id, string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || content, '' ORDER BY pos)
-         || '<|eot_id|>' AS formatted
+  SELECT id, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)
+         || content || '<|eot_id|>', '' ORDER BY pos) AS formatted
   FROM conv GROUP BY id)
 """
 
@@ -125,7 +125,7 @@ def q_to_conversation(spark, sf_dir):
 
 @register("format_records", RECORDS_SQL + "SELECT id, formatted AS text FROM fmt")
 def q_format_records(spark, sf_dir):
-    return CH.format_records(records(spark, sf_dir)).select("id", F.col("formatted").alias("text"))
+    return CH.format_records(records(spark, sf_dir), CH.LLAMA3).select("id", F.col("formatted").alias("text"))
 
 
 _M = CH.RESPONSE_MARKER
@@ -137,11 +137,11 @@ SELECT id, CAST(instr(formatted, {lit(_M)}) AS INT) AS marker_pos,
        round((instr(formatted, {lit(_M)}) + {len(_M)} - 1) / length(formatted), 6) AS unscored_share
 FROM fmt""")
 def q_completion_span(spark, sf_dir):
-    f = CH.format_records(records(spark, sf_dir))
+    f = CH.format_records(records(spark, sf_dir), CH.LLAMA3)
     return f.select("id", *CH.completion_span(F.col("formatted")))
 
 
 @register("training_text_dataset", RECORDS_SQL + "SELECT formatted AS text FROM fmt")
 def q_training_text_dataset(spark, sf_dir):
-    f = CH.format_records(records(spark, sf_dir)).select(F.col("formatted").alias("text"))
+    f = CH.format_records(records(spark, sf_dir), CH.LLAMA3).select(F.col("formatted").alias("text"))
     return roundtrip_parquet(f, "train_text")
