@@ -1,74 +1,66 @@
 """Exact order statistics without gathering a column into one task.
 
 ``percentile`` (exact) keeps every distinct value of its group in one
-aggregation buffer; at scale that buffer is the whole column. Here the exact
-k-th value is found by narrowing: an approximate quantile sketch brackets
-rank k, one aggregate counts what lies below and inside the bracket, and only
-a bracket of bounded size (grouped by value) ever reaches the driver.
+aggregation buffer; at scale that buffer is the whole column. Here the column
+is counted by value, the distinct values are range-partitioned once, and the
+partition totals tell in which partition each wanted rank lies. Only those
+partitions are walked. The same steps run at every size.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_LIMIT = 50_000
-REL_ERROR = 1e-4
+from ledgerlake.sources.io import roundtrip_parquet
 
 
-def kth_value(values: DataFrame, k: int, n: int) -> float:
-    """0-based k-th smallest of column ``x`` (n non-null values).
+def values_at_ranks(df: DataFrame, col: str, ranks) -> dict[int, float]:
+    """The values at 0-based ``ranks`` of the sorted non-null column.
 
-    Each round: sketch bracket [a, b] around the rank (rank error of the
-    sketch is at most REL_ERROR * m), one aggregate for the counts below,
-    at and inside it; a rank inside the run of a or of b is answered at once,
-    otherwise the window becomes the open interval (a, b). Only a window of at
-    most WINDOW_LIMIT rows, grouped by value, is ever collected.
+    ``ranks`` maps the number of non-null values to the ranks wanted. The
+    driver sees one row per range partition and one per rank; a value that
+    many rows share is one counted row.
     """
-    below, m = 0, n
-    window = values
-    while m > WINDOW_LIMIT:
-        r = k - below
-        frac = r / max(m - 1, 1)
-        a, b = window.approxQuantile("x", [max(0.0, frac - 4 * REL_ERROR), min(1.0, frac + 4 * REL_ERROR)],
-                                     REL_ERROR)
-        x = F.col("x")
-        st = window.agg(F.sum(F.when(x < a, 1).otherwise(0)).alias("lt"),
-                        F.sum(F.when(x == a, 1).otherwise(0)).alias("eq_a"),
-                        F.sum(F.when(x == b, 1).otherwise(0)).alias("eq_b"),
-                        F.sum(F.when((x >= a) & (x <= b), 1).otherwise(0)).alias("inside")).first()
-        lt, eq_a, eq_b, inside = (int(st[c] or 0) for c in ("lt", "eq_a", "eq_b", "inside"))
-        if not lt <= r < lt + inside:
-            raise RuntimeError("approximate bracket missed the rank")
-        if r < lt + eq_a:
-            return a
-        if r >= lt + inside - eq_b:
-            return b
-        below += lt + eq_a
-        m = inside - eq_a - (eq_b if b != a else 0)
-        window = window.filter((x > a) & (x < b))
-    counts = window.groupBy("x").count().orderBy("x").collect()
-    r = k - below
-    for row in counts:
-        if r < row["count"]:
-            return row["x"]
-        r -= row["count"]
-    raise RuntimeError("rank outside data")
+    counts = (df.select(F.col(col).cast("double").alias("x")).where("x is not null")
+              .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
+    ranged = roundtrip_parquet(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("part").agg(F.sum("c").alias("c"), F.min("x").alias("low")).orderBy("low").collect()
+    wanted = sorted(set(ranks(sum(p["c"] for p in parts))))
+    # each wanted rank inside its partition
+    places, below = [], 0
+    for p in parts:
+        places += [(k, p["part"], k - below) for k in wanted if below <= k < below + p["c"]]
+        below += p["c"]
+    if not places:
+        return {}
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("x"))
+    walked = ranged.where(F.col("part").isin(*{p for _, p, _ in places})).withColumn("upto", upto)
+    hit = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(part).alias("part"), F.lit(r).alias("r")) for k, part, r in places])
+    rows = (walked.withColumn("w", F.explode(hit))
+            .where("part = w.part and upto > w.r and upto - c <= w.r").select("w.k", "x").collect())
+    return {r["k"]: r["x"] for r in rows}
 
 
-def exact_percentile(df: DataFrame, col: str, p: float) -> float | None:
-    """Linear-interpolated percentile (the usual ``percentile_cont``)."""
-    values = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = values.count()
-    if n == 0:
-        return None
-    pos = (n - 1) * p
-    k = math.floor(pos)
-    frac = pos - k
-    lo = kth_value(values, k, n)
-    if frac == 0 or k + 1 >= n:
-        return lo
-    hi = kth_value(values, k + 1, n)
-    return lo + frac * (hi - lo)
+def exact_percentiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """Linear-interpolated percentiles (the usual ``percentile_cont``), all
+    read in one pass."""
+    total = 0
+
+    def ranks(n: int) -> list[int]:
+        nonlocal total
+        total = n
+        return [min(k, n - 1) for p in shares for k in (math.floor((n - 1) * p), math.floor((n - 1) * p) + 1) if n]
+
+    found = values_at_ranks(df, col, ranks)
+    out = []
+    for p in shares:
+        if not total:
+            out.append(None)
+            continue
+        place = (total - 1) * p
+        low, high = found[math.floor(place)], found[min(math.floor(place) + 1, total - 1)]
+        out.append(low + (place - math.floor(place)) * (high - low))
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import extract as X
 from ledgerlake.operators import reuse as R
-from ledgerlake.operators.stats import exact_percentile
+from ledgerlake.operators.stats import exact_percentiles
 from ledgerlake.plans import q_reuse as QR
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.sql_invoice import lit
@@ -173,7 +173,7 @@ WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, value,
                   row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn
            FROM events),
 m AS (SELECT user_id, day, min(ts) AS started, max(ts) AS finished, count(*) AS completion_tokens,
-             CAST(round(sum(value)) AS BIGINT) AS prompt_tokens, max(ts) FILTER (WHERE rn = 2) AS first_token
+             CAST(round(sum(CAST(value AS DECIMAL(18, 2)))) AS BIGINT) AS prompt_tokens, max(ts) FILTER (WHERE rn = 2) AS first_token
       FROM r GROUP BY user_id, day),
 metrics AS (
   SELECT user_id, strftime(day, '%Y-%m-%d') AS day,
@@ -189,7 +189,7 @@ metrics AS (
 
 def _metrics(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    marks = X.request_marks(ev, ["user_id", "day"], tokens=F.round(F.sum("value")).cast("bigint"))
+    marks = X.request_marks(ev, ["user_id", "day"], tokens=F.round(F.sum(F.col("value").cast("decimal(18,2)"))).cast("bigint"))
     return X.request_metrics(marks)
 
 
@@ -212,8 +212,7 @@ def q_latency_summary(spark, sf_dir):
     # passes and the final aggregate all read it.
     ensure_checkpoint_dir(spark)
     m = _metrics(spark, sf_dir).checkpoint()
-    p50 = exact_percentile(m, "ttft_ms", 0.5)
-    p99 = exact_percentile(m, "ttft_ms", 0.99)
+    p50, p99 = exact_percentiles(m, "ttft_ms", [0.5, 0.99])
     span = (F.unix_micros(F.max("finished")) - F.unix_micros(F.min("started"))) / 1e6
     return m.agg(
         F.count(F.lit(1)).alias("n_requests"),

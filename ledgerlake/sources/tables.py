@@ -10,37 +10,13 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Row groups are the unit of a parquet scan split: a table stored as fewer
-# row groups than the cluster has cores is read by that few tasks, and all
-# per-row work before the first shuffle stays that narrow.
-_SPLITS_CACHE: dict[str, int] = {}
+#: Session setting: deal every table to so many partitions after the scan.
+#: Unset (the default), tables are read as they are stored. It is meant for
+#: test files of one row group, which one task must read.
+SCAN_PARTITIONS = "ledgerlake.scan.partitions"
 
 
-def _row_groups(files: list[str]) -> int:
-    key = "|".join(files)
-    if key not in _SPLITS_CACHE:
-        try:
-            import pyarrow.parquet as pq
-            _SPLITS_CACHE[key] = sum(pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups
-                                     for f in files)
-        except Exception:  # noqa: BLE001 - remote storage: assume enough splits
-            _SPLITS_CACHE[key] = 1 << 30
-    return _SPLITS_CACHE[key]
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the source has fewer
-    splits than cores. With many input files (any real data set) this is a
-    no-op; only the file listing Spark already made is consulted."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= want or _row_groups(files) >= want:
-        return df
-    return df.repartition(want)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One supplied table; timestamps become session-zone TIMESTAMP.
 
     The files store zone-less timestamps (read as TIMESTAMP_NTZ). Watermarks
@@ -50,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) ->
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if parallel:
-        df = spread(df)
+    dealt = spark.conf.get(SCAN_PARTITIONS, None)
+    if dealt:
+        df = df.repartition(int(dealt))
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
