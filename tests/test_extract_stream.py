@@ -34,13 +34,14 @@ def test_request_metrics(spark):
     assert m[2]["ttft_ms"] is None and m[2]["tokens_per_second"] == 0.0
 
 
-def test_exact_percentile_bracketing(spark, monkeypatch):
-    monkeypatch.setattr(ST, "WINDOW_LIMIT", 50)
+def test_exact_percentiles(spark):
     rng = np.random.default_rng(0)
     vals = np.concatenate([rng.normal(size=3000), np.full(1000, 0.25)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    for p in (0.0, 0.3, 0.5, 0.99, 1.0):
-        assert abs(ST.exact_percentile(df, "v", p) - float(np.quantile(vals, p))) < 1e-12
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double").repartition(7)
+    shares = [0.0, 0.3, 0.5, 0.6180339, 0.99, 1.0]
+    assert np.allclose(ST.exact_percentiles(df, "v", shares), np.quantile(vals, shares), atol=1e-12)
+    assert ST.exact_percentiles(df.where("v > 99"), "v", [0.5]) == [None]
+    assert ST.exact_percentiles(df.where("v = 0.25"), "v", [0.0, 0.5, 1.0]) == [0.25] * 3
 
 
 def test_batch_extract_retries_and_failures(spark):
@@ -78,3 +79,20 @@ def test_ttl_first_sights_stream(spark, tmp_path):
     ev = S.stream_table(spark, str(src), "events").select("user_id", "event_type", "event_id", "ts")
     out = S.run_available_now(S.ttl_first_sights(ev, ["user_id", "event_type"], 86_400, "1 day"), "t")
     assert sorted(r["event_id"] for r in out.collect()) == [0, 3, 5]
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    from ledgerlake.streaming import streams as S
+    rows = spark.range(400).selectExpr("id AS event_id", "id % 7 AS user_id", "timestamp_seconds(1704067200 + id * 977) AS ts",
+                                       "'view' AS event_type", "0.1D AS value")
+    rows.coalesce(1).write.parquet(str(tmp_path / "whole"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "whole").glob("part-*")).rename(tmp_path / "one" / "events.parquet")
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    seen = []
+    for folder in ("one", "many"):
+        events = S.stream_table(spark, str(tmp_path / folder), "events").select("user_id", "event_type", "event_id", "ts", "value")
+        first = S.run_available_now(S.ttl_first_sights(events.drop("value"), ["user_id", "event_type"], 86_400, "1 day"), "first")
+        windows = S.run_available_now(S.windowed_metrics(events), "windows")
+        seen.append((sorted(r["event_id"] for r in first.collect()), sorted(tuple(r) for r in windows.collect())))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 7 and len(seen[0][1]) > 50
