@@ -17,6 +17,7 @@ from ledgerlake.operators.invoice import ITEM_FIELDS, MONEY_FIELDS, SCALAR_FIELD
 
 STRICT_SCHEMA = "array<map<string,string>>"
 DAY_SECONDS = 86400
+NOT_JSON_NUMBER = r"([:\[,]\s*)(NaN|-?Infinity)(?=\s*[,\]}])"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 ISO_MIDNIGHT = r"^\d{4}-\d{2}-\d{2}[T ]00:00(?::00(?:\.0+)?)?(?:Z|[+-]00:?00)?$"
 
@@ -148,7 +149,11 @@ def parse_predictions(df: DataFrame, raw_col: str = "prediction") -> DataFrame:
     ok = F.coalesce(F.col("clean").isNotNull() & (F.size(strict) == 1) & strict[0].isNotNull(),
                     F.lit(False))
     out = out.withColumn("parsed_ok", ok)
-    return out.withColumn("record", F.when(F.col("parsed_ok"), F.try_parse_json("clean")))
+    # of a repeated key the last value counts, as with most JSON readers; NaN and infinities, which
+    # JSON lacks but models write, become text that reads as such a number
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    quoted = F.regexp_replace("clean", NOT_JSON_NUMBER, '$1"$2"')
+    return out.withColumn("record", F.when(F.col("parsed_ok"), F.coalesce(F.try_parse_json("clean"), F.try_parse_json(quoted))))
 
 
 def validate_predictions(df: DataFrame) -> DataFrame:

@@ -65,11 +65,14 @@ def q_split_disjoint_check(spark, sf_dir):
     return SP.disjoint_report(_split_docs(spark, sf_dir), "doc_id")
 
 
-@register("split_sink", SPLIT_SQL + "\nSELECT split, CAST(count(*) AS BIGINT) AS n FROM splits GROUP BY split")
+@register("split_sink", SPLIT_SQL + """
+SELECT split, doc_id, text, lang, source FROM splits JOIN documents USING (doc_id)""")
 def q_split_sink(spark, sf_dir):
+    """Whole records, one folder per split, read back."""
     splits = _split_docs(spark, sf_dir).select("doc_id", "split")
-    back = roundtrip_json(splits, "splits", partition_by=["split"])
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    back = roundtrip_json(docs.join(splits, "doc_id"), "splits", partition_by=["split"])
+    return back.select("split", "doc_id", "text", "lang", "source")
 
 
 def _msg_sql(schema: bool) -> str:

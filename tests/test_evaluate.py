@@ -64,6 +64,16 @@ def test_confusion_by_hand(spark):
     assert confusion(spark, "no idea") == (0, 0, 15, False)
 
 
+def test_repeated_keys_and_non_numbers(spark):
+    twice = json.dumps(GOLD)[:-1] + ', "total": 5}'
+    back = '{"total": 5, ' + json.dumps(GOLD)[1:]
+    nan = json.dumps({**GOLD, "tax": float("nan")})
+    assert "NaN" in nan and flags(spark, twice, back, nan) == [(True, True), (True, True), (True, False)]
+    assert confusion(spark, twice) == (14, 1, 1, False)
+    assert confusion(spark, back) == (15, 0, 0, True)
+    assert confusion(spark, nan) == (14, 1, 1, False)
+
+
 def test_unmatched_rows_count(spark):
     rows = [("a", 0, json.dumps(GOLD)), ("a", 1, json.dumps(GOLD)), ("a", 77, json.dumps(GOLD)), ("b", 0, json.dumps(GOLD))]
     preds, gold = answers(spark, rows), targets(spark, 3)
