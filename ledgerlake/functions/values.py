@@ -63,24 +63,3 @@ def string_tag(c) -> Column:
     return (F.when(_col(c).isNull(), F.lit(None).cast("string"))
             .when(as_number.isNotNull(), number_tag(as_number))
             .otherwise(F.concat(F.lit("s:"), casefold(text))))
-
-
-def bool_tag(c) -> Column:
-    return F.when(_col(c).isNotNull(), F.concat(F.lit("b:"), F.lower(_col(c).cast("string"))))
-
-
-def variant_type(v) -> Column:
-    """JSON type name of a variant value; NULL when absent, VOID for JSON null."""
-    return F.schema_of_variant(v)
-
-
-def variant_tag(v) -> Column:
-    """Tag a parsed JSON value the way scoring normalizes a loaded Python value."""
-    t = variant_type(v)
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
-            .when(t == "BOOLEAN", bool_tag(F.try_variant_get(v, "$", "boolean")))
-            .when(t.rlike(NUMERIC_TYPE), number_tag(F.try_variant_get(v, "$", "double")))
-            .when(t == "STRING", string_tag(F.try_variant_get(v, "$", "string")))
-            .otherwise(F.concat(F.lit("s:"), F.to_json(v))))
-
-

@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import text as T
 
 
-def with_document_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``norm_text``, ``exact_key`` and ``digits`` (number fingerprint).
-
-    Pure projection: no shuffle. Callers should drop ``text``/``norm_text``
-    as soon as the keys are computed so later shuffles carry 64-char keys
-    instead of whole documents.
-    """
-    return (df
-            .withColumn("norm_text", T.normalize_text(text_col))
-            .withColumn("exact_key", F.sha2(F.col("norm_text"), 256))
-            .withColumn("digits", T.numeric_fingerprint(text_col)))
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Collapse documents that are identical after normalization.
 

@@ -125,7 +125,3 @@ def as_invoice(df: DataFrame, prefix_cols: list[str]) -> DataFrame:
     """Pack flat invoice columns into one ``invoice`` struct column."""
     return df.select(*prefix_cols, F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in INVOICE.fields])
                      .alias("invoice"))
-
-
-def money_col(c) -> Column:
-    return c.cast(MONEY)

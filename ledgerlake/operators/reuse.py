@@ -14,7 +14,7 @@ and ``miss``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as T
@@ -182,8 +182,8 @@ def live_entries(writes: DataFrame, key: str, written_at: str, now: Column,
     return latest.withColumn("expires_at", exp).filter(now < F.col("expires_at"))
 
 
-def clear_store(store: DataFrame) -> DataFrame:
-    """Both tiers emptied: an empty table with the store's schema, to be
-    written over the store with mode ``overwrite``. Counters restart from the
-    next lookup's outcomes, so nothing else needs resetting."""
-    return store.limit(0)
+def clear_store(spark: SparkSession, path: str) -> None:
+    """Empty the stored table at ``path``; its schema stays. Counters restart
+    from the next lookup's outcomes, so nothing else needs resetting."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

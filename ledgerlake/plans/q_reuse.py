@@ -17,7 +17,7 @@ from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, s
 from ledgerlake.operators.similarity import nearest, pairs_above
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.session import ensure_checkpoint_dir, scratch_path
 from ledgerlake.sources.tables import table
 
 THRESHOLD = 0.95
@@ -291,10 +291,11 @@ def q_store_upsert(spark, sf_dir):
 
 @register("store_clear", REUSE_WITH + "\nSELECT exact_key, doc_id, answer FROM store WHERE false")
 def q_store_clear(spark, sf_dir):
-    """Clearing both tiers = replacing the store with an empty table of the
-    same schema (written back by the caller with mode overwrite)."""
-    store = _store(_docs(spark, sf_dir)).select("exact_key", "doc_id", "answer")
-    return R.clear_store(store)
+    """A stored table, cleared: overwritten by an empty one and read back."""
+    path = scratch_path(spark, "store")
+    _store(_docs(spark, sf_dir)).select("exact_key", "doc_id", "answer").write.parquet(path)
+    R.clear_store(spark, path)
+    return spark.read.parquet(path)
 
 
 EXPIRY_NOW, EXPIRY_TTL = "2024-01-03 00:00:00", 86_400

@@ -68,97 +68,6 @@ def str_tag(s: str) -> str:
             f"ELSE 's:' || {fold(text)} END)")
 
 
-def json_tag(doc: str, path: str) -> str:
-    """Tag of the JSON value at ``path`` inside JSON text ``doc``."""
-    jt = f"json_type({doc}, {path})"
-    s = f"json_extract_string({doc}, {path})"
-    return (f"(CASE WHEN {jt} IS NULL OR {jt} = 'NULL' THEN NULL "
-            f"WHEN {jt} = 'BOOLEAN' THEN 'b:' || {s} "
-            f"WHEN {jt} IN {NUM_TYPES} THEN {num_tag(f'CAST({s} AS DOUBLE)')} "
-            f"WHEN {jt} = 'VARCHAR' THEN {str_tag(s)} "
-            f"ELSE 's:' || CAST(json_extract({doc}, {path}) AS VARCHAR) END)")
-
-
-def float_like(doc: str, path: str) -> str:
-    jt = f"json_type({doc}, {path})"
-    s = f"json_extract_string({doc}, {path})"
-    return (f"(CASE WHEN {jt} IN {NUM_TYPES} THEN CAST({s} AS DOUBLE) "
-            f"WHEN {jt} = 'BOOLEAN' THEN CAST({s} = 'true' AS DOUBLE) "
-            f"WHEN {jt} = 'VARCHAR' THEN {py_float(s)} END)")
-
-
-def num_ok(doc: str, path: str, positive: bool = False) -> str:
-    x = float_like(doc, path)
-    cmp = ">" if positive else ">="
-    return f"coalesce(NOT isnan({x}) AND {x} {cmp} 0, false)"
-
-
-def is_str(doc: str, path: str) -> str:
-    return f"coalesce(json_type({doc}, {path}) = 'VARCHAR', false)"
-
-
-def date_ok(doc: str, path: str) -> str:
-    jt = f"json_type({doc}, {path})"
-    s = f"json_extract_string({doc}, {path})"
-    x = float_like(doc, path)
-    epoch = f"(floor({x}) = {x} AND ({x} - 86400 * floor({x} / 86400)) = 0)"
-    text = (f"((regexp_matches({s}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND TRY_CAST({s} AS DATE) IS NOT NULL) OR "
-            f"(regexp_matches({s}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]00:00(?::00(?:\\.0+)?)?(?:Z|[+-]00:?00)?$') "
-            f"AND TRY_CAST(substr({s}, 1, 10) AS DATE) IS NOT NULL))")
-    return (f"coalesce(CASE WHEN {jt} = 'VARCHAR' THEN {text} OR (regexp_matches({s}, '^\\d+$') AND {epoch}) "
-            f"WHEN {jt} IN {NUM_TYPES} THEN {epoch} ELSE false END, false)")
-
-
-def item_path(i: str, f: str) -> str:
-    return f"('$.line_items[' || {i} || '].{f}')"
-
-
-def problems(doc: str) -> str:
-    """Failed rule names, in the Spark order, for parsed JSON text ``doc``."""
-    n = f"CAST(json_array_length({doc}, '$.line_items') AS BIGINT)"
-    item_ok = (f"coalesce({is_str(doc, item_path('i', 'description'))} AND "
-               f"{num_ok(doc, item_path('i', 'quantity'), True)} AND {num_ok(doc, item_path('i', 'unit_price'))} "
-               f"AND {num_ok(doc, item_path('i', 'amount'))}, false)")
-    items_ok = (f"(coalesce(json_type({doc}, '$.line_items') = 'ARRAY', false) AND "
-                f"len(list_filter(list_transform(range({n}), lambda i: {item_ok}), lambda x: NOT x)) = 0)")
-    rules = [
-        f"CASE WHEN NOT {is_str(doc, chr(39) + '$.vendor' + chr(39))} THEN 'vendor' END",
-        f"CASE WHEN NOT {is_str(doc, chr(39) + '$.invoice_number' + chr(39))} THEN 'invoice_number' END",
-        f"CASE WHEN NOT {date_ok(doc, chr(39) + '$.invoice_date' + chr(39))} THEN 'invoice_date' END",
-        f"CASE WHEN NOT {items_ok} THEN 'line_items' END",
-    ]
-    rules += [f"CASE WHEN NOT {num_ok(doc, lit('$.' + m))} THEN '{m}' END" for m in MONEY_FIELDS]
-    cj = f"json_type({doc}, '$.currency')"
-    rules.append(f"CASE WHEN NOT ({cj} IS NULL OR coalesce({cj} = 'VARCHAR' AND "
-                 f"length(json_extract_string({doc}, '$.currency')) = 3, false)) THEN 'currency' END")
-    return "list_filter([" + ", ".join(rules) + "], lambda x: x IS NOT NULL)"
-
-
-def pred_entries(doc: str) -> str:
-    n = (f"(CASE WHEN json_type({doc}, '$.line_items') = 'ARRAY' "
-         f"THEN CAST(json_array_length({doc}, '$.line_items') AS BIGINT) ELSE 0 END)")
-    scalars = ", ".join(f"'{f}=' || {json_tag(doc, lit('$.' + f))}" for f in SCALAR_FIELDS)
-    items = ", ".join(f"'line_items[' || i || '].{f}=' || {json_tag(doc, item_path('i', f))}"
-                      for f in ITEM_FIELDS)
-    return (f"list_filter(list_concat([{scalars}], flatten(list_transform(range({n}), lambda i: [{items}]))), "
-            f"lambda x: x IS NOT NULL)")
-
-
-def gold_entries(prefix: str = "") -> str:
-    p = prefix
-    def tag(f, x):
-        if f in MONEY_FIELDS or f in ("quantity", "unit_price", "amount"):
-            return num_tag(f"CAST({x} AS DOUBLE)")
-        if f == "invoice_date":
-            return str_tag(f"strftime({x}, '%Y-%m-%d')")
-        return str_tag(x)
-    scalars = ", ".join(f"'{f}=' || {tag(f, p + f)}" for f in SCALAR_FIELDS)
-    items = ", ".join(f"'line_items[' || (i - 1) || '].{f}=' || {tag(f, f'{p}line_items[i].{f}')}"
-                      for f in ITEM_FIELDS)
-    return (f"list_filter(list_concat([{scalars}], flatten(list_transform(range(1, len({p}line_items) + 1), "
-            f"lambda i: [{items}]))), lambda x: x IS NOT NULL)")
-
-
 LINE_ORDER = ", ".join(D.LINE_ORDER)
 RATES = "[" + ", ".join(f"CAST({r} AS DECIMAL(6,4))" for r in TAX_RATES) + "]"
 CURS = "[" + ", ".join(lit(c) for c in CURRENCIES) + "]"

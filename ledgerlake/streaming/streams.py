@@ -59,7 +59,6 @@ def stream_exact_lookup(probes: DataFrame, store: DataFrame, probe_id: str = "pr
                     F.when(hit, F.lit(1.0)).alias("similarity"), F.col("stored_answer").alias("answer"))
 
 
-FIRST_SIGHT_SCHEMA = "user_id long, event_type string, event_id long, ts timestamp"
 ANCHOR_STATE = "anchor_us long"
 
 
@@ -76,6 +75,8 @@ def ttl_first_sights(events: DataFrame, keys: list[str], ttl_seconds: int, water
     trigger options.
     """
     ttl_us = ttl_seconds * 1_000_000
+    columns = [*keys, "event_id", "ts"]
+    schema = events.select(*columns).schema
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -93,12 +94,12 @@ def ttl_first_sights(events: DataFrame, keys: list[str], ttl_seconds: int, water
                 keep.append(False)
         state.update((anchor,))
         state.setTimeoutTimestamp(int(anchor // 1000 + ttl_us // 1000))
-        out = rows[keep][["user_id", "event_type", "event_id", "ts"]]
+        out = rows[keep][columns]
         if len(out):
             yield out
 
     return (events.withWatermark("ts", watermark).groupBy(*keys)
-            .applyInPandasWithState(step, FIRST_SIGHT_SCHEMA, ANCHOR_STATE, "append",
+            .applyInPandasWithState(step, schema, ANCHOR_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 

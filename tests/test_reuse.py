@@ -60,10 +60,13 @@ def test_expired_entries_answer_in_no_tier(spark):
     assert _lookup(spark, (store, held), [NOTE], now=F.lit(start + dt.timedelta(days=900)), ttl_seconds=None)[0]["outcome"] == "exact"
 
 
-def test_last_write_wins_and_clear(spark):
+def test_last_write_wins_and_clear(spark, tmp_path):
     store, _ = _store(spark, (NOTE, "old"), (SAME, "new"))
     assert [(r["answer"], r["n_writes"]) for r in store.collect()] == [("new", 2)]
-    assert R.clear_store(store).count() == 0
+    path = str(tmp_path / "store")
+    store.write.parquet(path)
+    R.clear_store(spark, path)
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == store.columns
 
 
 def test_counters(spark):
