@@ -151,12 +151,15 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    No aggregate follows the joins, so a centre with very many members is a skewed join that can be split.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85,
