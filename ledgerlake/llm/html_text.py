@@ -32,11 +32,13 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Words in class, id or role that mark an element as outside the article.
-SIDE_WORDS = set("""ad ads adv advert adverts advertisement advertising adsbox banner breadcrumb breadcrumbs comment comments complementary
-consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr header infobar login masthead menu modal
-nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies
-reply responses rail search share sharing sidebar sidenav signup site-header social sponsor sponsored subscribe tags teaser toolbar widget widgets""".split())
+SIDE_WORDS = set("""ad ads adv adsbox alert banner complementary contentinfo dialog disclaimer discussion discussions footer form gdpr header infobar
+login masthead menu modal nav navbar notice notices notification overlay pager pagination paywall popup privacy promo promotion promos rail
+recommended replies reply respond responses search share sharing sidenav signup social tags teaser toast toolbar widget widgets""".split())
+SIDE_STARTS = tuple("advert breadcrumb commentf commentl commentb comments consent cookie copyright disqus navig newsletter related sidebar skyscraper sponsor subscri".split())
+TITLE_WORDS = {"article", "entry", "post", "page", "content", "story"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""", re.S)
+_HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?=\s|=|/|$)""", re.I)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PUNCT = re.compile(r"""[.,;:!?…。，、؟]""")
 
@@ -52,13 +54,16 @@ class Block:
 def _words(attributes: str, holder: bool) -> tuple[str, bool]:
     """An element's class for its path, and whether its names put it outside the article; of an element that may
     itself be the article (``holder``) only whole names count, so that "has-comments" says nothing against it."""
-    label, side = "", False
+    label, side = "", bool(_HIDDEN.search(attributes))
     for name, value in _NAMED.findall(attributes):
         value = html.unescape(value.strip("\"'"))
         if name.lower() == "class" and not label:
             label = ".".join(value.split()[:2])
         plain = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        side = side or not SIDE_WORDS.isdisjoint(plain.split() if holder else re.split(r"[^a-z]+", plain))
+        words = plain.split() if holder else re.split(r"[^a-z]+", plain)
+        if "header" in words and not TITLE_WORDS.isdisjoint(words):  # an article's own head holds its title
+            words.remove("header")
+        side = side or not SIDE_WORDS.isdisjoint(words) or any(w == "comment" or w.startswith(SIDE_STARTS) for w in words)
     return label, side
 
 
@@ -178,17 +183,23 @@ def main_text(page: str, spread: float = 1.0, cut: float = 0.25) -> str:
     level = cut * sum(value[n] * len(b.text) for n, b in zip(names, blocks, strict=True)) / sum(len(b.text) for b in blocks)
     chosen = {name for name, v in value.items() if v >= level}
 
-    # the element that holds the chosen blocks: an article or main element, else their parent
+    # the elements that hold the chosen blocks: the article or main element with most of them, if there is one,
+    # else the parents of all; of the body itself the chosen paths, headings and what stands between without being links
     mass: dict[tuple, float] = defaultdict(float)
     for name, block in zip(names, blocks, strict=True):
         if name in chosen:
             mass[_holder(block)] += len(block.text) * value[name]
-    best = max(mass, key=lambda h: (mass[h], -h[-1][1] if h else 0))
-    bare = not best or best[-1][0].split(".")[0] in ("html", "body")
-    text = [b.text for name, b in zip(names, blocks, strict=True)
-            if (b.path[:len(best)] == best and (not bare or name in chosen or (len(b.path) == len(best) + 1 and _leaf(b) in HEADING)))
-            or (bare and name in chosen)]
-    return " ".join(text)
+    named = [h for h in mass if h and h[-1][0].split(".")[0] in ("article", "main")]
+    holders = {max(named, key=lambda h: (mass[h], -h[-1][1]))} if named else {h for h in mass if h and h[-1][0].split(".")[0] not in ("html", "body")}
+    bare_at = [i for i, (name, b) in enumerate(zip(names, blocks, strict=True)) if not named and name in chosen and _holder(b) not in holders]
+    kept = []
+    for i, (name, block) in enumerate(zip(names, blocks, strict=True)):
+        held = any(block.path[:k] in holders for k in range(1, len(block.path) + 1))
+        bare = bool(bare_at) and (name in chosen or (_leaf(block) in HEADING and _holder(block) in mass)
+                                  or (bare_at[0] < i < bare_at[-1] and 2 * block.linked < len(block.text)))
+        if held or bare:
+            kept.append(block.text)
+    return " ".join(kept)
 
 
 def _leaf(block: Block) -> str:

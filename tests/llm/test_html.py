@@ -11,6 +11,8 @@ WANT = "Big & small First para, with bold <text>. Second one, a bit longer; it e
     f'<body class="has-sidebar"><header><h1>Site, name.</h1></header><main><section>{BODY}</section><section class="comments"><p>A comment, quite long, with many words. And more, and more.</p></section></main><aside><p>Side, notes. Are here, too.</p></aside></body>',
     f'<body><div id="wrap"><div class="post-body">{BODY}</div><div id="sidebar"><p>Side, notes.</p></div><form><p>Name, please. Mail, too.</p><input></form></div><script>var a = "</p><p>no, no.";</script></body>',
     f'<BODY><DIV class="cookieNotice"><p>We use cookies, sorry. Accept, please.</p></DIV><ARTICLE>{BODY}<div class="share">Share, now.</div></ARTICLE><article class="comment">I liked it, a lot. Thanks, much.</article>',
+    f'<body><ul class="commentlist"><li>Ha, ha. Very, very good. Thanks, all.</ul><div class="entry-header"><p hidden>No, never.</p></div>{BODY}<div style="display: none">Hidden, text.</div></body>',
+    f'<body><div class="c">{BODY.split("<ul>")[0]}<section><ul>{BODY.split("<ul>")[1]}</section></div><div class="x"><a href="/">One, link.</a> <a href="/b">Two.</a></div></body>',
 ])
 def test_article_alone(page):
     assert main_text(page) == WANT
