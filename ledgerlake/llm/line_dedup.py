@@ -118,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = plain.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = (ends.low or 0, ends.high or 0)
     width = (high - low) // batches + 1
-    batch = F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("int")
+    batch = F.expr(f"int(({high}BD - doc_id) div {width}BD)")  # exact for ids of any span
     stored, _ = write_table(line_postings(plain, min_chars).withColumn("batch", batch), "line-postings")
     hot, _ = write_table(repeated_lines(stored, min_docs, batches, fanout), "repeated-lines")
     drops = stored.join(hot, "key").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(

@@ -43,6 +43,13 @@ def test_matches_brute_force(spark):
         assert run(spark, rows, min_chars=10, min_docs=5, batches=batches, fanout=fanout) == expected(rows, 10, 5)
 
 
+def test_ids_of_any_span(spark):
+    line = "q" * 45
+    rows = [(i, line) for i in (-(1 << 63), -(1 << 63) + 1, -3, 0, 5, (1 << 62) + 1, (1 << 62) + 2, (1 << 63) - 2, (1 << 63) - 1)]
+    for batches in (2, 5):
+        assert run(spark, rows, batches=batches) == expected(rows, 40, 5)
+
+
 def test_empty_table_and_rare_lines(spark):
     assert run(spark, []) == []
     rows = [(i, "z" * 50) for i in range(4)]
