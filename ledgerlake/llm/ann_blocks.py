@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import write_table
+from ledgerlake.llm.common import BLOCK_ROWS, batches_of, write_table
 from ledgerlake.llm.vector_blocks import first_copies, lanes_for, packed, tiles, unpack, usable
 
 #: int8 products of this many components sum exactly in single precision, so a tile is one float matrix product.
@@ -124,5 +124,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = usable(vectors, id_col, vector_col, zeros=False)
     blocks, _ = write_table(packed(first_copies(rows, k + 1), block_rows), "row-blocks")
     asked, _ = write_table(packed(rows.where(is_query).dropDuplicates(["vec_id", "v"]), query_rows), "query-blocks")
-    lists = tiles(asked, blocks, lanes_for(blocks)).mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    with batches_of(vectors.sparkSession, BLOCK_ROWS):
+        lists, _ = write_table(tiles(asked, blocks, lanes_for(blocks)).mapInArrow(_search(k), "query_id long, vec_id long, score double"), "tile-lists")
     return lists.groupBy("query_id").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import stray_columns
+from ledgerlake.llm.common import small_batches, stray_columns
 
 #: Unicode White_Space, the class \s of the pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -34,7 +34,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixCoder:
     """Encodes pieces by the prefix table; compatible pairs of tokens and unit encodings are memoised (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 120_000):
         self.ranks, self.memo = ranks, memo
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -193,6 +193,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     is read on the driver and broadcast: its size is that of the ranks file, whatever the data.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(ranks_path, "rb") as f:
         # a worker keeps the broadcast value between tasks, and with it the coder built there
         shared = spark.sparkContext.broadcast({"ranks": f.read()})
@@ -210,14 +211,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             state["coder"] = PrefixCoder(load_ranks(state["ranks"]), pattern)
         coder = state["coder"]
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                rows = batch.slice(part, 2000)
-                ids = [coder.encode(t or "") for t in rows.column(text).to_pylist()]
-                cols = [pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string())]
-                if keep_ids:
-                    cols.append(pa.array(ids, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *cols], names=[*rows.schema.names, *added])
+            ids = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
+            cols = [pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string())]
+            if keep_ids:
+                cols.append(pa.array(ids, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *added])
 
     return frame.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import quoted, stray_columns
+from ledgerlake.llm.common import quoted, small_batches, stray_columns
 
 #: Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,6 +222,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     becomes one space. Input columns named text or n_chars are replaced, others pass through, the html itself does
     not. Every row is worked on by itself, so repeated rows give repeated results; an empty table gives an empty one.
     """
+    small_batches(pages.sparkSession)
     through = stray_columns(pages, {html_col, "text", "n_chars"})
     frame = pages.select(*[quoted(c) for c in through], F.col(quoted(html_col)).alias("__html"))
     schema = T.StructType([*frame.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

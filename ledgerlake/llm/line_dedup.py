@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import drop_table, quoted, stray_columns, write_table
+from ledgerlake.llm.common import drop_table, quoted, small_batches, stray_columns, write_table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -114,6 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is neither counted nor changed. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).where("doc_id is not null")
     ends = plain.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     low, high = (ends.low or 0, ends.high or 0)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import connected_components, drop_table, quoted, write_table
+from ledgerlake.llm.common import connected_components, drop_table, quoted, small_batches, write_table
 
 _U = np.uint64
 
@@ -34,7 +34,7 @@ class _Words(dict):
     """Word to 64-bit hash; bounded memo."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -137,15 +137,14 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingles(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids, prints, sets = [], [], []
-                for doc, text in _texts(batch.slice(at, 500)):
-                    hashes = cut.of(text)
-                    ids.append(doc)
-                    prints.append(_fingerprint(hashes))
-                    sets.append(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
-                                                  pa.array([p[1] for p in prints], pa.int64()), _lists(sets)], names=["node", "f1", "f2", "shingles"])
+            ids, prints, sets = [], [], []
+            for doc, text in _texts(batch):
+                hashes = cut.of(text)
+                ids.append(doc)
+                prints.append(_fingerprint(hashes))
+                sets.append(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p[0] for p in prints], pa.int64()),
+                                              pa.array([p[1] for p in prints], pa.int64()), _lists(sets)], names=["node", "f1", "f2", "shingles"])
 
     return docs.mapInArrow(run, "node long, f1 long, f2 long, shingles array<long>")
 
@@ -179,6 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     defaults. A link can be missed only if its two documents share a bucket with others, neither was a centre
     next to the other in any round, and no chain of confirmed links joins them.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     signed, _ = write_table(signatures(plain, width, bands, rows), "signatures")
     real = signed.where("doc_id is not null and n > 0")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import write_table
+from ledgerlake.llm.common import BLOCK_ROWS, batches_of, write_table
 from ledgerlake.llm.vector_blocks import first_copies, lanes_for, packed, tiles, unpack, usable
 
 
@@ -113,7 +113,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     # phase 1: local lists and the safe cutoff
     lists = tiles(packed(queries, query_rows), blocks, lanes).mapInArrow(_gather(k, parts), "query_id long, part int, vec_id long, score long")
-    lists, _ = write_table(lists, "local-lists")
+    with batches_of(vectors.sparkSession, BLOCK_ROWS):
+        lists, _ = write_table(lists, "local-lists")
     base = lists.where("vec_id is null").groupBy("query_id", "part").agg(F.min("score").alias("base"))
     place = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id"))
     local = lists.where("vec_id is not null").withColumn("place", place).where(F.col("place") <= k)
@@ -132,9 +133,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     wide = queries.join(cutoffs, queries.vec_id == cutoffs.query_id).select("vec_id", F.concat("v", "cut").alias("v"), F.size("v").alias("dim"))
     asked = packed(wide, query_rows)
     entries = tiles(asked, blocks, lanes).mapInArrow(_collect(parts), "query_id long, vec_id long, part int, score long")
+    with batches_of(vectors.sparkSession, BLOCK_ROWS):
+        entries, _ = write_table(entries, "entries")
     entries = entries.join(cutoffs.select("query_id", "share", "bases"), "query_id")
     seen = entries.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.get("bases", F.col("part"))).alias("low"), F.count("*").alias("n"), F.first("share").alias("share"))
-    seen, _ = write_table(seen.select("query_id", "vec_id", "low", (F.col("low") + (parts - F.col("n")) * F.greatest(F.col("share") - 1, F.lit(0))).alias("high")), "entries")
+    seen, _ = write_table(seen.select("query_id", "vec_id", "low", (F.col("low") + (parts - F.col("n")) * F.greatest(F.col("share") - 1, F.lit(0))).alias("high")), "sums")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id"))
     better = seen.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("low").alias("kth"))
     left = seen.join(better, "query_id", "left").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import drop_table, quoted, stray_columns, write_table
+from ledgerlake.llm.common import drop_table, quoted, small_batches, stray_columns, write_table
 
 SYMBOLS = 64  # 0: not a letter, 1-26: a-z, 27-58: U+00E0 to U+00FF, 59: any other letter
 #: Letters that a written character may stand for.
@@ -131,7 +131,7 @@ class Weights(dict):
         self.decoder, self.values_of = decoder, values
 
     def __missing__(self, word: str):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self.values_of.get(self.decoder.decode(word))
         if len(word) <= LONGEST_WORD:
@@ -176,6 +176,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     once, with its largest label; null ids or labels are ignored). The word table keeps the ``words`` heaviest words.
     Without usable labels of both kinds every score is the share of toxic labels.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     cells = trigram_counts(plain.select("text")).toPandas()  # at most 64^3 rows
     counts = np.zeros(SYMBOLS ** 3, np.int64)
@@ -198,15 +199,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     The score reads the whole text and nothing else. Null and empty texts have no words and get the score of such a
     text. One narrow pass; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     through = stray_columns(docs, {"held_out", "score", "predicted"})
     frame = docs.select(*[quoted(c) for c in through], F.col(quoted(text_col)).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(dict(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        if "memo" not in held:  # a worker keeps the broadcast value, and with it the memo
-            held["memo"] = Weights(Decoder(held["costs"]), held["weights"])
-        look, theta = held["memo"].__getitem__, held["theta"]
+        look, theta = Weights(Decoder(held["costs"]), held["weights"]).__getitem__, held["theta"]
         for batch in batches:
             out = []
             for text in batch.column("__text").to_pylist():
@@ -250,9 +250,9 @@ def _learn(learn: DataFrame, costs: np.ndarray, words: int) -> dict:
                 for w in found - memo.keys():
                     memo[w] = read.decode(w)
                 (toxic if label else clean).update({memo[w] for w in found})
-                if len(memo) > 200_000:
+                if len(memo) > 100_000:
                     memo.clear()
-                if len(clean) + len(toxic) > 200_000:
+                if len(clean) + len(toxic) > 100_000:
                     yield from flush()
         yield from flush()
 
