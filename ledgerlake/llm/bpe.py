@@ -26,6 +26,12 @@ from ledgerlake.llm.common import small_batches, stray_columns
 WHITE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Length of the word beginnings whose prefix tables are kept.
+STEM = 8
+#: Single marks that the pattern cuts from the word before them.
+MARKS = frozenset(".,;:!?")
+
+
 def load_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks file: one base64 token and its rank a line."""
     return {base64.b64decode(t): int(r) for t, r in (x.split() for x in data.splitlines() if x.strip())}
@@ -38,11 +44,16 @@ class PrefixCoder:
         self.ranks, self.memo = ranks, memo
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        names = [self.bytes_of.get(r, b"") for r in range(max(self.bytes_of) + 1)]
+        self.length = np.array(list(map(len, names)))
+        self.start = np.cumsum(self.length) - self.length
+        self.buffer = np.frombuffer(b"".join(names), np.uint8)
         self.find = regex.compile(pattern).findall
         self.units_of = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.odd = regex.compile(f"^[{WHITE}]|[{WHITE}]$").search
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        self.stems: dict[bytes, tuple[int, ...]] = {}
         #: the tokens that merging their own bytes gives; only these can end a prefix
         self.formed = {t: r for t, r in ranks.items() if len(t) == 1 or self.split(r) is not None}
         self.pieces = _Memo(lambda p: self.packed(self.piece(p.encode())), memo)
@@ -117,7 +128,19 @@ class PrefixCoder:
     def piece(self, text: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token itself is that token."""
         whole = self.ranks.get(text)
-        return [whole] if whole is not None else self.walk(self.extend(text, []))
+        return [whole] if whole is not None else self.walk(self.extend(text, self.stem(text)))
+
+    def stem(self, text: bytes) -> list[int]:
+        """The table of the first bytes of ``text``; words that begin alike are appended to the same one."""
+        if len(text) <= STEM:
+            return []
+        head = text[:STEM]
+        table = self.stems.get(head)
+        if table is None:
+            if len(self.stems) >= self.memo:
+                self.stems.clear()
+            table = self.stems[head] = tuple(self.extend(head, []))
+        return list(table)
 
     def edit(self, text: bytes, last: list[int], start: int, end: int, new: bytes) -> tuple[bytes, list[int]]:
         """Replace text[start:end] by ``new``: prefixes before the edit keep their entries, later ones are refilled
@@ -141,7 +164,15 @@ class PrefixCoder:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def chunk(self, text: str, before: str) -> bytes:
-        """The unit of a chunk between single spaces, with the space before it."""
+        """The unit of a chunk between single spaces, with the space before it.
+
+        A word of letters is one piece, and a mark after it another: these need no pattern, and a word is encoded
+        once for all marks that follow it.
+        """
+        if text.isalpha():
+            return self.packed(self.piece((before + text).encode()))
+        if before and text[:-1].isalpha() and text[-1] in MARKS:
+            return self.spaced[text[:-1]] + self.pieces[text[-1]]
         if not text or self.odd(text):
             raise _Odd
         return self.unit(before + text)
@@ -157,7 +188,13 @@ class PrefixCoder:
             return b"".join(map(self.cut.__getitem__, self.units_of(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of all tokens in a row, gathered from one buffer of the vocabulary."""
+        tokens = np.frombuffer(ids, "<u4")
+        length = self.length[tokens]
+        ends = np.cumsum(length)
+        at = np.repeat(self.start[tokens] - (ends - length), length)
+        at += np.arange(len(at))
+        return self.buffer[at].tobytes()
 
 
 class _Odd(Exception):
