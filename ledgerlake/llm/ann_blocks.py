@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import BLOCK_ROWS, batches_of, write_table
-from ledgerlake.llm.vector_blocks import first_copies, lanes_for, packed, tiles, unpack, usable
+from ledgerlake.llm.vector_blocks import HELD_QUERIES, first_copies, lanes_for, packed, tiles, unpack, usable
 
 #: int8 products of this many components sum exactly in single precision, so a tile is one float matrix product.
 EXACT_DIMS = (1 << 24) // (127 * 127)
@@ -63,19 +63,22 @@ def _best_of_tile(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int)
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # heaps of the query block in hand: by query the k best (score, -vec_id); its row blocks come in a row
+        # by query the k best (score, -vec_id); passed on at the end, or when a further block would be too many
         heaps: dict[int, list[tuple[float, int]]] = {}
-        now = None
+        blocks: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             out = [(i, -v, s) for i, heap in heaps.items() for s, v in heap]
             heaps.clear()
+            blocks.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in range(batch.num_rows):
-                if now != (now := batch.column("q_block")[row].as_py()):
+                block = batch.column("q_block")[row].as_py()
+                if block not in blocks and len(heaps) > HELD_QUERIES:
                     yield flush()
+                blocks.add(block)
                 dim = batch.column("q_dim")[row].as_py()
                 qi, q = unpack(batch.column("q_ids")[row].as_py(), batch.column("q_data")[row].as_py(), dim)
                 ri, r = unpack(batch.column("r_ids")[row].as_py(), batch.column("r_data")[row].as_py(), dim)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import BLOCK_ROWS, batches_of, write_table
-from ledgerlake.llm.vector_blocks import first_copies, lanes_for, packed, tiles, unpack, usable
+from ledgerlake.llm.vector_blocks import HELD_QUERIES, first_copies, lanes_for, packed, tiles, unpack, usable
 
 
 def product(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -38,38 +38,43 @@ NONE = np.iinfo(np.int64).min
 def _gather(k: int, parts: int):
     """Phase 1 in a task: per query and part the k best partial scores, and the smallest one (without a vec_id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the query block in hand, whose row blocks come in a row: per part (ids, scores, smallest)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        now, asked = None, np.empty(0, np.int64)
+        # per query block and part (ids, scores, smallest); passed on at the end, or when a further block would be too many
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        queries: dict[int, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for part, (ids, scores, least) in enumerate(held):
-                at, col = np.nonzero(scores > NONE)
-                query = np.concatenate((asked[at], asked))
-                vec = pa.array(np.concatenate((ids[at, col], asked)), mask=np.arange(len(query)) >= len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), part, np.int32)), vec, pa.array(np.concatenate((scores[at, col], least)))],
-                                                 names=["query_id", "part", "vec_id", "score"])
+            for block, found in held.items():
+                asked = queries[block]
+                for part, (ids, scores, least) in enumerate(found):
+                    at, col = np.nonzero(scores > NONE)
+                    query = np.concatenate((asked[at], asked))
+                    vec = pa.array(np.concatenate((ids[at, col], asked)), mask=np.arange(len(query)) >= len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), part, np.int32)), vec, pa.array(np.concatenate((scores[at, col], least)))],
+                                                     names=["query_id", "part", "vec_id", "score"])
+            held.clear()
+            queries.clear()
 
         for batch in batches:
             for row in range(batch.num_rows):
-                if now != (now := batch.column("q_block")[row].as_py()):
+                block = batch.column("q_block")[row].as_py()
+                if block not in held and sum(map(len, queries.values())) > HELD_QUERIES:
                     yield from flush()
-                    held = []
                 dim = batch.column("q_dim")[row].as_py()
                 asked, q = unpack(batch.column("q_ids")[row].as_py(), batch.column("q_data")[row].as_py(), dim)
                 ri, r = unpack(batch.column("r_ids")[row].as_py(), batch.column("r_data")[row].as_py(), dim)
+                queries[block], before = asked, held.get(block)
                 cut, own, got = _cuts(dim, parts), asked[:, None] == ri[None], []
                 for part in range(parts):
                     s = product(q[:, cut[part]:cut[part + 1]], r[:, cut[part]:cut[part + 1]])
                     least, ids = s.min(axis=1), np.broadcast_to(ri, s.shape)
                     s[own] = NONE  # the query itself is no candidate
-                    if held:
-                        ids, s, least = np.hstack((held[part][0], ids)), np.hstack((held[part][1], s)), np.minimum(least, held[part][2])
+                    if before:
+                        ids, s, least = np.hstack((before[part][0], ids)), np.hstack((before[part][1], s)), np.minimum(least, before[part][2])
                     if s.shape[1] > k:
                         top = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
                         ids, s = np.take_along_axis(ids, top, 1), np.take_along_axis(s, top, 1)
                     got.append((ids, s, least))
-                held = got
+                held[block] = got
         yield from flush()
 
     return run

@@ -70,6 +70,10 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return blocks.withColumn("block", F.monotonically_increasing_id())
 
 
+#: Queries whose results a task holds before it passes them on: the memory of a tile task, whatever the order of tiles.
+HELD_QUERIES = 20_000
+
+
 def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
 
