@@ -83,6 +83,8 @@ class Decoder:
             return word
         while word and not word[-1].isalnum() and word[-1] not in "$@":  # closing marks
             word = word[:-1]
+        if self.plain(word):
+            return word
         costs, symbol = self.costs, self.symbol
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i, ch in enumerate(word):
