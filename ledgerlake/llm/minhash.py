@@ -5,7 +5,8 @@ an empty bin copies the bin that a fixed random probe sequence of its own finds
 Runs of bins form bands; documents that agree in a band share a bucket. A bucket emits only links from one
 centre to its other members, so a round's candidates number at most bands x documents. Links are confirmed on
 full shingle sets. Further rounds elect other centres and link only members that are still in different
-components, until a round links nothing.
+components. What the rounds leave in buckets of several components is settled exactly: similar sets share one of
+their rarest shingles (prefix filter), and every pair of different components that does is confirmed.
 """
 
 from __future__ import annotations
@@ -161,6 +162,146 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+CELLS = 1 << 20  # counters of shingles, told apart by the low bits of their hashes
+SMALL = 64  # members of a shingle's posting up to which its pairs are listed
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` (shingles) fall into each cell; size: CELLS, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(flat & (CELLS - 1), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(node, component, n, shingle): each set's rarest shingles, so many that two similar sets share one.
+
+    Any order of the shingles that is the same for all sets keeps that true; here by the count of the cell.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, components, n, first = [], [], [], []
+            for node, component, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes = at.values.to_numpy(zero_copy_only=False)
+                length = len(hashes) - -(-percent * len(hashes) // 100) + 1
+                first.append(hashes[np.lexsort((hashes, shared.value[hashes & (CELLS - 1)]))[:length]])
+                nodes.append(node)
+                components.append(component)
+                n.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(components, pa.int64()), pa.array(n, pa.int64()), _lists(first)],
+                                             names=["node", "component", "n", "first"])
+
+    return sets.select("node", "component", "shingles").mapInArrow(run, "node long, component long, n long, first array<long>").select(
+        "node", "component", "n", F.explode("first").alias("shingle"))
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        row, place = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(both, flat)
+        held = (place < len(both)) & (both[np.minimum(place, len(both) - 1)] == flat)
+        return row[held], place[held]
+
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(both):
+        return out
+    (r, c), (s, d) = cells(left), cells(right)
+    for at in range(0, len(both), columns):
+        x, y = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        now = (c >= at) & (c < at + columns)
+        x[r[now], c[now] - at] = 1
+        now = (d >= at) & (d < at + columns)
+        y[s[now], d[now] - at] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def linked_blocks(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of large postings (shingle, node, component, m), without pair rows.
+
+    A posting is dealt by a hash of the node into blocks of about SMALL members; each two blocks meet in one group,
+    which tests all their pairs of different components and returns those that are similar and join something new.
+    """
+    blocks = F.ceil(F.col("m") / SMALL).cast("int")
+    placed = posted.withColumn("own", F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int"))
+    meets = placed.select("shingle", "node", "component", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    meets = meets.select("shingle", "node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+
+    def run(frame):
+        import pandas as pd
+
+        nodes, components = frame["node"].to_numpy(), frame["component"].to_numpy()
+        shingles = [np.asarray(x, np.int64) for x in frame["shingles"]]
+        left = np.flatnonzero(frame["own"].to_numpy() == frame["lo"].iat[0])
+        right = np.flatnonzero(frame["own"].to_numpy() == frame["hi"].iat[0])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        common = _common([shingles[i] for i in left], [shingles[i] for i in right])
+        n = np.array([len(x) for x in shingles])
+        alike = (100 * common >= percent * (n[left][:, None] + n[right][None] - common)) & (components[left][:, None] != components[right][None])
+        root = {c: c for c in components.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            x, y = find(int(components[left[i]])), find(int(components[right[j]]))
+            if x != y:
+                root[x] = y
+                out.append((int(nodes[left[i]]), int(nodes[right[j]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return meets.join(sets.select("node", "shingles"), "node").groupBy("shingle", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
+def settled(members: DataFrame, labels: DataFrame | None, sets: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """All links (a, b) between different components that the star rounds left untested in ``members``, up to chains.
+
+    A bucket of two members was tested whole by the first round, if there was one. A similar pair shares one of the shingles that
+    ``prefixes`` takes, so no pair of a bucket is missed. Short postings list their pairs, long ones meet in blocks.
+    """
+    spark = members.sparkSession
+    seats = members if tried is None else members.where("size > 2")
+    seats = seats.join(labels, "node", "left") if labels is not None else seats.withColumn("component", F.lit(None).cast("long"))
+    seats = seats.withColumn("component", F.coalesce("component", "node"))
+    mixed = seats.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    left, left_path = write_table(seats.join(mixed, ["band", "key"], "left_semi").select("node", "component").distinct(), "unsettled")
+    held, held_path = write_table(sets.join(left, "node"), "unsettled-sets")
+    posted, posted_path = write_table(prefixes(held, shingle_counts(held), percent), "prefixes")
+    size = posted.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    posted = posted.join(size.where("lo < hi").select("shingle", "m"), "shingle")
+    few = posted.where(F.col("m") <= SMALL)
+    a = few.select("shingle", F.col("node").alias("lo"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    b = few.select("shingle", F.col("node").alias("hi"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    pairs = a.join(b, "shingle").where("lo < hi and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = pairs.select("lo", "hi").distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
+    pairs, pairs_path = write_table(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")), "prefix-pairs")
+    found = confirmed(pairs, held, percent).unionByName(linked_blocks(posted.where(F.col("m") > SMALL), held, percent))
+    found, _ = write_table(found, "prefix-links")
+    for path in (left_path, held_path, posted_path, pairs_path):
+        drop_table(spark, path)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85,
                     bands: int = 24, rows: int = 5, max_rounds: int = 5) -> DataFrame:
     """Near-duplicate components of ``docs``.
@@ -175,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read. An empty table gives an empty result.
 
     A pair at similarity s shares a bucket with probability 1 - (1 - s**rows)**bands, 0.9999992 at 0.85 with the
-    defaults. A link can be missed only if its two documents share a bucket with others, neither was a centre
-    next to the other in any round, and no chain of confirmed links joins them.
+    defaults. Every pair that shares a bucket is tested or joined by a chain of confirmed links: at most
+    ``max_rounds`` star rounds link what stars reach, and ``settled`` tests what they leave.
     """
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
@@ -219,11 +360,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
         pairs, _ = write_table(pairs, "star-pairs")
         found, _ = write_table(confirmed(pairs.select("a", "b"), sets, percent), "star-links")
+        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
         if not found.take(1):
             break
         links = found if links is None else links.unionByName(found)
-        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
         labels = connected_components(links)
+    more = settled(members, labels, sets, tried, percent)
+    if more.take(1):
+        labels = connected_components(more if links is None else links.unionByName(more))
     drop_table(docs.sparkSession, sets_path)
     drop_table(docs.sparkSession, members_path)
 
