@@ -162,7 +162,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-CELLS = 1 << 20  # counters of shingles, told apart by the low bits of their hashes
+CELLS = 1 << 18  # counters of shingles, told apart by the low bits of their hashes
 SMALL = 64  # members of a shingle's posting up to which its pairs are listed
 
 
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets, sets_path = write_table(sets.select("node", "shingles"), "shingle-sets")
 
     links = tried = labels = None
+    most = 0
     for turn in range(max_rounds):
         seats = members.join(weight, "node") if turn == 0 else members
         score = F.col("weight") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
@@ -361,10 +362,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs, _ = write_table(pairs, "star-pairs")
         found, _ = write_table(confirmed(pairs.select("a", "b"), sets, percent), "star-links")
         tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
-        if not found.take(1):
+        n_found = found.count()
+        if not n_found:
             break
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
+        most = max(most, n_found)
+        if 10 * n_found < most:  # the rest is cheaper to settle than by further rounds
+            break
     more = settled(members, labels, sets, tried, percent)
     if more.take(1):
         labels = connected_components(more if links is None else links.unionByName(more))
