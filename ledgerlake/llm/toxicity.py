@@ -9,6 +9,7 @@ word weights and a logistic score come from a bounded sample of labelled documen
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "?": "", "*": "", "#": "h", "%": "", "&": ""}
 LEET_COST, DROP_INSIDE, DROP_MARK, DROP_DIGIT, COLLAPSE = 1.5, 8.0, 0.5, 10.0, 0.7
 LONGEST_WORD = 40
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_MARKS = re.compile(r"[^\w@$!|+€£¡(<?*#%&]+|_+")
 
 
 def symbol_table() -> np.ndarray:
@@ -65,6 +68,11 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(0.95 * p3 + 0.05 / SYMBOLS).astype(np.float32)
 
 
+def closed(word: str) -> str:
+    """A word without its closing marks."""
+    return word.rstrip("".join({ch for ch in word if not ch.isalnum() and ch not in "$@"}))
+
+
 class Decoder:
     """Viterbi decoding of one written word under the trigram costs."""
 
@@ -74,39 +82,65 @@ class Decoder:
         self.symbol = lambda ch: int(table[min(ord(ch), 0x400)])
 
     def plain(self, word: str) -> bool:
-        """Whether the written word is its only reading: letters only, none three times in a row."""
-        return word.isalpha() and not any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False))
+        """Whether the written word is its only reading: letters only, none twice in a row."""
+        return word.isalpha() and not any(map(str.__eq__, word, word[1:]))
 
     def decode(self, word: str) -> str:
-        """Best reading of a lower-cased word; words without a letter, or of over 40 characters, have none but themselves."""
+        """Best reading of a lower-cased word; words without a letter, or of over 40 characters, have none but themselves.
+
+        ``tokens`` cuts longer words into pieces before they come here."""
         if len(word) > LONGEST_WORD or self.plain(word) or not any(map(str.isalpha, word)):
             return word
-        while word and not word[-1].isalnum() and word[-1] not in "$@":  # closing marks
-            word = word[:-1]
-        if self.plain(word):
-            return word
+        return self.cheapest(closed(word))[1]
+
+    def words(self, token: str) -> list[str]:
+        """Restored words of a token of ``tokens``; one that starts with a space is glued and is segmented."""
+        return self.cheapest(token[1:], glued=True)[1].split() if token[0] == " " else [self.decode(token)]
+
+    def readings(self, token: str) -> list[list[str]]:
+        """What ``words`` restores, word by word with its alternatives: closing marks that are letters after all, a
+        glued token that is one word."""
+        first = self.words(token)
+        if token[0] == " ":
+            return [*([w] for w in first), *([[self.decode(token[1:])]] if len(first) > 1 else [])]
+        if len(token) > LONGEST_WORD or token.isalpha() or not any(map(str.isalpha, token)):
+            return [first]
+        at = end = len(closed(token))
+        while end < len(token) and LEET.get(token[end]) and (end == at or token[end] != token[end - 1]):
+            end += 1
+            first.append(self.cheapest(token[:end], forced=at)[1])
+        return [first]
+
+    def cheapest(self, word: str, forced: int = LONGEST_WORD, glued: bool = False) -> tuple[float, str]:
+        """Cost and text of the best path through the lattice of a word. Marks from position ``forced`` on are letters;
+        in a ``glued`` one a word may end before any letter."""
+        if self.plain(word) and not glued:
+            return 0.0, word
         costs, symbol = self.costs, self.symbol
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i, ch in enumerate(word):
             run = (i and word[i - 1] == ch) or (i + 1 < len(word) and word[i + 1] == ch)
             readings = [(ch, 0.0)] if ch.isalpha() else [(x, LEET_COST) for x in LEET.get(ch, "")]
-            if not ch.isalpha():
+            if not ch.isalpha() and i < forced:
                 edge = i == len(word) - 1
                 readings.append(("", DROP_DIGIT if ch.isdigit() else DROP_MARK if run or edge or ch not in LEET or not LEET[ch] else DROP_INSIDE))
-            elif i and word[i - 1] == ch:
+            elif ch.isalpha() and i and word[i - 1] == ch:
                 readings.append(("", COLLAPSE))
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, out) in best.items():
                 for letter, price in readings:
                     if letter:
                         s = symbol(letter)
-                        state, value, text = (b, s), cost + price + costs[a][b][s], out + letter
+                        steps = [((b, s), cost + price + costs[a][b][s], out + letter)]
+                        if glued and b:
+                            steps.append(((0, s), cost + price + costs[a][b][0] + costs[b][0][s], out + " " + letter))
                     else:
-                        state, value, text = (a, b), cost + price, out
-                    if state not in after or (value, text) < after[state]:
-                        after[state] = (value, text)
+                        steps = [((a, b), cost + price, out)]
+                    for state, value, text in steps:
+                        if state not in after or (value, text) < after[state]:
+                            after[state] = (value, text)
             best = after
-        return min((cost + costs[a][b][0], out) for (a, b), (cost, out) in best.items())[1]
+        return min((cost + costs[a][b][0], out) for (a, b), (cost, out) in best.items())
 
 
 def joined(words: list[str]) -> list[str]:
@@ -125,8 +159,54 @@ def joined(words: list[str]) -> list[str]:
     return out[:-1]
 
 
+def tokens(text: str) -> list[str]:
+    """Written words of a text in lower case. Spelled-out ones are joined, closing marks after their letters left out;
+    those of over 40 characters become pieces. What may hold several words without a gap starts with a space."""
+    words = text.lower().split()
+    runs = [words]
+    if sum(map((1).__eq__, map(len, words))) > 1 or len(words) > 2 and all(len(w) < 4 for w in words):
+        runs, run, marked = [], [], True
+        for w in words:
+            bare = len(w) > 1 and w[0].isalpha() and not w[1].isalnum() and closed(w) == w[0]
+            run.append(w[0] if bare else w)
+            if bare and not marked:  # marks after the last letter only: a run ends here
+                runs.append(run)
+                run = []
+            marked = bare or len(w) > 1
+        runs.append(run)
+    out: list[str] = []
+    for run in runs:
+        n = len(run)
+        found = joined(run)
+        if len(found) == n:
+            out += found
+        else:
+            at = 0
+            for w in found:  # a joined word stands where its letters stood
+                glued = len(w) > 1 and len(run[at]) == 1
+                out.append(" " + w if glued else w)
+                at += len(w) if glued else 1
+    return [x for w in out for x in ([w] if len(w) <= LONGEST_WORD else pieces(w))]
+
+
+def pieces(word: str) -> list[str]:
+    """A word of over 40 characters as words of at most 40: runs of a character shortened to three, cut at marks that
+    are no letters, spelled-out letters joined, what is still longer in windows that overlap by half."""
+    glued, word = word[0] == " ", _RUN.sub(r"\1\1\1", word.strip())
+    if len(word) < LONGEST_WORD:
+        return [" " + word if glued else word]
+    out: list[str] = []
+    half = LONGEST_WORD // 2
+    for part in joined([x for x in _MARKS.split(word) if x]):
+        if len(part) < LONGEST_WORD and not glued:
+            out.append(part)
+        else:
+            out += [" " + part[at:at + LONGEST_WORD - 1] for at in range(0, max(len(part) - half, 1), half - 1)]
+    return out
+
+
 class Weights(dict):
-    """Written word to the value of its restored form; bounded memo."""
+    """Token to the values of its restored words; bounded memo."""
 
     def __init__(self, decoder: Decoder, values: dict):
         super().__init__()
@@ -135,9 +215,8 @@ class Weights(dict):
     def __missing__(self, word: str):
         if len(self) > 100_000:
             self.clear()
-        value = self.values_of.get(self.decoder.decode(word))
-        if len(word) <= LONGEST_WORD:
-            self[word] = value
+        found = [[v for w in one if (v := self.values_of.get(w))] for one in self.decoder.readings(word)]
+        value = self[word] = [max(x) for x in found if x]
         return value
 
 
@@ -212,8 +291,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             out = []
             for text in batch.column("__text").to_pylist():
-                tokens = joined((text or "").lower().split())
-                x = features([w for w in map(look, tokens) if w], len(tokens))
+                words_of = tokens(text or "")
+                x = features([w for token in words_of for w in look(token)], len(words_of))
                 z = sum(a * b for a, b in zip(x, theta, strict=True))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(out, pa.float64())], names=[*through, "score"])
@@ -236,7 +315,7 @@ def _learn(learn: DataFrame, costs: np.ndarray, words: int) -> dict:
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Decoder(channel.value)
-        memo: dict[str, str] = {}
+        memo: dict[str, list[str]] = {}
         clean, toxic = Counter(), Counter()
 
         def flush():
@@ -248,10 +327,10 @@ def _learn(learn: DataFrame, costs: np.ndarray, words: int) -> dict:
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = set(joined((text or "").lower().split()))
+                found = set(tokens(text or ""))
                 for w in found - memo.keys():
-                    memo[w] = read.decode(w)
-                (toxic if label else clean).update({memo[w] for w in found})
+                    memo[w] = read.words(w)
+                (toxic if label else clean).update({x for w in found for x in memo[w]})
                 if len(memo) > 100_000:
                     memo.clear()
                 if len(clean) + len(toxic) > 100_000:
@@ -270,10 +349,10 @@ def _learn(learn: DataFrame, costs: np.ndarray, words: int) -> dict:
         for batch in batches:
             xs, ys = [], []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                tokens = joined((text or "").lower().split())
+                words_of = tokens(text or "")
                 # a document's own label is taken out of the counts that weigh its words
-                hits = [weight(c[0] - label, c[1] - (1 - label), n_toxic - label, n_clean - (1 - label)) for c in map(look, tokens) if c]
-                xs.append(features([w for w in hits if w], len(tokens)))
+                hits = [weight(c[0] - label, c[1] - (1 - label), n_toxic - label, n_clean - (1 - label)) for token in words_of for c in look(token)]
+                xs.append(features([w for w in hits if w], len(words_of)))
                 ys.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 

@@ -32,6 +32,22 @@ def test_spelled_out_words():
     assert tx.joined([]) == []
 
 
+def read(decoder, text):
+    return {w for token in tx.tokens(text) for one in decoder.readings(token) for w in one}
+
+
+@pytest.mark.parametrize("text, word", [("iddiot", "idiot"), ("morron", "moron"), ("stuupid", "stupid"), ("idi" + "o" * 60 + "t", "idiot"),
+                                        ("the.house.of.their.other.mother.and.idiot.was", "idiot"), ("the-idiot-" * 6, "idiot"),
+                                        ("idio+", "idiot"), ("id!0+!!", "idiot"), ("s-c-u-m-" * 12, "scum"), ("the idiot was a moron " .replace(" ", "") * 4, "moron")])
+def test_hidden_words_are_read(decoder, text, word):
+    assert word in read(decoder, text)
+
+
+@pytest.mark.parametrize("text", ["i d i o t.", "so i d i o t!! said", "t h e i d i o t, m o r o n", "i. d. i. o. t.", "t h e i d i o t", "t h e i d i o t w a s a m o r o n " * 5])
+def test_spelled_out_words_are_parted(decoder, text):
+    assert "idiot" in read(decoder, text)
+
+
 def test_trigram_counts_cover_whole_texts(spark):
     text = "ab" * (1 << 19) + "cd"  # longer than a piece
     cells = {r.cell: r.n for r in tx.trigram_counts(spark.createDataFrame([(text,), (None,), ("",)], "text string")).collect()}
