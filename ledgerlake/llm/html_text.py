@@ -24,7 +24,9 @@ from ledgerlake.llm.common import quoted, small_batches, stray_columns
 
 #: Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math object textarea title select option button canvas audio video head".split())
+RAW = set("script style noscript template iframe svg math object textarea title select option button canvas audio video".split())
+#: Of these the ones that, without an end tag, are passed over as a tag only.
+LOOSE = set("svg math object select option button canvas audio video iframe noscript template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SIDE = set("nav header footer aside form menu dialog fieldset".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -38,8 +40,8 @@ recommended replies reply respond responses search share sharing sidenav signup
 SIDE_STARTS = tuple("advert breadcrumb commentf commentl commentb comments consent cookie copyright disqus navig newsletter related sidebar skyscraper sponsor subscri".split())
 TITLE_WORDS = {"article", "entry", "post", "page", "content", "story"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)""", re.S)
-_HIDDEN = re.compile(r"""display\s*:\s*none|(?:^|\s)hidden(?=\s|=|/|$)""", re.I)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCT = re.compile(r"""[.,;:!?…。，、؟]""")
 
 
@@ -48,29 +50,38 @@ class Block:
     path: tuple[tuple[str, int], ...]  # (element with its class, serial number of the element), root first
     text: str
     linked: int
-    side: bool
+    marks: tuple[tuple[int, int], ...]  # (serial number, how it is told) of elements around it that are outside the article
+    holds: bool  # whether it is a first-order heading, or in an article or main element
 
 
-def _words(attributes: str, holder: bool) -> tuple[str, bool]:
-    """An element's class for its path, and whether its names put it outside the article; of an element that may
-    itself be the article (``holder``) only whole names count, so that "has-comments" says nothing against it."""
-    label, side = "", bool(_HIDDEN.search(attributes))
-    for name, value in _NAMED.findall(attributes):
-        value = html.unescape(value.strip("\"'"))
-        if name.lower() == "class" and not label:
+PART, WHOLE, SURE = 1, 2, 3  # told by a part of a name, a whole name, the element itself
+
+
+def _words(attributes: str, holder: bool) -> tuple[str, int]:
+    """An element's class for its path, and how its attributes put it outside the article (0: not at all); of an element
+    that may itself be the article (``holder``) only whole names count, so that "has-comments" says nothing against it."""
+    label, side = "", 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if name == "hidden" or (name == "style" and _UNSEEN.search(value)):
+            side = SURE
+        if name not in ("class", "id", "role"):
+            continue
+        if name == "class" and not label:
             label = ".".join(value.split()[:2])
         plain = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        words = plain.split() if holder else re.split(r"[^a-z]+", plain)
-        if "header" in words and not TITLE_WORDS.isdisjoint(words):  # an article's own head holds its title
-            words.remove("header")
-        side = side or not SIDE_WORDS.isdisjoint(words) or any(w == "comment" or w.startswith(SIDE_STARTS) for w in words)
+        for words, told in ((plain.split(), WHOLE), ([] if holder else re.split(r"[^a-z]+", plain), PART)):
+            if "header" in words and not TITLE_WORDS.isdisjoint(re.split(r"[^a-z]+", plain)):  # an article's own head holds its title
+                words.remove("header")
+            if not SIDE_WORDS.isdisjoint(words) or any(w == "comment" or w.startswith(SIDE_STARTS) and (told == PART or w.isalpha()) for w in words):
+                side = max(side, told)
     return label, side
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, raw elements and the head left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # element, label, serial, outside the article
+    stack: list[tuple[str, str, int, int]] = []  # element, label, serial, outside the article
     parts: list[str] = []
     linked = serial = 0
 
@@ -79,7 +90,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple((x[1], x[2]) for x in stack if x[0] not in INLINE), text, min(linked, len(text)), any(x[3] for x in stack)))
+                out.append(Block(tuple((x[1], x[2]) for x in stack if x[0] not in INLINE), text, min(linked, len(text)),
+                                 tuple((x[2], x[3]) for x in stack if x[3]), any(x[0] in ("article", "main", "h1") for x in stack)))
             parts.clear()
         linked = 0
 
@@ -117,11 +129,13 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in ("p", "body", "html"):
                     close()
             continue
+        if tag == "head":  # what it holds is raw or void; its end tag may be missing
+            continue
         if tag in RAW:
-            if tag in ("head", "object", "video", "audio", "canvas", "svg", "math", "noscript", "template", "button", "select", "option", "iframe") and (m[3] or m[6] or "").endswith("/"):
+            if tag in ("object", "video", "audio", "canvas", "svg", "math", "noscript", "template", "button", "select", "option", "iframe") and (m[3] or m[6] or "").endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else at if tag in LOOSE else n
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input", "embed"):
@@ -148,8 +162,8 @@ def blocks_of(page: str) -> list[Block]:
             close()
         serial += 1
         inside = any(x[0] in ("article", "main") for x in stack)
-        side = side and tag not in ("html", "body")
-        side = side or (tag in SIDE and not (tag == "header" and inside))
+        side = 0 if tag in ("html", "body") else side
+        side = SURE if tag in SIDE and not (tag == "header" and inside) else side
         stack.append((tag, f"{tag}.{label}" if label else tag, serial, side))
     close()
     return out
@@ -163,9 +177,27 @@ def _ratio(path: list[Block]) -> float:
     return chars / nodes * (0.1 + points / nodes) * max(0.0, 1 - linked / chars)
 
 
+def _inside(blocks: list[Block]) -> list[Block]:
+    """Blocks that may be the article's. A part of a name says nothing against an element with most of the page's
+    unlinked text that holds the article's heading or element, or leaves little beside it; if nothing is left, no name does."""
+    seen = [b for b in blocks if all(told < SURE for _, told in b.marks)]
+    size: dict[int, int] = defaultdict(int)
+    holds: set[int] = set()
+    for b in seen:
+        for serial, told in b.marks:
+            if told == PART:
+                size[serial] += len(b.text) - b.linked
+                if b.holds and all(t == PART for _, t in b.marks):
+                    holds.add(serial)
+    total = sum(len(b.text) - b.linked for b in seen)
+    free = sum(len(b.text) - b.linked for b in seen if not b.marks)
+    wide = {serial for serial, n in size.items() if 2 * n > total and (serial in holds or 4 * free < total)}
+    return [b for b in seen if all(serial in wide for serial, _ in b.marks)] or seen
+
+
 def main_text(page: str, spread: float = 1.0, cut: float = 0.25) -> str:
     """The article's text: blocks joined by one space."""
-    blocks = [b for b in blocks_of(page) if not b.side]
+    blocks = _inside(blocks_of(page))
     if not blocks:
         return ""
     paths: dict[tuple[str, ...], list[Block]] = defaultdict(list)

@@ -18,6 +18,18 @@ def test_article_alone(page):
     assert main_text(page) == WANT
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><div class='content has-sidebar'>{BODY}</div><div class='sidebar'><p>Side, notes.</p></div></body>",
+    f"<body><div class='no-sidebar'>{BODY}</div></body>",
+    f"<body><div class='post comments-open'><article>{BODY}</article></div><div class='comments'><p>Ha, ha.</p></div></body>",
+    f"<body><div class='search'>{BODY}</div></body>",
+    f"<article data-title='A hidden cost of war'>{BODY}</article>", f"<article title='the hidden truth'>{BODY}</article>",
+    f"<html><head><title>T</title><meta charset=utf-8><article>{BODY}</article>", f"<article><button>{BODY}</article>",
+])
+def test_names_on_a_wrapper_keep_the_article(page):
+    assert main_text(page) == WANT
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("<nav>menu</nav>") == "" and main_text("<p") == ""
     assert main_text("just text") == "just text" and main_text("<p>a<!-- unclosed") == "a"
