@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import ann_blocks, bpe, chat, html_text, line_dedup, minhash, mixing, pii, topk, toxicity
+from ledgerlake.llm import ann_blocks, bpe, chat, drift_clusters, html_text, line_dedup, minhash, mixing, pii, range_join, repair, topk, toxicity
 from ledgerlake.llm.common import read
 
 QUERIES: dict = {}
@@ -153,3 +153,104 @@ SELECT doc_id, source, n_words, coalesce(weight, 0.0) AS weight,
 """)
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_words", "weight", "n_copies")
+
+
+def _repair_sql() -> str:
+    """The repair as SQL: a recursion over turns from the last to the first with the best (cost, audit, lines) by state."""
+    need, to = "uuau", (2, 2, 3, 2)
+
+    def option(cost: str, audit: str, lines: str) -> str:
+        return f"{{'c': CAST({cost} AS BIGINT), 'a': {audit}, 't': {lines}}}"
+
+    def edits(s: int) -> str:
+        n, role = to[s], "assistant" if need[s] == "a" else "user"
+        found = [option(f"f{s}.c + 2", f"'D' || f{s}.a", f"f{s}.t"),
+                 f"CASE WHEN NOT must THEN {option(f'f{n}.c + 1 + extra', f"'R' || f{n}.a", f"list_prepend('{role}:' || text, f{n}.t)")} END",
+                 f"CASE WHEN NOT must AND initial = '{need[s]}' THEN {option(f'f{n}.c + extra', f"'K' || f{n}.a", f"list_prepend(role || ':' || text, f{n}.t)")} END"]
+        if s == 0:
+            found.append(f"CASE WHEN NOT must AND initial = 's' THEN {option('f1.c + extra', "'K' || f1.a", "list_prepend(role || ':' || text, f1.t)")} END")
+        return f"least({', '.join(found)}) AS b{s}"
+
+    def insert(s: int, value: str) -> str:
+        role = "assistant" if need[s] == "a" else "user"
+        return option(f"{value}.c + 5", f"'I' || {value}.a", f"list_prepend('{role}:', {value}.t)")
+
+    end = [option("0", "''", "[]::VARCHAR[]"), option("10", "'II'", "['user:', 'assistant:']"), option("5", "'I'", "['assistant:']"), option("0", "''", "[]::VARCHAR[]")]
+    return f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+c0 AS (SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS codes FROM conversations),
+c1 AS (SELECT * EXCLUDE (codes), xor(list_reduce(codes, lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS hit FROM c0, tab),
+c2 AS (SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+              CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+       FROM c1 WHERE hit <> 0),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM c2),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+              CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM r0),
+r2 AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+              lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair, row_number() OVER (PARTITION BY conv ORDER BY pos DESC) AS back FROM r1),
+n AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+             count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r2 GROUP BY conv),
+dp AS (
+  SELECT conv, 0::BIGINT AS k, {', '.join(f'{e} AS f{i}' for i, e in enumerate(end))} FROM n
+  UNION ALL
+  SELECT conv, k, least(b0, {insert(0, 'v2')}) AS f0, least(b1, {insert(1, 'v2')}) AS f1, v2 AS f2, v3 AS f3 FROM (
+    SELECT *, least(b2, {insert(2, 'b3')}) AS v2, least(b3, {insert(3, 'b2')}) AS v3 FROM (
+      SELECT conv, k, {', '.join(edits(s) for s in range(4))} FROM (
+        SELECT dp.conv, dp.k + 1 AS k, f0, f1, f2, f3, r.role, r.text, r.initial, r.blank OR r.duplicate AS must, CASE WHEN r.cut THEN 5 ELSE 0 END AS extra
+        FROM dp JOIN r2 r ON r.conv = dp.conv AND r.back = dp.k + 1)))),
+best AS (SELECT n.*, f0.c AS cost, f0.a AS audit, f0.t AS lines FROM n JOIN dp ON dp.conv = n.conv AND dp.k = n.n),
+ids AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN best USING (conv)"""
+
+
+@_register("op11_suffix_repair", _repair_sql())
+def op11_suffix_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+def _cluster_sql(rounds: int = 5) -> str:
+    """Lloyd's rounds written out one after the other, all distances computed."""
+    floored = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+    steps = ["""
+v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v AS m FROM v QUALIFY c < 40)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': CAST(list_sum(list_transform(list_zip(v, m), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), 'c': c}}) AS b
+  FROM v, c{i} GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""
+x{i} AS (SELECT b.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}),
+m{i} AS (SELECT c, list(f ORDER BY i) AS m FROM (SELECT c, i, {floored} AS f FROM x{i} GROUP BY c, i) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m{i}.m, c.m) AS m FROM c{i} c LEFT JOIN m{i} USING (c))""")
+    return f"""
+WITH {','.join(steps)}
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k.m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} k ON k.c = b.c"""
+
+
+@_register("op12_drift_clusters", _cluster_sql())
+def op12_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@_register("op13_range_join", """
+WITH RECURSIVE v0 AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+                   vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
+v AS MATERIALIZED (SELECT vec_id, max(CASE WHEN fine THEN {'p': len(v) || ':' || label, 'v': v} END) AS w FROM v0 GROUP BY vec_id),
+u AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.w.p = b.w.p AND a.vec_id <> b.vec_id
+                   WHERE list_dot_product(a.w.v, b.w.v) / (sqrt(list_dot_product(a.w.v, a.w.v)) * sqrt(list_dot_product(b.w.v, b.w.v))) >= 0.93),
+r AS (SELECT DISTINCT a AS src, a AS dst FROM u UNION SELECT r.src, u.b FROM r JOIN u ON r.dst = u.a),
+c AS (SELECT src, min(dst) AS component FROM r GROUP BY src),
+l AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT vec_id, coalesce(l.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, coalesce(coalesce(c.component, vec_id) = vec_id, true) AS kept
+FROM v LEFT JOIN c ON c.src = vec_id LEFT JOIN l ON l.a = vec_id
+""")
+def op13_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(read(spark, sf_dir, "embeddings"))
