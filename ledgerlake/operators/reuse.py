@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text as T
-from ledgerlake.operators.embed import hash_embed
+from ledgerlake.operators.embed import count_vectors, hash_embed
 from ledgerlake.operators.similarity import nearest
 from ledgerlake.session import ensure_checkpoint_dir
 
@@ -27,22 +27,29 @@ DEFAULT_TTL_SECONDS = 86_400
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Replace the text by exact key, number fingerprint and normalized text.
+    """Replace the text by exact key, number fingerprint and ``raw``, the text as it is.
 
-    Narrow projection only; ``norm`` is for ``vectors`` and is pruned where no
+    Narrow projection only; ``raw`` is for vectors and is pruned where no
     vector is wanted.
     """
-    norm = T.normalize_text(text_col)
-    return (df.withColumn("exact_key", F.sha2(norm, 256))
+    return (df.withColumn("exact_key", T.exact_key(text_col))
             .withColumn("digits", T.numeric_fingerprint(text_col))
-            .withColumn("norm", norm)
+            .withColumn("raw", F.col(text_col))
             .drop(text_col))
 
 
 def vectors(keyed_rows: DataFrame) -> DataFrame:
     """(exact_key, embedding) of ``keyed`` rows. Rows of one key have one text,
     so their summed counts have the direction of a single one."""
-    return hash_embed(keyed_rows.select("exact_key", "norm"), "exact_key", "norm")
+    return hash_embed(keyed_rows.select("exact_key", T.normalize_text("raw").alias("norm")), "exact_key", "norm")
+
+
+def text_vectors(texts: DataFrame, id_col: str, text_col: str, wanted: DataFrame, counts: bool = False) -> DataFrame:
+    """(exact_key, embedding) for ``wanted`` (exact_key and the id of one row that has it): texts are joined by id first, so
+    only one text per key is normalized and cut into words. With ``counts`` the word counts instead of unit vectors."""
+    some = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted.select("exact_key", F.col(id_col).alias("_id")), "_id")
+    some = some.select("exact_key", T.normalize_text("_text").alias("norm"))
+    return (count_vectors if counts else hash_embed)(some, "exact_key", "norm")
 
 
 def unexpired(store: DataFrame, now: Column | None, ttl_seconds: int | None, written_at: str = "written_at") -> DataFrame:
@@ -108,7 +115,7 @@ def two_tier_lookup(probes: DataFrame, store: DataFrame, store_vectors: DataFram
     the keys that the exact tier leaves open.
     """
     ensure_checkpoint_dir(probes.sparkSession)
-    texts = probes.select("exact_key", "norm")
+    texts = probes.select(probe_id, "raw")
     probes = probes.select(probe_id, "exact_key", "digits").checkpoint()
     store = unexpired(store, now, ttl_seconds).select("exact_key", "digits", "answer").checkpoint()
     ex = probes.select(probe_id, "exact_key").join(
@@ -124,10 +131,10 @@ def two_tier_lookup(probes: DataFrame, store: DataFrame, store_vectors: DataFram
         return exact.unionByName(rest)
     # The semantic outcome depends only on the normalized text (embedding and
     # numbers), so search once per distinct missing key: a document resubmitted
-    # a million times costs one search. ``min_by`` keeps it deterministic and
-    # is a partial aggregate, so a hot key ships one row per map task.
-    keys = misses.groupBy("exact_key").agg(F.min_by("digits", F.col(probe_id)).alias("digits")).checkpoint()
-    probe_vectors = vectors(texts).join(keys.select("exact_key"), "exact_key", "left_semi").withColumnRenamed("exact_key", "probe_key")
+    # a million times costs one search. The smallest id keeps it deterministic; a
+    # partial aggregate, so a hot key ships one row per map task.
+    keys = misses.groupBy("exact_key").agg(F.min(F.struct(probe_id, "digits")).alias("first")).select("exact_key", "first.*").checkpoint()
+    probe_vectors = text_vectors(texts, probe_id, "raw", keys).withColumnRenamed("exact_key", "probe_key")
     cand = semantic_candidates(probe_vectors, store, store_vectors, "probe_key", threshold)
     cand = cand.join(keys.select(F.col("exact_key").alias("probe_key"), "digits"), "probe_key", "inner")
     agree = F.col("digits").eqNullSafe(F.col("match_digits"))

@@ -12,7 +12,6 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import extract as X
-from ledgerlake.operators import reuse as R
 from ledgerlake.operators.stats import exact_percentiles
 from ledgerlake.plans import q_reuse as QR
 from ledgerlake.plans.registry import register
@@ -57,9 +56,8 @@ SELECT CAST(count(*) AS BIGINT) AS engine_calls,
        CAST(count(DISTINCT p.exact_key) AS BIGINT) AS distinct_keys
 FROM outcomes o JOIN probes p USING (probe_id) WHERE o.outcome IN ('miss', 'guard_rejected')""")
 def q_engine_calls(spark, sf_dir):
-    keyed = QR._docs(spark, sf_dir)
-    probes = QR._probes(keyed)
-    out = R.two_tier_lookup(probes, QR._store(keyed), "probe_id", threshold=QR.THRESHOLD)
+    probes = QR._probes(QR._docs(spark, sf_dir))
+    out = QR._lookup(spark, sf_dir, threshold=QR.THRESHOLD)
     missed = out.filter(F.col("outcome").isin("miss", "guard_rejected")).join(
         probes.select("probe_id", "exact_key"), "probe_id")
     return missed.agg(F.count(F.lit(1)).alias("engine_calls"),
@@ -79,7 +77,7 @@ def q_read_through_fill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     keyed = QR._docs(spark, sf_dir)
     probes, store = QR._probes(keyed), QR._store(keyed)
-    out = R.two_tier_lookup(probes, store, "probe_id", threshold=QR.THRESHOLD)
+    out = QR._lookup(spark, sf_dir, threshold=QR.THRESHOLD)
     # One engine call per distinct missing key (lowest probe id's text).
     missed = (out.filter(F.col("outcome").isin("miss", "guard_rejected"))
               .join(probes.select("probe_id", "exact_key"), "probe_id")

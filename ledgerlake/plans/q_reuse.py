@@ -14,7 +14,8 @@ from ledgerlake.functions import text as T
 from ledgerlake.functions.vectors import cosine
 from ledgerlake.operators import reuse as R
 from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, slot_counts
-from ledgerlake.operators.similarity import nearest, pairs_above
+from ledgerlake.operators.graph import components
+from ledgerlake.operators.similarity import collisions, nearest
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
 from ledgerlake.session import ensure_checkpoint_dir, scratch_path
@@ -43,9 +44,16 @@ def _probes(keyed):
     return keyed.filter(F.pmod("doc_id", F.lit(5)) == 0).withColumnRenamed("doc_id", "probe_id")
 
 
+def _stored(spark, sf_dir, keyed, counts=False):
+    """The store, stored, and the vectors of its entries."""
+    ensure_checkpoint_dir(spark)
+    store = _store(keyed).checkpoint()
+    return store, R.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", store, counts)
+
+
 def _lookup(spark, sf_dir, **opts):
     keyed = _docs(spark, sf_dir)
-    return R.two_tier_lookup(_probes(keyed), _store(keyed), R.vectors(_writes(keyed)), "probe_id", **opts)
+    return R.two_tier_lookup(_probes(keyed), *_stored(spark, sf_dir, keyed), "probe_id", **opts)
 
 
 REUSE_WITH = f"""
@@ -194,26 +202,27 @@ def q_semantic_top1(spark, sf_dir):
                       F.round("similarity", 6).alias("similarity"))
 
 
-def _candidates(keyed):
-    """Probes without an exact answer, and their best store entry."""
-    store = _store(keyed)
-    misses = R.lookup_miss(_probes(keyed), store)
-    probe_vectors = misses.select("probe_id", "exact_key").join(R.vectors(_probes(keyed)), "exact_key")
-    return misses, R.semantic_candidates(probe_vectors, store, R.vectors(_writes(keyed)), "probe_id", THRESHOLD)
+def _candidates(spark, sf_dir):
+    """Probes without an exact answer, and their best store entry; one search per distinct text."""
+    keyed = _docs(spark, sf_dir)
+    store, held = _stored(spark, sf_dir, keyed)
+    misses = R.lookup_miss(_probes(keyed).select("probe_id", "exact_key", "digits"), store).checkpoint()
+    keys = misses.groupBy("exact_key").agg(F.min("probe_id").alias("doc_id"))
+    asked = R.text_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", keys).withColumnRenamed("exact_key", "probe_key")
+    found = R.semantic_candidates(asked, store, held, "probe_key", THRESHOLD)
+    return misses, misses.select("probe_id", F.col("exact_key").alias("probe_key")).join(found, "probe_key")
 
 
 @register("similarity_threshold", REUSE_WITH + "\nSELECT probe_id, match_key, round(sim, 6) AS similarity FROM cand")
 def q_similarity_threshold(spark, sf_dir):
-    keyed = _docs(spark, sf_dir)
-    _, cand = _candidates(keyed)
+    _, cand = _candidates(spark, sf_dir)
     return cand.select("probe_id", "match_key", F.round("similarity", 6).alias("similarity"))
 
 
 @register("numeric_guard", REUSE_WITH + """
 SELECT probe_id, match_key, digits IS NOT DISTINCT FROM match_digits AS guard_ok FROM cand""")
 def q_numeric_guard(spark, sf_dir):
-    keyed = _docs(spark, sf_dir)
-    misses, cand = _candidates(keyed)
+    misses, cand = _candidates(spark, sf_dir)
     cand = cand.join(misses.select("probe_id", "digits"), "probe_id")
     return cand.select("probe_id", "match_key",
                        F.col("digits").eqNullSafe(F.col("match_digits")).alias("guard_ok"))
@@ -264,24 +273,44 @@ def q_cache_snapshot(spark, sf_dir):
     return R.cache_snapshot(R.cache_stats(_lookup(spark, sf_dir, threshold=THRESHOLD)), THRESHOLD)
 
 
-@register("guard_collision_report", REUSE_WITH + f""",
-svec AS (SELECT s.exact_key, v.dim, v.w FROM store s JOIN vec v ON v.doc_id = s.doc_id),
-pairs AS (SELECT a.exact_key AS key_a, b.exact_key AS key_b, round(sum(a.w * b.w), 9) AS sim
-          FROM svec a JOIN svec b ON a.dim = b.dim AND a.exact_key < b.exact_key GROUP BY 1, 2)
-SELECT p.key_a, p.key_b, round(p.sim, 6) AS similarity
-FROM pairs p JOIN store sa ON sa.exact_key = p.key_a JOIN store sb ON sb.exact_key = p.key_b
-WHERE p.sim >= {THRESHOLD} AND sa.digits IS DISTINCT FROM sb.digits""")
+COLLISION_SQL = REUSE_WITH + f""",
+svec AS (SELECT s.exact_key, s.digits, v.dim, v.w, v.c FROM store s JOIN vec v ON v.doc_id = s.doc_id),
+form AS (SELECT exact_key, any_value(digits) AS digits, list({{'d': dim, 'c': c}} ORDER BY dim) AS form FROM svec GROUP BY exact_key),
+class AS (SELECT exact_key, min(exact_key) OVER (PARTITION BY form, digits) AS class_key FROM form),
+pairs AS MATERIALIZED (SELECT a.exact_key AS a, b.exact_key AS b, round(sum(a.w * b.w), 9) AS sim
+  FROM svec a JOIN svec b ON a.dim = b.dim AND a.digits IS DISTINCT FROM b.digits GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 9) >= {THRESHOLD}),
+reach AS (SELECT DISTINCT a AS src, a AS dst FROM pairs UNION SELECT r.src, p.b FROM reach r JOIN pairs p ON p.a = r.dst),
+family AS (SELECT src, min(dst) AS family_key FROM reach GROUP BY src),
+report AS (SELECT p.a AS exact_key, any_value(c.class_key) AS class_key, count(*) AS n_collisions, round(max(p.sim), 6) AS closest, any_value(f.family_key) AS family_key
+  FROM pairs p JOIN class c ON c.exact_key = p.a JOIN family f ON f.src = p.a GROUP BY p.a)"""
+COLLISION_SQL = COLLISION_SQL.replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+
+
+def _collision_report(spark, sf_dir):
+    """A row for every entry that some other entry of other numbers is alike to: its class, how many such entries
+    there are, the closest similarity, and the family it reaches through such entries (by its smallest key)."""
+    store, held = _stored(spark, sf_dir, _docs(spark, sf_dir), counts=True)
+    entries = store.select("exact_key", "digits").join(held, "exact_key").checkpoint()
+    classes, links = collisions(entries, "exact_key", "embedding", "digits", THRESHOLD)
+    named = entries.groupBy("embedding", "digits").agg(F.min("exact_key").alias("class_key"))
+    named = entries.join(named, ["embedding", "digits"]).select("exact_key", "class_key")
+    family = components(links).select(F.col("node").alias("class_key"), F.col("component").alias("family_key"))
+    return named.join(classes.join(family, "class_key"), "class_key").select(
+        "exact_key", "class_key", "n_collisions", F.round("closest", 6).alias("closest"), "family_key")
+
+
+@register("guard_collision_report", COLLISION_SQL + "\nSELECT * FROM report")
 def q_guard_collision_report(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
-    keyed = _docs(spark, sf_dir)
-    store = _store(keyed).select("exact_key", "digits").checkpoint()
-    held = R.vectors(_writes(keyed))
-    pairs = pairs_above(held, held, "exact_key", "exact_key", "embedding", THRESHOLD, self_join=True)
-    fa = store.select(F.col("exact_key").alias("a"), F.col("digits").alias("da"))
-    fb = store.select(F.col("exact_key").alias("b"), F.col("digits").alias("db"))
-    j = pairs.join(fa, "a").join(fb, "b").filter(~F.col("da").eqNullSafe(F.col("db")))
-    return j.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"),
-                    F.round("similarity", 6).alias("similarity"))
+    return _collision_report(spark, sf_dir)
+
+
+@register("guard_collision_families", COLLISION_SQL + """
+SELECT family_key, count(*) AS n_entries, count(DISTINCT class_key) AS n_classes, CAST(sum(n_collisions) / 2 AS BIGINT) AS n_collisions, max(closest) AS closest
+FROM report GROUP BY family_key""")
+def q_guard_collision_families(spark, sf_dir):
+    """Families of entries that only their numbers tell apart: entries, classes and colliding pairs of each."""
+    return _collision_report(spark, sf_dir).groupBy("family_key").agg(
+        F.count("*").alias("n_entries"), F.countDistinct("class_key").alias("n_classes"), (F.sum("n_collisions") / 2).cast("bigint").alias("n_collisions"), F.max("closest").alias("closest"))
 
 
 @register("store_upsert", REUSE_WITH + "\nSELECT exact_key, doc_id, answer, CAST(n_writes AS BIGINT) AS n_writes FROM store")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlake.functions.text import normalize_text
 from ledgerlake.operators import reuse as R
 from ledgerlake.operators.embed import hash_embed, slot_counts
-from ledgerlake.operators.similarity import nearest, pairs_above
+from ledgerlake.operators.graph import components
+from ledgerlake.operators.similarity import Boxes, collisions, fit_boxes, nearest, pairs_above
 
 # A delivery note, the same in other writing, with a remark, and one of another load.
 NOTE = "Delivery note 5512 from Harbour Timber: nine pallets of oak boards, 14 bundles of lath, gross 2310 kg, berth 6"
@@ -110,8 +111,10 @@ def _random_vectors(spark, n, seed, dims=8):
 def test_blocked_nearest_matches_brute_force(spark):
     probes, q = _random_vectors(spark, 37, 1)
     store, m = _random_vectors(spark, 53, 2)
+    report = []
     got = {r["id"]: (r["match_key"], r["similarity"]) for r in
-           nearest(probes, store, "id", "id", "v", threshold=0.3, block_rows=7).collect()}
+           nearest(probes, store, "id", "id", "v", threshold=0.3, block_rows=7, report=report).collect()}
+    assert report[0] == 37 * 53 and report[0] >= report[1] >= report[2] > 0
     qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     mn = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     sims = np.round(qn @ mn.T, 9)
@@ -135,3 +138,78 @@ def test_pairs_above_self_join(spark):
     sims = np.round(mn @ mn.T, 9)
     want = {(i, j) for i in range(41) for j in range(41) if i < j and i != 3 and j != 3 and sims[i, j] >= 0.6}
     assert got == want
+
+
+def _families(rng, n, dims=16):
+    """Counts like those of texts of a few templates, and the best match of every fifth among the others."""
+    centres = rng.integers(0, 30, size=(12, dims))
+    mat = np.abs(centres[rng.integers(0, 12, n)] + rng.integers(-2, 3, size=(n, dims))).astype(float)
+    mat[7] = 0.0
+    unit = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+    return mat, np.round(unit @ unit.T, 9)
+
+
+def test_boxes_prune_and_lose_nothing(spark):
+    rng = np.random.default_rng(11)
+    mat, sims = _families(rng, 900)
+    rows = [(f"k{i:04d}", [float(x) for x in mat[i]]) for i in range(900)] + [("k9990", None), ("k9991", [])]
+    rows += [(f"k95{i:02d}", [float(x) for x in mat[11]]) for i in range(60)]  # equal vectors
+    every = spark.createDataFrame(rows, "key string, v array<double>")
+    probe = F.pmod(F.substring("key", 2, 4).cast("int"), F.lit(5)) == 0
+    report = []
+    got = {r["key"]: (r["match_key"], r["similarity"]) for r in
+           nearest(every.where(probe), every.where(~probe), "key", "key", "v", 0.98, block_rows=16, report=report).collect()}
+    want = {}
+    for i in range(0, 900, 5):
+        held = [j for j in range(900) if j % 5 and i != 7 and j != 7]
+        j = max(held, key=lambda j: (sims[i, j], -j))
+        if sims[i, j] >= 0.98:
+            want[f"k{i:04d}"] = (f"k{j:04d}", sims[i, j])
+    assert {k: v for k, v in got.items() if k in want} == want and all(k >= "k9500" for k in got.keys() - want.keys())
+    assert report[1] < 0.5 * report[0] and report[2] < 0.3 * report[0]
+
+
+def test_sketches_are_no_further_apart_than_vectors():
+    rng = np.random.default_rng(12)
+    x = np.abs(rng.normal(size=(400, 24)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    boxes = fit_boxes(x[:200], 16, 0.3)
+    s = boxes.sketch(x)
+    assert (s @ s.T >= x @ x.T - 1e-12).all()
+    box = boxes.box_of(s)
+    low = np.stack([s[box == b].min(axis=0) if (box == b).any() else np.full(s.shape[1], np.inf) for b in range(len(boxes.low))])
+    high = np.stack([s[box == b].max(axis=0) if (box == b).any() else np.full(s.shape[1], -np.inf) for b in range(len(boxes.low))])
+    touched = Boxes(boxes.directions, boxes.cuts, low, high).touched(s, 0.3)
+    near = np.sqrt(np.clip(2 - 2 * x @ x.T, 0, None)) <= 0.3
+    assert len(boxes.low) > 1 and all(touched[i, box[j]] for i, j in zip(*np.nonzero(near)))
+
+
+def test_collisions_as_classes(spark):
+    rng = np.random.default_rng(13)
+    mat, sims = _families(rng, 300)
+    tags = [None if i % 50 == 0 else str(int(t)) for i, t in enumerate(rng.integers(0, 4, 300))]
+    rows = [(i, [float(x) for x in mat[i]], tags[i]) for i in range(300)]
+    rows += [(300 + i, rows[11][1], rows[11][2]) for i in range(40)] + [(400 + i, rows[11][1], "other") for i in range(30)]
+    got, links = collisions(spark.createDataFrame(rows, "id long, v array<double>, tag string"), "id", "v", "tag", 0.98, block_rows=16)
+    unit = np.array([r[1] for r in rows])
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    hit = (np.round(unit @ unit.T, 9) >= 0.98) & np.array([[a[2] != b[2] for b in rows] for a in rows])
+    first = [next(b[0] for b in rows if b[1:] == a[1:]) for a in rows]
+    found = {r["class_key"]: (r["n_entries"], r["n_collisions"]) for r in got.collect()}
+    assert found == {first[i]: (first.count(first[i]), int(hit[i].sum())) for i in range(len(rows)) if hit[i].any()}
+    family = {r["node"]: r["component"] for r in components(links).collect()}
+    label = list(range(len(rows)))
+    for _ in range(20):
+        label = [min([label[j] for j in np.flatnonzero(hit[i])] + [label[i]]) for i in range(len(rows))]
+    same = {}
+    for i in range(len(rows)):
+        if hit[i].any():
+            assert same.setdefault(label[i], family[first[i]]) == family[first[i]]
+    assert len(set(same.values())) == len(same) and links.count() < 5 * len(rows)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(6, 40)] + [(200, 200), (300, 301)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in range(5, 40)}, 300: 300, 301: 300}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
