@@ -187,7 +187,7 @@ c2 AS (SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
 r0 AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM c2),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
               CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM r0),
-r2 AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+r2 AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS cut,
               lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair, row_number() OVER (PARTITION BY conv ORDER BY pos DESC) AS back FROM r1),
 n AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
              count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r2 GROUP BY conv),
