@@ -1,11 +1,11 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 The components are cut into parts; every part is a node with its own list of partial scores per query. Phase 1
-gathers each node's k best partial scores; the k-th best sum of what is known is a lower bound of the k-th best
-score, and its equal share per node a safe cutoff: a row below the cutoff at every node stays below the bound.
-Phase 2 sends the cutoffs to all nodes with the query blocks and collects every entry that reaches them; sums of
-these raise the bound, and rows whose best possible score lies below it go. Phase 3 computes the remaining scores
-exactly. Partial scores are counted from the smallest one of the node, which makes them non-negative.
+gathers, wherever row blocks meet query blocks, each node's k best partial scores with the scores of their rows; the
+k-th best score so gathered bounds the k-th best of all. Phase 2 sends every query the uniform share of that bound:
+a score that reaches it has a part that reaches the share, so every other row is passed over at all nodes. Phase 3
+adds up the remaining parts of the rows that were collected, exactly and where both vectors are at hand, and keeps
+what reaches the bound.
 """
 
 from __future__ import annotations
@@ -35,65 +35,74 @@ def _cuts(dim: int, parts: int) -> list[int]:
 NONE = np.iinfo(np.int64).min
 
 
+def _parts(q: np.ndarray, r: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The partial scores of a tile at every node."""
+    cut = _cuts(q.shape[1], parts)
+    return [product(q[:, cut[p]:cut[p + 1]], r[:, cut[p]:cut[p + 1]]) for p in range(parts)]
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if scores.shape[1] > k:
+        top = np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
+        ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+    return ids, scores
+
+
 def _gather(k: int, parts: int):
-    """Phase 1 in a task: per query and part the k best partial scores, and the smallest one (without a vec_id)."""
+    """Phase 1 in a task: per query the k best scores among the rows on its nodes' lists of k partial scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # per query block and part (ids, scores, smallest); passed on at the end, or when a further block would be too many
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        queries: dict[int, np.ndarray] = {}
+        # per query block (queries, ids, scores); passed on at the end, or when a further block would be too many
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for block, found in held.items():
-                asked = queries[block]
-                for part, (ids, scores, least) in enumerate(found):
-                    at, col = np.nonzero(scores > NONE)
-                    query = np.concatenate((asked[at], asked))
-                    vec = pa.array(np.concatenate((ids[at, col], asked)), mask=np.arange(len(query)) >= len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), part, np.int32)), vec, pa.array(np.concatenate((scores[at, col], least)))],
-                                                     names=["query_id", "part", "vec_id", "score"])
+            for asked, ids, scores in held.values():
+                at, col = np.nonzero(scores > NONE)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(ids[at, col]), pa.array(scores[at, col])], names=["query_id", "vec_id", "score"])
             held.clear()
-            queries.clear()
 
         for batch in batches:
             for row in range(batch.num_rows):
                 block = batch.column("q_block")[row].as_py()
-                if block not in held and sum(map(len, queries.values())) > HELD_QUERIES:
+                if block not in held and sum(len(x[0]) for x in held.values()) > HELD_QUERIES:
                     yield from flush()
                 dim = batch.column("q_dim")[row].as_py()
                 asked, q = unpack(batch.column("q_ids")[row].as_py(), batch.column("q_data")[row].as_py(), dim)
                 ri, r = unpack(batch.column("r_ids")[row].as_py(), batch.column("r_data")[row].as_py(), dim)
-                queries[block], before = asked, held.get(block)
-                cut, own, got = _cuts(dim, parts), asked[:, None] == ri[None], []
-                for part in range(parts):
-                    s = product(q[:, cut[part]:cut[part + 1]], r[:, cut[part]:cut[part + 1]])
-                    least, ids = s.min(axis=1), np.broadcast_to(ri, s.shape)
+                nodes = _parts(q, r, parts)
+                total, own = sum(nodes), asked[:, None] == ri[None]
+                lists = []
+                for s in nodes:
                     s[own] = NONE  # the query itself is no candidate
-                    if before:
-                        ids, s, least = np.hstack((before[part][0], ids)), np.hstack((before[part][1], s)), np.minimum(least, before[part][2])
-                    if s.shape[1] > k:
-                        top = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:]
-                        ids, s = np.take_along_axis(ids, top, 1), np.take_along_axis(s, top, 1)
-                    got.append((ids, s, least))
-                held[block] = got
+                    lists.append(np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape))
+                on = np.sort(np.hstack(lists), axis=1)
+                scores = np.take_along_axis(np.where(own, NONE, total), on, 1)
+                scores[:, 1:][on[:, 1:] == on[:, :-1]] = NONE  # on several lists: counted once
+                ids = ri[on]
+                if block in held:
+                    ids, scores = np.hstack((held[block][1], ids)), np.hstack((held[block][2], scores))
+                held[block] = (asked, *_best(ids, scores, k))
         yield from flush()
 
     return run
 
 
 def _collect(parts: int):
-    """Phase 2 in a task: entries that reach their node's cutoff; the cutoffs are the last columns of a query's row."""
+    """Phases 2 and 3 in a task: rows with an entry that reaches the share, their scores added up, those at or above
+    the bound; the share and the bound are the last columns of a query's row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch.column("r_dim")[row].as_py()
-                qi, wide = unpack(batch.column("q_ids")[row].as_py(), batch.column("q_data")[row].as_py(), dim + parts)
+                qi, wide = unpack(batch.column("q_ids")[row].as_py(), batch.column("q_data")[row].as_py(), dim + 2)
                 ri, r = unpack(batch.column("r_ids")[row].as_py(), batch.column("r_data")[row].as_py(), dim)
-                cut = _cuts(dim, parts)
-                for part in range(parts):
-                    s = product(wide[:, cut[part]:cut[part + 1]], r[:, cut[part]:cut[part + 1]])
-                    a, b = np.nonzero((s >= wide[:, dim + part][:, None]) & (qi[:, None] != ri[None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ri[b]), pa.array(np.full(len(a), part, np.int32)), pa.array(s[a, b])],
-                                                     names=["query_id", "vec_id", "part", "score"])
+                nodes = _parts(wide[:, :dim], r, parts)
+                enough = np.zeros(nodes[0].shape, bool)
+                for s in nodes:
+                    enough |= s >= wide[:, dim][:, None]
+                a, b = np.nonzero(enough & (qi[:, None] != ri[None]))
+                score = sum(s[a, b] for s in nodes)
+                keep = score >= wide[a, dim + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a[keep]]), pa.array(ri[b[keep]]), pa.array(score[keep], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -116,41 +125,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     blocks, _ = write_table(packed(first_copies(rows, k + 1), block_rows), "row-blocks")
     lanes = lanes_for(blocks)
 
-    # phase 1: local lists and the safe cutoff
-    lists = tiles(packed(queries, query_rows), blocks, lanes).mapInArrow(_gather(k, parts), "query_id long, part int, vec_id long, score long")
+    # phase 1: local lists and the bound
+    lists = tiles(packed(queries, query_rows), blocks, lanes).mapInArrow(_gather(k, parts), "query_id long, vec_id long, score long")
     with batches_of(vectors.sparkSession, BLOCK_ROWS):
         lists, _ = write_table(lists, "local-lists")
-    base = lists.where("vec_id is null").groupBy("query_id", "part").agg(F.min("score").alias("base"))
-    place = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id"))
-    local = lists.where("vec_id is not null").withColumn("place", place).where(F.col("place") <= k)
-    known = local.join(base, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("base")).alias("known"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("known"), "vec_id"))
-    # with fewer than k rows known the bound is 0: everything reaches it
-    bound = known.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min("known").alias("kth"), F.count("*").alias("n"))
-    bound = bound.select("query_id", F.when(F.col("n") < k, 0).otherwise(F.col("kth")).alias("kth"))
-    # the share is rounded up: an integer below a fraction is below the next integer too
-    share = bound.join(base, "query_id").withColumn("share", F.ceil(F.col("kth") / parts))
-    cutoffs = share.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", "base"))).alias("bases"), F.first("share").alias("share"))
-    cutoffs = cutoffs.select("query_id", "share", F.transform("bases", lambda b: (b["base"] + F.col("share")).cast("double")).alias("cut"), F.transform("bases", lambda b: b["base"]).alias("bases"))
-    cutoffs, _ = write_table(cutoffs, "cutoffs")
-
-    # phase 2: entries at or above the cutoff
-    wide = queries.join(cutoffs, queries.vec_id == cutoffs.query_id).select("vec_id", F.concat("v", "cut").alias("v"), F.size("v").alias("dim"))
-    asked = packed(wide, query_rows)
-    entries = tiles(asked, blocks, lanes).mapInArrow(_collect(parts), "query_id long, vec_id long, part int, score long")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    bounds = lists.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+    # with fewer than k rows known, everything is to be collected
+    bounds, _ = write_table(bounds.where(F.col("n") == k).select("query_id", "kth"), "bounds")
+
+    # phases 2 and 3: a part of any score that reaches the bound reaches its equal share
+    def safe(x: Column) -> Column:  # as a double not above it
+        return F.when(F.abs(x) < 2.0 ** 53, x.cast("double")).otherwise(x.cast("double") - F.abs(x.cast("double")) * 1e-15)
+
+    kth = F.col("kth")
+    wide = queries.join(bounds, queries.vec_id == bounds.query_id, "left")
+    share, bound = (F.coalesce(x, F.lit(float("-inf"))) for x in (safe(kth) / parts, safe(kth)))
+    wide = wide.select("vec_id", F.concat("v", F.array(share, bound)).alias("v"), "dim")
+    asked = packed(wide.withColumn("dim", F.col("dim") + 2), query_rows).withColumn("dim", F.col("dim") - 2)
+    entries = tiles(asked, blocks, lanes).mapInArrow(_collect(parts), "query_id long, vec_id long, score long")
     with batches_of(vectors.sparkSession, BLOCK_ROWS):
         entries, _ = write_table(entries, "entries")
-    entries = entries.join(cutoffs.select("query_id", "share", "bases"), "query_id")
-    seen = entries.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.get("bases", F.col("part"))).alias("low"), F.count("*").alias("n"), F.first("share").alias("share"))
-    seen, _ = write_table(seen.select("query_id", "vec_id", "low", (F.col("low") + (parts - F.col("n")) * F.greatest(F.col("share") - 1, F.lit(0))).alias("high")), "sums")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id"))
-    better = seen.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("low").alias("kth"))
-    left = seen.join(better, "query_id", "left").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id")
-
-    # phase 3: exact scores of what remains
-    mine = queries.select(F.col("vec_id").alias("query_id"), F.transform("v", lambda x: x.cast("long")).alias("q"))
-    other = rows.select("vec_id", F.transform("v", lambda x: x.cast("long")).alias("r"))
-    score = F.aggregate(F.zip_with("q", "r", lambda a, b: a * b), F.lit(0).cast("long"), lambda t, x: t + x)
-    scored = left.join(other, "vec_id").join(mine, "query_id").select("query_id", "vec_id", score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return entries.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
