@@ -168,15 +168,16 @@ def _join(cosine: float):
                 root[x] = x = root[root[x]]
             return x
 
-        def flush(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             a, n = list(counts.keys()), list(counts.values())
-            out = pa.RecordBatch.from_arrays([pa.array(a + [x for x, _ in links], pa.int64()), pa.array([None] * len(a) + [y for _, y in links], pa.int64()),
-                                              pa.array(n + [None] * len(links), pa.int64())], names=["a", "b", "n"])
+            stars = [(find(x), x) for x in list(root) if find(x) != x]  # every node next to the one that stands for its group
+            out = pa.RecordBatch.from_arrays([pa.array(a + [x for x, _ in stars], pa.int64()), pa.array([None] * len(a) + [y for _, y in stars], pa.int64()),
+                                              pa.array(n + [None] * len(stars), pa.int64())], names=["a", "b", "n"])
             counts.clear()
+            root.clear()
             return out
 
         for batch in batches:
-            links = []
             for row in batch.to_pylist():
                 same = row["o_home"] and row["h_block"] == row["o_block"]
                 gap = float(np.sqrt(((np.frombuffer(row["h_centre"], "<f8") - np.frombuffer(row["o_centre"], "<f8")) ** 2).sum()))
@@ -198,13 +199,10 @@ def _join(cosine: float):
                 for x, y in edges:
                     x, y = find(x), find(y)
                     if x != y:
-                        root[y] = x
-                        links.append((x, y))
-            if links or len(counts) > HELD_NODES:
-                yield flush(links)
-            if len(root) > HELD_NODES:
-                root.clear()
-        yield flush([])
+                        root[max(x, y)] = min(x, y)
+            if len(counts) + len(root) > HELD_NODES:
+                yield flush()
+        yield flush()
 
     return run
 
