@@ -233,12 +233,19 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192
 def linked_blocks(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the members of large postings (shingle, node, component, m), without pair rows.
 
-    A posting is dealt by a hash of the node into blocks of about SMALL members; each two blocks meet in one group,
-    which tests all their pairs of different components and returns those that are similar and join something new.
+    Only members of different components need to meet. A posting's largest component and the rest of it are dealt by
+    a hash of the node into blocks of about SMALL members; a block of the largest meets the blocks of the rest, and
+    these each other, never the largest itself. Each two blocks are one group, which tests all their pairs of
+    different components and returns those that are similar and join something new.
     """
-    blocks = F.ceil(F.col("m") / SMALL).cast("int")
-    placed = posted.withColumn("own", F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int"))
-    meets = placed.select("shingle", "node", "component", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    parts = posted.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("main")).select("shingle", F.col("main.c").alias("c"), F.col("main.component").alias("main"))
+    inside = F.col("component") == F.col("main")
+    large, rest = F.ceil(F.col("c") / SMALL).cast("int"), F.ceil((F.col("m") - F.col("c")) / SMALL).cast("int")
+    hashed = F.xxhash64("node", "shingle")
+    own = F.when(inside, F.pmod(hashed, large)).otherwise(large + F.pmod(hashed, rest)).cast("int")
+    placed = posted.join(main, "shingle").withColumn("own", own)
+    meets = placed.select("shingle", "node", "component", "own", F.explode(F.sequence(F.when(inside, large).otherwise(F.lit(0)), large + rest - 1)).alias("other"))
     meets = meets.select("shingle", "node", "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
 
     def run(frame):
