@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ def decoder():
 
 @pytest.mark.parametrize("written, read", [("1d10t", "idiot"), ("m0r0n", "moron"), ("$tupid", "stupid"), ("idiot!!", "idiot"), ("w0rthle55", "worthless"),
                                            ("idiooooot", "idiot"), ("scum###", "scum"), ("tr@sh", "trash"), ("i.d.i.o.t", "idiot"), ("s-c-u-m", "scum"),
-                                           ("the&&&", "the"), ("and,", "and"), ("mother", "mother"), ("12345", "12345"), ("", ""), ("x" * 50 + "0", "x" * 50 + "0")])
+                                           ("the&&&", "the"), ("and,", "and"), ("mother", "mother"), ("12345", "12345"), ("", ""), ("x" * 50 + "0", "xo")])
 def test_viterbi_reading(decoder, written, read):
     assert decoder.decode(written) == read
 
@@ -55,6 +56,76 @@ def test_trigram_counts_cover_whole_texts(spark):
     assert cells[aba] == (1 << 19) - 1 and cells[(3 * 64 + 4) * 64] == 1
 
 
+def test_ordinary_words_keep_their_letters(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        cells = tx.trigram_counts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text")).toPandas()
+        counts = np.zeros(tx.SYMBOLS ** 3, np.int64)
+        counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        read = tx.Decoder(tx.trigram_costs(counts))
+        for word in "worthless committee address hopping killer balloon coffee".split():
+            assert read.decode(word) == word
+        assert [read.decode(w) for w in ("w0rthle55", "idiooooot", "m0r0n")] == ["worthless", "idiot", "moron"]
+
+
+def paths(word, forced):
+    """All readings of a lattice, with what the channel asks for each."""
+    found = [("", 0.0)]
+    for i, ch in enumerate(word):
+        near = word[max(0, i - 1):i + 2].count(ch) > 1
+        if ch.isalpha():
+            steps = [(ch, 0.0)]
+            if i and word[i - 1] == ch:
+                steps.append(("", tx.COLLAPSE_RUN if word[i - 2:i - 1] == ch and i > 1 or word[i + 1:i + 2] == ch else tx.COLLAPSE))
+        else:
+            steps = [(x, tx.LEET_COST) for x in tx.LEET.get(ch, "")]
+            if i < forced:
+                steps.append(("", tx.DROP_DIGIT if ch.isdigit() else tx.DROP_MARK if near or i == len(word) - 1 or not tx.LEET.get(ch) else tx.DROP_INSIDE))
+        found = [(a + x, c + p) for a, c in found for x, p in steps]
+    return found
+
+
+def test_viterbi_equals_all_paths(decoder):
+    rng = random.Random(9)
+    for _ in range(300):
+        word = "".join(rng.choices("idotmrnaasse100@!$.-", k=rng.randint(1, 7)))
+        forced = rng.choice([len(word), len(word), 3])
+        every = paths(word, forced)
+        if every and any(map(str.isalpha, word)):
+            best = min(cost + decoder.price(text) for text, cost in every)
+            cost, text = decoder.cheapest(word, forced=forced)
+            assert abs(cost - best) < 1e-4 and abs(min(c + decoder.price(t) for t, c in every if t == text) - best) < 1e-4
+
+
+def test_lexicon_does_not_hide_readings(decoder):
+    lexicon = {"idiot", "moron", "scum", "worthless"}
+    sharp = tx.Decoder(decoder.costs if isinstance(decoder.costs, np.ndarray) else np.array(decoder.costs), lexicon)
+    rng = random.Random(10)
+    for _ in range(400):
+        token = "".join(rng.choice([ch, ch, ch, ch + ch, {"i": "1", "o": "0", "s": "$", "e": "3"}.get(ch, ch), ch + "."]) for ch in rng.choice([*sorted(lexicon), "house", "theidiot"]))
+        every = {w for one in decoder.readings(token) for w in one} & lexicon
+        assert every <= {w for one in sharp.readings(token) for w in one}
+
+
+def test_chance_tells_real_words_from_rare_ones():
+    cells = {(0, 4): 800, (1, 3): 300, (2, 2): 45, (3, 1): 3, (0, 1): 9000, (1, 0): 1000, (20, 0): 5, (2, 18): 40}
+    real, rare, usual = tx.chance(cells, [(20, 0), (1, 0), (2, 18)], 0.1)
+    assert real < 1e-6 and rare > 0.8 and usual > 0.8
+
+
+def test_words_of_any_length_are_read_alike(decoder):
+    for n in (30, 39, 40, 41, 200, 5000):
+        assert "idiot" in read(decoder, "idi" + "o" * n + "t") and "scum" in read(decoder, "s-c-u-m" + "-" * n)
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.3), ("sf0.01", 0.6)])
+def test_toxic_documents_are_found(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = tx.score(docs, tx.fit_model(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    toxic = [r for r in out if r.toxic]
+    assert sum(r.predicted for r in toxic) >= least * len(toxic)
+    assert sum(r.predicted for r in out if not r.toxic) <= 0.01 * len(out)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF001}/documents.parquet"), spark.read.parquet(f"{SF001}/labels.parquet")
     out = tx.score(docs, tx.fit_model(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "held_out", "predicted", "toxic").collect()
