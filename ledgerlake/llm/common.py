@@ -64,6 +64,11 @@ def stray_columns(df: DataFrame, used: set[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def masked(df: DataFrame, through: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns that pass through under names that no operator uses, and the selection that gives them theirs again."""
+    return [F.col(quoted(c)).alias(f"__in{i}") for i, c in enumerate(through)], [F.col(f"__in{i}").alias(c) for i, c in enumerate(through)]
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import quoted, small_batches, stray_columns
+from ledgerlake.llm.common import masked, quoted, small_batches, stray_columns
 
 #: Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,13 +256,13 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     small_batches(pages.sparkSession)
     through = stray_columns(pages, {html_col, "text", "n_chars"})
-    frame = pages.select(*[quoted(c) for c in through], F.col(quoted(html_col)).alias("__html"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    inside, outside = masked(pages, through)
+    frame = pages.select(*inside, F.col(quoted(html_col)).alias("__html"))
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("__main", T.StringType()), T.StructField("__n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x or "") for x in batch.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                                             names=[*through, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema).select(*outside, F.col("__main").alias("text"), F.col("__n").alias("n_chars"))

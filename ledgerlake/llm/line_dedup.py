@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import drop_table, quoted, small_batches, stray_columns, write_table
+from ledgerlake.llm.common import drop_table, masked, quoted, small_batches, stray_columns, write_table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -111,7 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns every row of ``docs`` with ``text`` replaced, ``n_lines`` (before) and ``n_dropped``; columns of those
     names in the input are replaced, others pass through. A null or empty text is one empty line and comes back
     empty. Rows that repeat an id count as one document and are treated alike. A row without id is no document: it
-    is neither counted nor changed. An empty table gives an empty result.
+    is neither counted nor changed. Very long texts and lines are read whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -125,11 +125,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = stored.join(hot, "key").where(F.col("doc_id") != F.col("keeper")).groupBy("doc_id").agg(
         F.collect_set("key").alias("__drop")).withColumnRenamed("doc_id", "__doc")
 
-    through = stray_columns(docs, {text_col, "n_lines", "n_dropped", "__drop", "__doc"})
-    rows = docs.select(*[F.col(quoted(c)) for c in through], F.col(quoted(text_col)).alias("__text"),
+    through = stray_columns(docs, {text_col, "n_lines", "n_dropped"})
+    inside, outside = masked(docs, through)
+    rows = docs.select(*inside, F.col(quoted(text_col)).alias("__text"),
                        F.col(quoted(id_col)).cast("long").alias("__id"))
-    joined = rows.join(drops.hint("shuffle_hash"), F.col("__id") == F.col("__doc"), "left").select(*[quoted(c) for c in through], "__text", "__drop")
-    schema = rows.select(*[quoted(c) for c in through]).schema.add(text_col, "string").add("n_lines", "long").add("n_dropped", "long")
+    joined = rows.join(drops.hint("shuffle_hash"), F.col("__id") == F.col("__doc"), "left").select(*[f"__in{i}" for i in range(len(through))], "__text", "__drop")
+    schema = rows.select(*[f"__in{i}" for i in range(len(through))]).schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long")
 
     def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -147,7 +148,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n_dropped.append(0)
                     texts.append(data)
             yield pa.RecordBatch.from_arrays(
-                [*[rb.column(c) for c in through], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=[*through, text_col, "n_lines", "n_dropped"])
+                [*rb.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(strip, schema)
+    return joined.mapInArrow(strip, schema).select(*outside, F.col("__kept").alias(text_col), F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))

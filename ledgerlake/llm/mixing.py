@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import SPACE_CLASS, quoted, stray_columns, write_table
+from ledgerlake.llm.common import SPACE_CLASS, masked, quoted, stray_columns, write_table
 
 #: Bisection: the bracket shrinks to 1/16 in a job (four halvings read off one pass), 12 jobs.
 GRID, JOBS = 16, 12
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Returns every row of ``docs`` with n_words, weight (of its source) and n_copies (how often it is drawn, possibly
     0); input columns of those names are replaced, others pass through. A null source is a source of its own. Null and
     empty texts have no words and are drawn as their place falls; a source without any words is not drawn (weight
-    0). Rows that repeat an id and a source are drawn alike, and each counts its words. A null id hashes as the word
+    0). Rows that repeat an id and a source are drawn alike, and each counts its words. Very long texts are counted whole. A null id hashes as the word
     null. An empty table gives an empty result.
     """
     through = stray_columns(docs, {"n_words", "weight", "n_copies"})
@@ -136,13 +136,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.col("source").alias("__source"), F.col("weight").alias("__weight"), "epochs", F.coalesce("end", F.lit(0)).alias("end")), "mix-drawn")
 
     # one narrow pass over the documents; the plan has a row per source and is broadcast only below Spark's size limit
-    rows = docs.select(*[F.col(quoted(c)) for c in through], F.col(quoted(source_col)).cast("string").alias("__key"), place.alias("__place"),
+    inside, outside = masked(docs, through)
+    rows = docs.select(*inside, F.col(quoted(source_col)).cast("string").alias("__key"), place.alias("__place"),
                        n_words(F.col(quoted(text_col))).alias("n_words"))
     joined = rows.join(drawn, F.col("__key").eqNullSafe(F.col("__source")), "left")
     copies = F.coalesce(F.col("epochs") + (F.col("__place") < F.col("end")).cast("long"), F.lit(0))
-    return joined.select(*[quoted(c) for c in through], "n_words", F.coalesce("__weight", F.lit(0.0)).alias("weight"), copies.cast("long").alias("n_copies"))
+    return joined.select(*outside, "n_words", F.coalesce("__weight", F.lit(0.0)).alias("weight"), copies.cast("long").alias("n_copies"))
 
 
 def repeated(drawn: DataFrame) -> DataFrame:
-    """Each drawn row n_copies times."""
-    return drawn.where("n_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).drop("__copy")
+    """Each drawn row n_copies times; an array of copies is made of the row's own columns, so no name can clash."""
+    return drawn.where("n_copies > 0").select(F.explode(F.array_repeat(F.struct(*[quoted(c) for c in drawn.columns]), F.col("n_copies").cast("int"))).alias("row")).select("row.*")

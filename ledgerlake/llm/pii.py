@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import quoted, stray_columns, write_table
+from ledgerlake.llm.common import masked, quoted, stray_columns, write_table
 
 #: What an entity looks like, by type; in a text the first type that fits is taken.
 PATTERNS = {
@@ -161,7 +161,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     and of an IBAN, the ending of a mail address, a card's check digit if it had a valid one, the title and its gender.
 
     Returns every row of ``docs`` with ``text`` replaced and ``n_entities`` (mentions replaced) added or replaced; other
-    columns pass through. Null texts stay null, with 0 mentions. Rows that repeat an id are replaced alike; rows
+    columns pass through. Null texts stay null, with 0 mentions; empty ones stay empty, very long ones are read whole. Rows that repeat an id are replaced alike; rows
     without id too, through their text. An empty table gives an empty result.
     """
     text = F.col(quoted(text_col))
@@ -177,11 +177,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     maps = texts.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_set(F.struct("surface", "written"))).alias("__map"))
 
     through = stray_columns(docs, {text_col, "n_entities"})
-    rows = docs.select(*[quoted(c) for c in through], text.alias("__text"), row_key[0].alias("__t1"), row_key[1].alias("__t2"))
+    inside, outside = masked(docs, through)
+    rows = docs.select(*inside, text.alias("__text"), row_key[0].alias("__t1"), row_key[1].alias("__t2"))
     joined = rows.join(maps.hint("shuffle_hash"), (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
     finds = F.regexp_extract_all("__text", F.lit(EVERY), 0)
     gaps = F.split("__text", EVERY, -1)
-    swapped = F.array_join(F.flatten(F.zip_with(gaps, finds, lambda g, e: F.array(g, F.coalesce(F.element_at("__map", e), F.lit(""))))), "")
+    swapped = F.array_join(F.flatten(F.zip_with(gaps, finds, lambda g, e: F.array(g, F.when(e.isNull(), "").otherwise(
+        F.coalesce(F.try_element_at("__map", e), F.raise_error(F.lit("an entity without a surrogate")).cast("string")))))), "")
     here = F.col("__map").isNotNull()
-    return joined.select(*[quoted(c) for c in through], F.when(here, swapped).otherwise(F.col("__text")).alias(text_col),
-                         F.when(here, F.size(finds)).otherwise(0).cast("long").alias("n_entities"))
+    done = joined.select(*[f"__in{i}" for i in range(len(through))], F.when(here, swapped).otherwise(F.col("__text")).alias("__new"), F.when(here, F.size(finds)).otherwise(0).cast("long").alias("__n"))
+    return done.select(*outside, F.col("__new").alias(text_col), F.col("__n").alias("n_entities"))

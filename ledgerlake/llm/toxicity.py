@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.common import drop_table, quoted, small_batches, stray_columns, write_table
+from ledgerlake.llm.common import drop_table, masked, quoted, small_batches, stray_columns, write_table
 
 SYMBOLS = 64  # 0: not a letter, 1-26: a-z, 27-58: U+00E0 to U+00FF, 59: any other letter
 #: Letters that a written character may stand for.
@@ -399,7 +399,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     through = stray_columns(docs, {"held_out", "score", "predicted"})
-    frame = docs.select(*[quoted(c) for c in through], F.col(quoted(text_col)).alias("__text"))
+    inside, outside = masked(docs, through)
+    frame = docs.select(*inside, held_out(F.col(quoted(id_col))).alias("__held"), F.col(quoted(text_col)).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(dict(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,11 +414,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 found = {w for hit in map(look, set(tokens(text or ""))) for w in hit}
                 z = offset + slope * sum(sorted(weights[w] for w in found))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*through, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "__score"])
 
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("__score", T.DoubleType())])
     scored = frame.mapInArrow(run, schema)
-    return scored.select(*[quoted(c) for c in through], held_out(F.col(quoted(id_col))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(*outside, F.col("__held").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _learn(learn: DataFrame, costs: np.ndarray) -> dict:
