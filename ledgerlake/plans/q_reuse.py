@@ -16,6 +16,7 @@ from ledgerlake.operators import reuse as R
 from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, slot_counts
 from ledgerlake.operators.graph import components
 from ledgerlake.operators.similarity import collisions, nearest
+from ledgerlake.operators.temporal import asof_lookup, ttl_replay
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
 from ledgerlake.session import ensure_checkpoint_dir, scratch_path
@@ -359,3 +360,35 @@ def q_ttl_expire(spark, sf_dir):
     live = R.live_entries(writes, "key", "ts", F.lit(now).cast("timestamp"), TTL)
     return live.select("key", F.unix_micros("written_at").alias("written_at_us"),
                        F.unix_micros("expires_at").alias("expires_at_us"))
+
+
+@register("asof_lookup", f"""
+WITH w AS (SELECT event_id, user_id, ts, value FROM events WHERE event_id % 3 = 0),
+r AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 3 <> 0),
+j AS (SELECT r.event_id, r.ts, l.write_id, l.written_at, l.value FROM r LEFT JOIN LATERAL (
+        SELECT w.event_id AS write_id, w.ts AS written_at, w.value FROM w
+        WHERE w.user_id = r.user_id AND (w.ts < r.ts OR (w.ts = r.ts AND w.event_id <= r.event_id)) ORDER BY w.ts DESC, w.event_id DESC LIMIT 1) l ON true)
+SELECT event_id, write_id, value, CASE WHEN write_id IS NULL THEN 'miss' WHEN ts < written_at + INTERVAL {TTL} SECOND THEN 'hit' ELSE 'expired' END AS outcome FROM j""")
+def q_asof_lookup(spark, sf_dir):
+    """Reads answered by what their key holds at their own time; events of ids divisible by three are the writes."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    write = F.pmod("event_id", F.lit(3)) == 0
+    found = asof_lookup(ev.where(~write).drop("value"), ev.where(write), ["user_id"], "ts", "event_id", ["value"], TTL)
+    return found.select("event_id", F.col("v_event_id").alias("write_id"), F.col("v_value").alias("value"), "outcome")
+
+
+@register("ttl_replay", f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, event_type, rn, ts AS filled_at, event_id AS fill_id, event_id FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_type, e.rn, CASE WHEN e.ts >= r.filled_at + INTERVAL {TTL} SECOND THEN e.ts ELSE r.filled_at END,
+         CASE WHEN e.ts >= r.filled_at + INTERVAL {TTL} SECOND THEN e.event_id ELSE r.fill_id END, e.event_id
+  FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.rn = r.rn + 1)
+SELECT event_id, fill_id, CASE WHEN event_id = fill_id THEN 'filled' ELSE 'hit' END AS outcome FROM r""")
+def q_ttl_replay(spark, sf_dir):
+    """Every event read in order through a cache that fills on a miss and forgets an entry a day after its fill."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    out = ttl_replay(ev, ["user_id", "event_type"], "ts", "event_id", TTL)
+    return out.select("event_id", F.col("v_event_id").alias("fill_id"), "outcome")

@@ -14,8 +14,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerlake.operators.temporal import first_sights
 from ledgerlake.session import scratch_path
 
 
@@ -103,6 +105,83 @@ def ttl_first_sights(events: DataFrame, keys: list[str], ttl_seconds: int, water
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+def sights_in_batches(events: DataFrame, keys: list[str], ttl_seconds: int, delay_seconds: int, name: str) -> DataFrame:
+    """``ttl_first_sights`` as micro-batches that are replayed by joins, and what they let pass.
+
+    Each micro-batch goes through ``first_sights`` from the anchors (last sight per key) that the batch before left,
+    so a key's rows are split over tasks by time and never stand in one frame. Anchors and results are tables of the
+    batch's number in the shared folder; a batch that is run again after a failure rewrites its own and reads the
+    same anchors. Rows more than ``delay_seconds`` behind the latest time of the batches before are late and left out;
+    anchors a ttl behind it are forgotten, as no row in time can meet them. The batch size is that of the source's
+    trigger.
+    """
+    spark = events.sparkSession
+    out = scratch_path(spark, f"stream-{name}")
+    schema = events.select(*keys, "event_id", "ts").schema
+    anchor_schema = T.StructType([*events.select(*keys, "ts").schema.fields, T.StructField("latest", T.TimestampType())])
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch = batch.select(*keys, "event_id", "ts").where("ts IS NOT NULL")
+        if number:
+            before = session.read.schema(anchor_schema).parquet(f"{out}/anchors/{number - 1}")
+            latest = before.agg(F.max("latest").alias("latest")).first()["latest"]
+        else:
+            before, latest = session.createDataFrame([], anchor_schema), None
+        if latest is not None:
+            batch = batch.where(F.col("ts") >= F.lit(latest) - F.make_interval(secs=F.lit(delay_seconds)))
+        known = before.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(*keys, "ts")
+        sights = first_sights(batch, keys, "ts", "event_id", ttl_seconds, known)
+        sights.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        sights = session.read.schema(schema).parquet(f"{out}/data/batch={number}")
+        now = batch.agg(F.max("ts").alias("t")).first()["t"]
+        now = max((t for t in (now, latest) if t is not None), default=None)
+        anchors = known.unionByName(sights.select(*keys, "ts")).groupBy(*keys).agg(F.max("ts").alias("ts")).withColumn("latest", F.lit(now).cast("timestamp"))
+        if now is not None:
+            anchors = anchors.where(F.unix_micros("ts") + F.lit((ttl_seconds + delay_seconds) * 1_000_000) > F.unix_micros(F.lit(now)))
+        # a row without key keeps the latest time where no anchor is left
+        mark = session.createDataFrame([tuple([None] * (len(keys) + 1) + [now])], anchor_schema)
+        anchors.unionByName(mark).write.mode("overwrite").parquet(f"{out}/anchors/{number}")
+
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return spark.read.schema(schema).parquet(f"{out}/data").select(*schema.names)
+
+
+#: What a mark of a request may be; others count as events only.
+STARTED, FIRST_TOKEN, FINISHED, HIT, ERROR = "started", "first_token", "finished", "hit", "error"
+
+
+def request_windows(marks: DataFrame, request: list[str], window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """Per tumbling event-time window over marks of requests (``request``, ts, mark, tokens, value): events, errors, value sum,
+    requests, hits and hit ratio, mean time to first token and tokens per second of decoding.
+
+    Two stateful steps in one query: marks become requests (the marks of one ``request`` in one window: earliest start and
+    first token, latest finish, tokens, whether a cache hit answered it), and these become windows. The first step
+    hands its window's time on, so the second closes by the same watermark. State holds a row per request and per
+    window; marks are combined before the shuffle. Emitted once the watermark closes a window (append mode).
+    """
+    def when(kind: str):
+        return F.when(F.col("mark") == kind, F.col("ts"))
+
+    each = marks.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), *request).agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum(F.when(F.col("mark") == ERROR, 1).otherwise(0)).alias("n_errors"),
+        F.sum(F.col("value").cast("decimal(18,4)")).alias("value_sum"), F.min(when(STARTED)).alias("started"), F.min(when(FIRST_TOKEN)).alias("first_token"),
+        F.max(when(FINISHED)).alias("finished"), F.sum("tokens").alias("tokens"), F.max((F.col("mark") == HIT).cast("int")).alias("hit"))
+    wait = F.unix_micros("first_token") - F.unix_micros("started")
+    decode = F.unix_micros("finished") - F.unix_micros("first_token")
+    each = each.select(F.window_time("w").alias("at"), "n_events", "n_errors", "value_sum", "hit", F.when(wait >= 0, wait).alias("wait"),
+                       F.when(decode > 0, decode).alias("decode"), F.when(decode > 0, F.col("tokens")).alias("decoded"))
+    whole = each.groupBy(F.window("at", window).alias("w")).agg(
+        F.sum("n_events").alias("n_events"), F.sum("n_errors").alias("n_errors"), F.sum("value_sum").cast("decimal(28,4)").alias("value_sum"), F.count(F.lit(1)).alias("n_requests"),
+        F.sum("hit").alias("n_hits"), F.sum("wait").alias("wait"), F.count("wait").alias("waits"), F.sum("decode").alias("decode"), F.sum("decoded").alias("decoded"))
+    return whole.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_events", "n_errors", "value_sum", "n_requests", "n_hits",
+                        F.round(F.col("n_hits") / F.col("n_requests"), 4).alias("hit_ratio"), F.when(F.col("waits") > 0, F.round(F.col("wait") / F.col("waits") / 1000.0, 3)).alias("mean_ttft_ms"),
+                        F.when(F.col("decode") > 0, F.round(F.col("decoded") / (F.col("decode") / 1e6), 6)).alias("tokens_per_s"))
+
+
 def windowed_metrics(events: DataFrame, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
     """Per tumbling event-time window: events, errors, error rate and value
     sum; emitted once the watermark closes the window (append mode)."""
