@@ -39,6 +39,9 @@ FORCE = 4.0
 FALSE = 0.2
 _MARKS = re.compile(r"[^\w@$!|+€£¡(<?*#%&]+|_+")
 _TWICE = re.compile(r"(.)\1+", re.S)
+_RUN = re.compile(r"(.)\1\1", re.S)
+#: Three words in a row of one character, marks aside: what may be spelled out.
+_SPELLED = re.compile(r"(?<!\S)\S[^\w\s]*\s+\S[^\w\s]*\s+\S[^\w\s]*(?!\S)")
 
 
 def symbol_table() -> np.ndarray:
@@ -138,10 +141,12 @@ class Decoder:
         """Whether some path through the token's lattice, whole or parted, holds a word of the lexicon."""
         if self.holds is None:
             return False
-        read = [(i, ["", *LEET[ch]]) for i, ch in enumerate(token) if not ch.isalpha() and LEET.get(ch)]
+        if token.isalpha():
+            return bool(next(self.holds.iter(squeezed(token)), None))
+        letters = [ch if ch.isalpha() else "" for ch in token]
+        read = [(i, ["", *LEET[ch]]) for i, ch in enumerate(token) if not letters[i] and LEET.get(ch)]
         if len(read) > 6:
             return True
-        letters = [ch if ch.isalpha() else "" for ch in token]
         for choice in product(*[x for _, x in read]):
             for (i, _), letter in zip(read, choice, strict=True):
                 letters[i] = letter
@@ -252,18 +257,21 @@ def joined(words: list[str]) -> list[str]:
 def tokens(text: str) -> list[str]:
     """Written words of a text in lower case. Spelled-out ones are joined, closing marks after their letters left out;
     what may hold several words without a gap starts with a space."""
-    words = text.lower().split()
-    runs = [words]
-    if sum(map((1).__eq__, map(len, words))) > 1 or len(words) > 2 and all(len(w) < 4 for w in words):
-        runs, run, marked = [], [], True
-        for w in words:
-            bare = len(w) > 1 and w[0].isalpha() and not w[1].isalnum() and closed(w) == w[0]
-            run.append(w[0] if bare else w)
-            if bare and not marked:  # marks after the last letter only: a run ends here
-                runs.append(run)
-                run = []
-            marked = bare or len(w) > 1
-        runs.append(run)
+    text = text.lower()
+    words = text.split()
+    if not _SPELLED.search(text):
+        return words
+    runs: list[list[str]] = []
+    run: list[str] = []
+    marked = True
+    for w in words:
+        bare = len(w) > 1 and w[0].isalpha() and not w[1].isalnum() and closed(w) == w[0]
+        run.append(w[0] if bare else w)
+        if bare and not marked:  # marks after the last letter only: a run ends here
+            runs.append(run)
+            run = []
+        marked = bare or len(w) > 1
+    runs.append(run)
     out: list[str] = []
     for run in runs:
         n = len(run)
@@ -280,7 +288,7 @@ def tokens(text: str) -> list[str]:
 
 
 class Hits(dict):
-    """Token to the words of the lexicon among its readings; bounded memo."""
+    """Token to the words of the lexicon among its readings; bounded memo of tokens that are not all letters or may hold one."""
 
     def __init__(self, decoder: Decoder):
         super().__init__()
@@ -293,6 +301,17 @@ class Hits(dict):
         value = self[token] = tuple(sorted(found & self.decoder.lexicon))
         return value
 
+    def of(self, words: set[str]) -> dict[str, tuple[str, ...]]:
+        """The tokens among ``words`` that hold words of the lexicon, with these.
+
+        Tokens of letters are looked through together: where no squeezed word of the lexicon is anywhere in them, none has one."""
+        if self.decoder.holds is None:
+            return {}
+        letters = list(filter(str.isalpha, words))
+        some = letters if next(self.decoder.holds.iter(squeezed("\n".join(letters))), None) else ()
+        asked = [*some, *words.difference(letters)]
+        return {w: hit for w in asked if (hit := self[w])}
+
 
 def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     """Log-odds of a word's document counts, at most 6."""
@@ -407,11 +426,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         held = shared.value
         if "hits" not in held:  # a worker keeps the broadcast value between tasks, and with it what was decoded
             held["hits"] = Hits(Decoder(held["costs"], set(held["weights"])))
-        look, weights, (offset, slope) = held["hits"].__getitem__, held["weights"], held["theta"]
+        hits, weights, (offset, slope) = held["hits"], held["weights"], held["theta"]
         for batch in batches:
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = {w for hit in map(look, set(tokens(text or ""))) for w in hit}
+                found = {w for hit in hits.of(set(tokens(text or ""))).values() for w in hit}
                 z = offset + slope * sum(sorted(weights[w] for w in found))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "__score"])
@@ -449,7 +468,7 @@ def _learn(learn: DataFrame, costs: np.ndarray) -> dict:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 found = set(tokens(text or ""))
                 for w in found - memo.keys():
-                    memo[w] = read.words(w)
+                    memo[w] = [w] if w.isalpha() and not _RUN.search(w) else read.words(w)
                 (toxic if label else clean).update({x for w in found for x in memo[w]})
                 if len(memo) > 100_000:
                     memo.clear()
@@ -473,14 +492,15 @@ def _learn(learn: DataFrame, costs: np.ndarray) -> dict:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prices, lexicon = shared.value
-        number, look = {w: i for i, w in enumerate(lexicon)}, Hits(Decoder(prices, set(lexicon))).__getitem__
+        number, hits = {w: i for i, w in enumerate(lexicon)}, Hits(Decoder(prices, set(lexicon)))
         for batch in batches:
             held, places = [], []
             for text in batch.column("text").to_pylist():
                 run = tokens(text or "")
                 seen: dict[int, int] = {}
-                for at, token in enumerate(run):
-                    for w in look(token):
+                here = hits.of(set(run))
+                for at, token in enumerate(run) if here else ():
+                    for w in here.get(token, ()):
                         if number[w] not in seen:
                             seen[number[w]] = hash_of(" ".join([*run[max(at - 2, 0):at], "", *run[at + 1:at + 3]]))
                 held.append(list(seen.keys()))
