@@ -40,7 +40,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixCoder:
     """Encodes pieces by the prefix table; compatible pairs of tokens and unit encodings are memoised (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
         self.ranks, self.memo = ranks, memo
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
