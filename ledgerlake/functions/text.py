@@ -6,6 +6,8 @@ whole-stage codegen and run where the scan runs.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,43 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Beyond these characters (the first of which lower-casing settles, but for the micro sign) a text is looked at closely.
+UNSETTLED = r"[^\x{0}-\x{b4}\x{b6}-\x{148}]"
+
+
+@cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """What full case folding changes in any text, from the language's own folding: characters and those that one of them
+    becomes, characters that become several, and a class of few ranges that holds all that lower-casing leaves."""
+    folds = {ch: ch.casefold() for code in range(0x110000) if not 0xD800 <= code < 0xE000 and (ch := chr(code)).casefold() != ch and ch != "ß"}
+    single = [ch for ch, f in folds.items() if len(f) == 1]
+    # after lower-casing only these are left, besides capitals too new for the lower-casing, which are above U+2C00
+    left = [ord(ch) for ch in folds if ch.lower() == ch or ord(ch) >= 0x2C00]
+    ranges: list[list[int]] = []
+    for code in sorted(left):  # few wide ranges: a class of many is slow to look for
+        if ranges and code - ranges[-1][1] <= 64:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    letters = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return "".join(single), "".join(folds[ch] for ch in single), tuple((ch, f) for ch, f in folds.items() if len(f) > 1), f"[{letters}]"
+
+
 def casefold(c) -> Column:
-    """Lower-case plus the German sharp s, the only casefold/lower gap seen in
-    the data. Final sigma and ligatures are not folded (documented limit)."""
-    return F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding.
+
+    Lower case and the sharp s settle nearly every text. What they leave (a final sigma, ligatures, letters that fold to
+    others or to several) is looked for only in texts that are not plain ASCII, and mapped where it is found.
+    """
+    single, folded, several, letters = _folds()
+    pairs = F.array(*[F.array(F.lit(ch), F.lit(f)) for ch, f in several])
+
+    def rest(low: Column) -> Column:
+        full = F.aggregate(pairs, F.translate(low, single, folded), lambda text, pair: F.replace(text, pair[0], pair[1]))
+        return F.when((F.octet_length(low) != F.char_length(low)) & low.rlike(UNSETTLED) & low.rlike(letters), full).otherwise(low)
+
+    # the lower-cased text is named by a lambda's argument, so it is computed once for all its uses
+    return F.get(F.transform(F.array(F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))), rest), F.lit(0))
 
 
 def collapse_whitespace(c) -> Column:

@@ -64,3 +64,29 @@ def exact_percentiles(df: DataFrame, col: str, shares: list[float]) -> list[floa
         low, high = found[math.floor(place)], found[min(math.floor(place) + 1, total - 1)]
         out.append(low + (place - math.floor(place)) * (high - low))
     return out
+
+
+#: Items that a quantile sketch keeps at its base; up to so many values its quantiles are exact.
+SKETCH_K = 4096
+#: Rank error that a sketch of that size keeps with 99 % probability (single rank).
+RANK_ERROR = 0.001
+
+
+def sketch_by(df: DataFrame, by: list[str], col: str, k: int = SKETCH_K) -> DataFrame:
+    """(by, sketch, n): a mergeable quantile sketch of ``col`` per group; nulls are left out.
+
+    The sketch is the aggregate's state, so a group of a third of all rows ships one sketch per task; stored sketches of
+    days merge to those of longer spans by ``merge_sketches`` without reading values again.
+    """
+    x = F.col(col).cast("double")
+    return df.where(x.isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Sketches (sketch, n) of finer groups as those of ``by``."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantile(sketch: str, share: float):
+    """The value of that rank share, one of the values seen (the smallest with at least that share at or below it)."""
+    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share))

@@ -12,11 +12,12 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import extract as X
-from ledgerlake.operators.stats import exact_percentiles
+from ledgerlake.operators.stats import exact_percentiles, merge_sketches, sketch_by, sketch_quantile
 from ledgerlake.plans import q_reuse as QR
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.sql_invoice import lit
 from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.sources.io import roundtrip_parquet
 from ledgerlake.sources.tables import table
 
 
@@ -219,3 +220,17 @@ def q_latency_summary(spark, sf_dir):
         F.round(F.count(F.lit(1)) / span, 6).alias("requests_per_s"),
         F.round(F.sum("completion_tokens") / span, 6).alias("tokens_per_s"),
         F.round(F.avg("total_ms"), 4).alias("mean_total_ms"), F.round(F.max("total_ms"), 4).alias("max_total_ms"))
+
+
+@register("latency_windows", METRICS_SQL + """
+SELECT day, count(ttft_ms) AS n, quantile_disc(ttft_ms, 0.5) AS p50_ttft_ms, quantile_disc(ttft_ms, 0.99) AS p99_ttft_ms FROM metrics WHERE ttft_ms IS NOT NULL GROUP BY day
+UNION ALL
+SELECT 'week ' || CAST(day_of_month // 7 AS VARCHAR), count(ttft_ms), quantile_disc(ttft_ms, 0.5), quantile_disc(ttft_ms, 0.99)
+FROM (SELECT *, CAST(substr(day, 9, 2) AS INTEGER) AS day_of_month FROM metrics) WHERE ttft_ms IS NOT NULL GROUP BY 1""")
+def q_latency_windows(spark, sf_dir):
+    """Latency quantiles per day from sketches, and per week from the days' stored sketches."""
+    days = roundtrip_parquet(sketch_by(_metrics(spark, sf_dir), ["day"], "ttft_ms"), "sketches")
+    week = F.concat(F.lit("week "), F.floor(F.substring("day", 9, 2).cast("int") / 7).cast("string"))
+    weeks = merge_sketches(days.withColumn("week", week), ["week"]).withColumnRenamed("week", "day")
+    return days.select("day", "sketch", "n").unionByName(weeks.select("day", "sketch", "n")).select(
+        "day", "n", sketch_quantile("sketch", 0.5).alias("p50_ttft_ms"), sketch_quantile("sketch", 0.99).alias("p99_ttft_ms"))

@@ -16,6 +16,7 @@ from ledgerlake.operators import reuse as R
 from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, slot_counts
 from ledgerlake.operators.graph import components
 from ledgerlake.operators.similarity import collisions, nearest
+from ledgerlake.operators.store import KeyedStore
 from ledgerlake.operators.temporal import asof_lookup, ttl_replay
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
@@ -319,6 +320,17 @@ def q_store_upsert(spark, sf_dir):
     return _store(_docs(spark, sf_dir)).select("exact_key", "doc_id", "answer", "n_writes")
 
 
+@register("store_batches", REUSE_WITH + "\nSELECT exact_key, doc_id, answer, CAST(n_writes AS BIGINT) AS n_writes FROM store")
+def q_store_batches(spark, sf_dir):
+    """The same store from two batches of writes, the second of which rewrites only the buckets it has keys of."""
+    writes = _writes(_docs(spark, sf_dir)).select("exact_key", "doc_id", F.to_json(F.struct("doc_id", "source")).alias("answer"), F.lit(1).cast("bigint").alias("n_writes"))
+    store = KeyedStore(spark, scratch_path(spark, "keyed-store"), writes.schema, "exact_key", ["doc_id"], ["n_writes"], digits=1)
+    late = F.pmod("doc_id", F.lit(10)) == 9
+    store.upsert(writes.where(~late))
+    store.upsert(writes.where(late))
+    return store.read()
+
+
 @register("store_clear", REUSE_WITH + "\nSELECT exact_key, doc_id, answer FROM store WHERE false")
 def q_store_clear(spark, sf_dir):
     """A stored table, cleared: overwritten by an empty one and read back."""

@@ -7,7 +7,8 @@ temp folder on a cluster) and read the result back with an explicit schema.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.session import scratch_path
@@ -32,6 +33,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, line): lines of a file, or of a folder's files in the order of their names, from 0; blank ones are skipped.
+
+    No sort: a line's place is its place in its block of a file (one reader reads a block from the top) plus the lines of
+    all blocks before. Only the blocks, one row each, are put in order.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.where(F.trim("line") != "").withColumn("row", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "start", "first", F.coalesce(ahead, F.lit(0)).alias("before"))
+    return lines.join(blocks, ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("position"), "line")
+
+
+def read_jsonl_head(spark: SparkSession, path: str, schema: T.StructType, n: int) -> DataFrame:
+    """The first ``n`` records of JSON lines in file order, with their ``position``; a malformed one fails the job."""
+    head = numbered_lines(spark, path).where(F.col("position") < n)
+    return head.select("position", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("position", "r.*")
+
+
 def roundtrip_json(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     write_jsonl(df, path, partition_by)

@@ -34,3 +34,16 @@ def test_number_tokens_by_hand(spark):
 def test_fingerprint_sees_numbers_only(spark):
     got = one(spark, T.numeric_fingerprint, "dock 4, crate 31.50", "CRATE 31.5\n(dock 4)", "dock 4, crate 31.6", "no digits")
     assert got == [digest("31.5|4"), digest("31.5|4"), digest("31.6|4"), digest("")]
+
+
+def test_every_code_point_folds_as_the_language_folds_it(spark):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).casefold() != chr(c) or chr(c).lower() != chr(c))]
+    text = " ".join(f"x{ch}y" for ch in chars)
+    assert one(spark, T.casefold, text) == [text.casefold()]
+    df = spark.createDataFrame([(c,) for c in chars], "t string")
+    assert [(r.t, r.f) for r in df.select("t", T.casefold(F.col("t")).alias("f")).collect() if r.f != r.t.casefold()] == []
+
+
+def test_folding_in_context(spark):
+    words = ["ΟΔΥΣΣΕΥΣ", "ὈΔΥΣΣΕΎΣ.", "Straße STRASSE ẞ", "ﬁne ﬄuent", "İstanbul", "ſmall", "Ꭰꭰ", "ŉ", "plain", "", "日本"]
+    assert one(spark, T.casefold, *words) == [w.casefold() for w in words] and one(spark, T.casefold, None) == [None]
