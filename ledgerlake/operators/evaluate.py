@@ -8,7 +8,10 @@ one row per run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import values as V
@@ -140,6 +143,21 @@ def json_invoice_problems() -> Column:
     return F.array_compact(F.array(*rules))
 
 
+@contextmanager
+def repeated_keys(spark: SparkSession) -> Iterator[None]:
+    """JSON parsers that are built inside allow repeated keys; the caller's setting is put back."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def parse_predictions(df: DataFrame, raw_col: str = "prediction") -> DataFrame:
     """Add ``clean`` (text after fence strip and salvage), ``parsed_ok`` and
     ``record`` (VARIANT, only when parsed)."""
@@ -151,9 +169,9 @@ def parse_predictions(df: DataFrame, raw_col: str = "prediction") -> DataFrame:
     out = out.withColumn("parsed_ok", ok)
     # of a repeated key the last value counts, as with most JSON readers; NaN and infinities, which
     # JSON lacks but models write, become text that reads as such a number
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     quoted = F.regexp_replace("clean", NOT_JSON_NUMBER, '$1"$2"')
-    return out.withColumn("record", F.when(F.col("parsed_ok"), F.coalesce(F.try_parse_json("clean"), F.try_parse_json(quoted))))
+    with repeated_keys(df.sparkSession):
+        return out.withColumn("record", F.when(F.col("parsed_ok"), F.coalesce(F.try_parse_json("clean"), F.try_parse_json(quoted))))
 
 
 def validate_predictions(df: DataFrame) -> DataFrame:
@@ -225,32 +243,30 @@ def field_confusion(pred_entries: Column, gold_entries: Column, parsed_ok: Colum
     ]
 
 
-def score_pairs(pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per record confusion for already-paired rows: ``tag``, ``id``,
-    ``prediction`` and ``gold_entries`` (from ``flatten_invoice``). Narrow:
-    no shuffle until the report aggregate."""
-    checked = validate_predictions(pairs)
-    pred = checked.select("tag", id_col, "parsed_ok", "schema_valid", "gold_entries",
-                          F.when(F.col("parsed_ok"), flatten_extracted())
-                          .otherwise(F.array().cast("array<string>")).alias("pred_entries"))
-    return pred.select("tag", id_col, "parsed_ok", "schema_valid",
-                       *field_confusion(F.col("pred_entries"), F.col("gold_entries"), F.col("parsed_ok")))
+def read_predictions(predictions: DataFrame, id_col: str = "id") -> DataFrame:
+    """(tag, id, parsed_ok, schema_valid, pred_entries) of raw outputs (tag, id, prediction): narrow, no shuffle."""
+    checked = validate_predictions(predictions.select("tag", id_col, "prediction"))
+    return checked.select("tag", id_col, "parsed_ok", "schema_valid",
+                          F.when(F.col("parsed_ok"), flatten_extracted()).otherwise(F.array().cast("array<string>")).alias("pred_entries"))
 
 
 def score_records(predictions: DataFrame, gold: DataFrame, tags: list[str], id_col: str = "id") -> DataFrame:
     """Pair raw outputs (tag, id, prediction) of the runs ``tags`` with gold
     (id, ``invoice`` struct) by tag and id and score each pair.
 
-    A target without an answer scores as an unparseable one (all its fields
-    are missed); an answer without a target has only false positives. Use
-    ``runs.require_aligned`` to refuse such runs instead.
+    Both sides are parsed and flattened before they meet, so the join ships
+    entries, not texts. A target without an answer scores as an unparseable one
+    (all its fields are missed); an answer without a target has only false
+    positives. Use ``runs.require_aligned`` to refuse such runs instead.
     """
     every = F.array(*[F.lit(t) for t in tags])
     gold_flat = gold.select(id_col, flatten_invoice(F.col("invoice")).alias("gold_entries"))
     gold_flat = gold_flat.withColumn("tag", F.explode(every))
-    pairs = predictions.select("tag", id_col, "prediction").join(gold_flat, ["tag", id_col], "full_outer")
+    pairs = read_predictions(predictions, id_col).join(gold_flat, ["tag", id_col], "full_outer")
     none = F.array().cast("array<string>")
-    return score_pairs(pairs.withColumn("gold_entries", F.coalesce("gold_entries", none)), id_col)
+    ok = F.coalesce("parsed_ok", F.lit(False))
+    return pairs.select("tag", id_col, ok.alias("parsed_ok"), F.coalesce("schema_valid", F.lit(False)).alias("schema_valid"),
+                        *field_confusion(F.coalesce("pred_entries", none), F.coalesce("gold_entries", none), ok))
 
 
 def _rate(num: Column, den: Column) -> Column:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,78 @@ def lookup_engine(requests: DataFrame, responses: DataFrame, text_col: str = "te
     return j.withColumn("payload", F.coalesce(F.col("_r"), F.lit(fallback))).drop("_k", "_r")
 
 
+def called(engine_factory: Callable[[], Callable[[str], str]], max_attempts: int = MAX_ATTEMPTS, workers: int = 8,
+           backoff_seconds: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """An engine for ``resumable_extract`` that calls a model client: (key, text) to (key, raw_output, error).
+
+    One client per task, up to ``workers`` calls at a time; a call that fails is tried up to ``max_attempts`` times.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = engine_factory()
+
+        def one(doc: str) -> tuple[str, str | None]:
+            for attempt in range(1, max_attempts + 1):
+                try:
+                    return engine(doc) or "", None
+                except Exception as exc:  # noqa: BLE001 - engine failures are data here
+                    error = f"{type(exc).__name__}: {exc}"
+                    if attempt < max_attempts and backoff_seconds:
+                        time.sleep(backoff_seconds * 2 ** (attempt - 1))
+            return "", error
+
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                found = list(pool.map(one, pdf["text"].tolist()))
+                yield pd.DataFrame({"key": pdf["key"], "raw_output": [x for x, _ in found], "error": pd.Series([e for _, e in found], dtype=object)})
+
+    return lambda docs: docs.select("key", "text").mapInPandas(run, "key string, raw_output string, error string")
+
+
+LEDGER = "key string, raw_output string, error string, wave int"
+
+
+def resumable_extract(requests: DataFrame, text_col: str, ledger: str, engine: Callable[[DataFrame], DataFrame], waves: int = 16,
+                      only: int | None = None) -> DataFrame:
+    """``requests`` with ``raw_output`` and ``error`` from an engine that is asked once per distinct document.
+
+    Documents are asked in ``waves`` (by a hash of their key); a wave's answers are written to the folder ``ledger`` and
+    committed as a whole. A run that is started again reads what is there and asks only for the rest, so a lost run costs the
+    wave it was in. Requests of one text share its answer, whichever came first. ``only`` stops after so many waves: requests of
+    later ones have a null output. Null texts are not asked and have a null output.
+    """
+    spark = requests.sparkSession
+    named = requests.withColumn("_k", document_key(F.col(text_col)))
+    distinct = named.where("_k IS NOT NULL").groupBy(F.col("_k").alias("key")).agg(F.first(text_col).alias("text"))
+    wave = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(waves)).cast("int")
+    place = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def finished(number: int) -> bool:
+        return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/wave={number}/_SUCCESS"))
+
+    for number in [n for n in range(waves) if not finished(n)][:only]:
+        # answers of an earlier ledger with other waves, or of texts asked before, are not asked again
+        asked = distinct.where(wave == number).join(read_ledger(spark, ledger, waves).select("key"), "key", "left_anti")
+        engine(asked).select("key", "raw_output", "error").write.mode("overwrite").parquet(f"{ledger}/wave={number}")
+    answers = read_ledger(spark, ledger, waves).select(F.col("key").alias("_key"), "raw_output", "error")
+    return named.join(answers, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+
+
+def read_ledger(spark: SparkSession, ledger: str, waves: int) -> DataFrame:
+    """Answers of the committed waves."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(ledger).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [n for n in range(waves) if fs.exists(jvm.Path(f"{ledger}/wave={n}/_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema("key string, raw_output string, error string").parquet(*[f"{ledger}/wave={n}" for n in done])
+
+
+def table_engine(responses: DataFrame, fallback: str = FALLBACK) -> Callable[[DataFrame], DataFrame]:
+    """An engine for ``resumable_extract`` that answers from a table of canned responses (text, response)."""
+    return lambda docs: lookup_engine(docs, responses, fallback=fallback).select("key", F.col("payload").alias("raw_output"), F.lit(None).cast("string").alias("error"))
+
+
 def token_estimate(text: Column) -> Column:
     """max(1, len // 4)."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("bigint")

@@ -25,13 +25,20 @@ def _inputs(spark, sf_dir):
     return gold, as_invoice(gold, ["id"]), predictions(gold)
 
 
-_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+_STORED: dict[tuple, tuple[str, str]] = {}
+
+
+def _made_from(spark, sf_dir) -> tuple:
+    """What the stored runs depend on: the files of the tables and when they were written."""
+    stamp = F.max(F.struct("_metadata.file_modification_time", "_metadata.file_path"))
+    tables = [spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in ("orders", "lineitem", "customer", "part")]
+    return tuple((tuple(t.inputFiles()), str(t.select("_metadata").agg(stamp).first()[0])) for t in tables)
 
 
 def stored_runs(spark, sf_dir):
     """Prediction (tag, id, prediction) and target (id, invoice) tables as a
-    run leaves them: two written tables, made once per session and data set."""
-    made = (spark.sparkContext.applicationId, sf_dir)
+    run leaves them: two written tables, made anew when a file of their tables changes."""
+    made = (spark.sparkContext.applicationId, sf_dir, _made_from(spark, sf_dir))
     if made not in _STORED:
         _, targets, preds = _inputs(spark, sf_dir)
         paths = scratch_path(spark, "targets"), scratch_path(spark, "predictions")

@@ -7,8 +7,6 @@ Request marks are ``events`` grouped by user and day.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import extract as X
@@ -16,7 +14,7 @@ from ledgerlake.operators.stats import exact_percentiles, merge_sketches, sketch
 from ledgerlake.plans import q_reuse as QR
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.sql_invoice import lit
-from ledgerlake.session import ensure_checkpoint_dir
+from ledgerlake.session import ensure_checkpoint_dir, scratch_path
 from ledgerlake.sources.io import roundtrip_parquet
 from ledgerlake.sources.tables import table
 
@@ -90,29 +88,14 @@ def q_read_through_fill(spark, sf_dir):
             .unionByName(filled.withColumn("origin", F.lit("filled"))))
 
 
-def _stub_engine_factory():
-    """Deterministic stand-in for a model client: answers with the document's
-    first number as the total, fails once on every 4th call, and always
-    fails on documents containing 'zz'."""
-    state = {"calls": 0}
-
-    def engine(doc: str) -> str:
-        import re
-        state["calls"] += 1
-        if "zz" in doc:
-            raise RuntimeError("engine unavailable")
-        if state["calls"] % 4 == 0:
-            raise TimeoutError("transient")
-        m = re.search(r"\d+(?:\.\d+)?", doc)
-        return json.dumps({"total": float(m.group(0)) if m else 0.0})
-    return engine
-
-
-@register("batch_extract")
+@register("batch_extract", ENGINE_SQL + "\nSELECT doc_id, payload AS raw_output, CAST(NULL AS VARCHAR) AS error FROM eng")
 def q_batch_extract(spark, sf_dir):
+    """Answers of a table of canned responses, asked once per distinct document in four waves; the run stops after two
+    of them and is started again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = X.batch_extract(docs, "text", _stub_engine_factory)
-    return out.select("doc_id", "raw_output", "attempts", "error")
+    ledger, engine = scratch_path(spark, "ledger"), X.table_engine(_responses(table(spark, sf_dir, "documents")))
+    X.resumable_extract(docs, "text", ledger, engine, waves=4, only=2)
+    return X.resumable_extract(docs, "text", ledger, engine, waves=4).select("doc_id", "raw_output", "error")
 
 
 CHUNK_SQL = """

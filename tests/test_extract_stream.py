@@ -96,3 +96,38 @@ def test_streams_read_a_folder_of_part_files(spark, tmp_path):
         windows = S.run_available_now(S.windowed_metrics(events), "windows")
         seen.append((sorted(r["event_id"] for r in first.collect()), sorted(tuple(r) for r in windows.collect())))
     assert seen[0] == seen[1] and len(seen[0][0]) > 7 and len(seen[0][1]) > 50
+
+
+def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    rows = [(i, f"doc {i % 60}") for i in range(200)] + [(900, None), (901, "bad"), (902, "bad")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+
+    def factory():
+        import os
+        import uuid
+
+        def engine(doc):
+            with open(os.path.join(str(log), uuid.uuid4().hex), "w") as f:
+                f.write(doc)
+            if doc == "bad":
+                raise RuntimeError("down")
+            return doc.upper()
+        return engine
+
+    def calls():
+        return sorted(p.read_text() for p in log.iterdir())
+
+    ledger, engine = str(tmp_path / "ledger"), X.called(factory, max_attempts=2, workers=3)
+    half = {r.id: r.raw_output for r in X.resumable_extract(df, "text", ledger, engine, waves=5, only=2).collect()}
+    first = calls()
+    assert 0 < len(first) < 62 and len(set(half.values())) > 5 and None in half.values()
+    # a run that died in its third wave has left files without their marker
+    (tmp_path / "ledger" / "wave=2").mkdir()
+    (tmp_path / "ledger" / "wave=2" / "part-0.parquet").write_bytes(b"half")
+    out = {r.id: (r.raw_output, r.error) for r in X.resumable_extract(df, "text", ledger, engine, waves=5).collect()}
+    assert calls() == sorted([f"doc {i}" for i in range(60)] + ["bad"] * 2)
+    assert all(out[i] == (f"DOC {i % 60}", None) for i in range(200)) and out[900] == (None, None) and out[901] == out[902] == ("", "RuntimeError: down")
+    X.resumable_extract(df, "text", ledger, engine, waves=5).collect()
+    assert len(calls()) == 62
