@@ -17,10 +17,11 @@ from ledgerlake.operators.embed import count_vectors, hash_embed, model_embed, s
 from ledgerlake.operators.graph import components
 from ledgerlake.operators.similarity import collisions, nearest
 from ledgerlake.operators.store import KeyedStore
-from ledgerlake.operators.temporal import asof_lookup, ttl_replay
+from ledgerlake.operators.temporal import asof_join, asof_lookup, ttl_replay
 from ledgerlake.plans.q_identity import sql_fp, sql_norm
 from ledgerlake.plans.registry import register
 from ledgerlake.session import ensure_checkpoint_dir, scratch_path
+from ledgerlake.sources.io import roundtrip_parquet
 from ledgerlake.sources.tables import table
 
 THRESHOLD = 0.95
@@ -134,19 +135,22 @@ def q_l2_normalize(spark, sf_dir):
 
 
 @register("cosine_similarity", REUSE_WITH + """,
-ids AS (SELECT DISTINCT doc_id FROM vec),
-dots AS (SELECT a.doc_id AS doc_a, sum(a.w * b.w) AS dot FROM vec a JOIN vec b ON b.doc_id = a.doc_id + 1 AND b.dim = a.dim
-         GROUP BY a.doc_id)
-SELECT i.doc_id AS doc_a, j.doc_id AS doc_b, round(coalesce(dots.dot, 0.0), 6) AS cosine
-FROM ids i JOIN ids j ON j.doc_id = i.doc_id + 1 LEFT JOIN dots ON dots.doc_a = i.doc_id""")
+ids AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS next FROM (SELECT DISTINCT doc_id FROM vec)),
+dots AS (SELECT i.doc_id AS doc_a, sum(a.w * b.w) AS dot FROM ids i JOIN vec a ON a.doc_id = i.doc_id JOIN vec b ON b.doc_id = i.next AND b.dim = a.dim
+         GROUP BY i.doc_id)
+SELECT i.doc_id AS doc_a, i.next AS doc_b, round(coalesce(dots.dot, 0.0), 6) AS cosine
+FROM ids i LEFT JOIN dots ON dots.doc_a = i.doc_id WHERE i.next IS NOT NULL""")
 def q_cosine_similarity(spark, sf_dir):
+    """Every document (that has words) with the next one by id, whatever ids are missing between them."""
     docs = table(spark, sf_dir, "documents")
     v = count_vectors(docs.select("doc_id", T.normalize_text("text").alias("norm")), "doc_id", "norm", name="v")
-    a = v.select(F.col("doc_id").alias("doc_a"), F.col("v").alias("va"))
-    b = v.select(F.col("doc_id").alias("doc_b"), F.col("v").alias("vb"))
-    j = a.join(b, b.doc_b == a.doc_a + 1)
-    return j.select("doc_a", "doc_b", F.round(cosine("va", "vb"), 6).alias("cosine")).filter(
-        F.col("cosine").isNotNull())
+    v = roundtrip_parquet(v, "document-vectors")
+    # the next id is the last one below, counted backwards
+    ids = v.select(F.lit(0).alias("all"), "doc_id", (-F.col("doc_id")).alias("back"), F.lit(0).cast("bigint").alias("seq"))
+    pairs = asof_join(ids.withColumn("back", F.col("back") - 1), ids, ["all"], "back", "seq", ["doc_id"], bucket_seconds=1)
+    pairs = pairs.select(F.col("doc_id").alias("doc_a"), F.col("v_doc_id").alias("doc_b")).where("doc_b IS NOT NULL")
+    j = pairs.join(v.select(F.col("doc_id").alias("doc_a"), F.col("v").alias("va")), "doc_a").join(v.select(F.col("doc_id").alias("doc_b"), F.col("v").alias("vb")), "doc_b")
+    return j.select("doc_a", "doc_b", F.round(cosine("va", "vb"), 6).alias("cosine"))
 
 
 def _numpy_hash_encoder():

@@ -19,7 +19,13 @@ def test_entry_runs(spark):
     assert {r["tag"] for r in rows} == {"baseline", "tuned"}
 
 
-@pytest.mark.parametrize("key", ["exact_dedup", "two_tier_lookup", "score_run", "render_mixed", "seeded_split",
+def test_every_query_of_the_library_builds(spark):
+    from ledgerlake.plans import catalog
+    for key, fn in catalog.queries().items():
+        assert fn(spark, SF001).columns, key
+
+
+@pytest.mark.parametrize("key", ["engine_calls", "read_through_fill", "guard_collision_report", "asof_lookup", "stream_metrics", "batch_extract", "exact_dedup", "two_tier_lookup", "score_run", "render_mixed", "seeded_split",
                                  "format_records", "request_metrics", "cumulative_to_delta"])
 def test_query_matches_oracle_at_smallest_scale(spark, key):
     con = duckdb.connect()
