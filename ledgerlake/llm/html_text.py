@@ -169,6 +169,11 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+#: What a block's text counts for where an element around it is told to be outside the article: by a part of a name, a
+#: whole name, the element itself. A mark around all blocks tells none apart.
+TRUST = {0: 1.0, PART: 0.02, WHOLE: 0.005, SURE: 0.0005}
+
+
 def _ratio(path: list[Block]) -> float:
     """Fused ratio of a path: characters per node, raised by punctuation and lowered by links."""
     chars, nodes = sum(len(b.text) for b in path), len(path)
@@ -177,31 +182,39 @@ def _ratio(path: list[Block]) -> float:
     return chars / nodes * (0.1 + points / nodes) * max(0.0, 1 - linked / chars)
 
 
-def _inside(blocks: list[Block]) -> list[Block]:
-    """Blocks that may be the article's. A part of a name says nothing against an element with most of the page's
-    unlinked text that holds the article's heading or element, or leaves little beside it; if nothing is left, no name does."""
-    seen = [b for b in blocks if all(told < SURE for _, told in b.marks)]
+def _trust(path: list[Block], common: frozenset[int]) -> float:
+    """What the marks around a path (but the ``common`` ones) leave of its ratio."""
+    return min(TRUST[told] for b in path for _, told in ((0, 0), *(m for m in b.marks if m[0] not in common)))
+
+
+def _common(blocks: list[Block]) -> frozenset[int]:
+    """Marked elements that say nothing: those told by a part of a name that hold most of the page's unlinked text, and its
+    heading or article or nearly all of it; those around every block."""
     size: dict[int, int] = defaultdict(int)
     holds: set[int] = set()
-    for b in seen:
+    for b in blocks:
         for serial, told in b.marks:
-            if told == PART:
+            if told < SURE:
                 size[serial] += len(b.text) - b.linked
                 if b.holds and all(t == PART for _, t in b.marks):
                     holds.add(serial)
-    total = sum(len(b.text) - b.linked for b in seen)
-    free = sum(len(b.text) - b.linked for b in seen if not b.marks)
-    wide = {serial for serial, n in size.items() if 2 * n > total and (serial in holds or 4 * free < total)}
-    return [b for b in seen if all(serial in wide for serial, _ in b.marks)] or seen
+    parts = {serial for b in blocks for serial, told in b.marks if told == PART}
+    total = sum(len(b.text) - b.linked for b in blocks if all(told < SURE for _, told in b.marks))
+    free = sum(len(b.text) - b.linked for b in blocks if not b.marks)
+    wide = {serial for serial in parts if 2 * size[serial] > total and (serial in holds or 4 * free < total)}
+    everywhere = set.intersection(*({serial for serial, _ in b.marks} for b in blocks)) if blocks else set()
+    return frozenset(wide | everywhere)
 
 
 def main_text(page: str, spread: float = 1.0, cut: float = 0.25) -> str:
     """The article's text: blocks joined by one space."""
-    blocks = _inside(blocks_of(page))
-    if not blocks:
+    blocks = blocks_of(page)
+    if not blocks or all(told == SURE for b in blocks for told in [max((t for _, t in b.marks), default=0)]):
         return ""
+    common = _common(blocks)
     paths: dict[tuple[str, ...], list[Block]] = defaultdict(list)
-    names = [tuple(label for label, _ in b.path) for b in blocks]
+    # a path is told from another by its labels and by how it is marked
+    names = [(*(label for label, _ in b.path), *(str(told) for serial, told in b.marks if serial not in common)) for b in blocks]
     for name, block in zip(names, blocks, strict=True):
         paths[name].append(block)
     ratio = {name: _ratio(found) for name, found in paths.items()}
@@ -211,7 +224,7 @@ def main_text(page: str, spread: float = 1.0, cut: float = 0.25) -> str:
     for i, name in enumerate(names):
         near = [(kernel[k + 2], ratio[names[i + k]]) for k in range(-2, 3) if 0 <= i + k < len(names)]
         fused[name].append(math.sqrt(ratio[name] * sum(w * v for w, v in near) / sum(w for w, _ in near)))
-    value = {name: sum(v) / len(v) for name, v in fused.items()}
+    value = {name: sum(v) / len(v) * _trust(paths[name], common) for name, v in fused.items()}
     level = cut * sum(value[n] * len(b.text) for n, b in zip(names, blocks, strict=True)) / sum(len(b.text) for b in blocks)
     chosen = {name for name, v in value.items() if v >= level}
 
@@ -226,7 +239,8 @@ def main_text(page: str, spread: float = 1.0, cut: float = 0.25) -> str:
     bare_at = [i for i, (name, b) in enumerate(zip(names, blocks, strict=True)) if not named and name in chosen and _holder(b) not in holders]
     kept = []
     for i, (name, block) in enumerate(zip(names, blocks, strict=True)):
-        held = any(block.path[:k] in holders for k in range(1, len(block.path) + 1))
+        # in the article's element everything is kept, but for marked paths that were not chosen
+        held = any(block.path[:k] in holders for k in range(1, len(block.path) + 1)) and (name in chosen or all(serial in common for serial, _ in block.marks))
         bare = bool(bare_at) and (name in chosen or (_leaf(block) in HEADING and _holder(block) in mass)
                                   or (bare_at[0] < i < bare_at[-1] and 2 * block.linked < len(block.text)))
         if held or bare:

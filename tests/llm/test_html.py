@@ -1,7 +1,15 @@
+import random
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
 import pytest
 
+from ledgerlake.llm import html_text
 from ledgerlake.llm.html_text import extract_pages, main_text
 
+WITHIN = re.compile(r"<article\b[^>]*>(.*)</article>", re.S | re.I)
+
 BODY = "<h1>Big &amp; small</h1><p>First   para, with <b>bo</b>ld &lt;text&gt;.</p>\n<p>Second one,&nbsp;a bit longer; it ends.<ul><li>item one<li>item two</ul><p><b>Open tag.<br><p>Last."
 WANT = "Big & small First para, with bold <text>. Second one, a bit longer; it ends. item one item two Open tag. Last."
 
@@ -30,6 +38,49 @@ def test_names_on_a_wrapper_keep_the_article(page):
     assert main_text(page) == WANT
 
 
+def plain_page(rng, paragraphs):
+    """A page without article elements and without telling names, and its main text."""
+    words = "harbour morning letter window garden river quiet answer bridge table winter market story paper".split()
+
+    def sentence(n):
+        return " ".join(rng.choices(words, k=n)).capitalize() + rng.choice([", and so on.", ".", "; it was.", "!"])
+
+    def links(n):
+        return "".join(f'<li><a href="/{i}">{" ".join(rng.choices(words, k=2))}</a></li>' for i in range(n))
+
+    text = [" ".join(sentence(rng.randint(8, 16)) for _ in range(rng.randint(2, 4))) for _ in range(paragraphs)]
+    bits = "".join(f"<div><span>{w}</span></div>" for w in rng.choices(words, k=12))
+    body = "".join(f"<p>{t}</p>" for t in text)
+    return f"<body><div><ul>{links(9)}</ul></div><div><div>{body}</div></div><div>{bits}</div><div><ul>{links(6)}</ul></div></body>", " ".join(text)
+
+
+def f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    same = sum((a & b).values())
+    return 2 * same / max(sum(a.values()) + sum(b.values()), 1)
+
+
+def test_ratios_decide_where_no_name_does(monkeypatch):
+    rng = random.Random(4)
+    pages = [plain_page(rng, rng.randint(2, 7)) for _ in range(60)]
+    assert all(main_text(page) == want for page, want in pages)
+    monkeypatch.setattr(html_text, "_ratio", lambda path: 1.0)
+    assert sum(main_text(page) == want for page, want in pages) == 0
+
+
+def test_ratios_decide_on_pages(monkeypatch):
+    """Main text against the pages' own article element, with and without the ratios, and with article elements renamed."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = [WITHIN.search(h) for h in pages]
+    known = [(h, m) for h, m in zip(pages, want, strict=True) if m]
+    assert len(known) > 50
+    scores = [f1(main_text(h), main_text("<article>" + m[1] + "</article>")) for h, m in known]
+    assert sum(scores) / len(scores) > 0.97
+    bare = [re.sub(r"(</?)(?:article|main)\b", r"\1div", h) for h, _ in known]
+    scores = [f1(main_text(h), main_text("<article>" + m[1] + "</article>")) for h, (_, m) in zip(bare, known, strict=True)]
+    assert sum(scores) / len(scores) > 0.9
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("<nav>menu</nav>") == "" and main_text("<p") == ""
     assert main_text("just text") == "just text" and main_text("<p>a<!-- unclosed") == "a"
