@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from ledgerlake.operators.evaluate import score_records, score_report, validate_predictions
+from ledgerlake.operators.evaluate import extract_record, score_records, score_report, validate_predictions
 from ledgerlake.operators.invoice import INVOICE
 from ledgerlake.operators.runs import alignment_report, require_aligned, run_report
 
@@ -96,3 +96,14 @@ def test_reports_of_runs_are_kept(spark, tmp_path):
         write_jsonl(run_report(scored, runs), str(tmp_path / "reports"), ["tag"])
     back = {r["tag"]: r for r in spark.read.json(str(tmp_path / "reports")).collect()}
     assert set(back) == {"a", "b"} and back["a"]["model"] == "m1" and back["b"]["model"] is None
+
+
+def test_value_types_are_told_without_printing(spark):
+    df = spark.sql("""SELECT parse_json('{"vendor": "1", "total": 12.50, "tax": true, "subtotal": null, "currency": {"a": 1}, "invoice_date": 20240117, "line_items": [{"quantity": 1e3}, 5]}') AS record""")
+    out = extract_record(df)
+    assert out._jdf.queryExecution().analyzed().toString().count("to_json(") <= 11  # one a field
+    r = out.first()
+    assert [(r[f"f_{f}"]["t"], r[f"f_{f}"]["s"], r[f"f_{f}"]["d"]) for f in ("vendor", "total", "tax", "subtotal", "currency", "invoice_date", "invoice_number")] == [
+        ("STRING", "1", None), ("NUMBER", None, 12.5), ("BOOLEAN", None, 1.0), ("VOID", None, None), ("OBJECT", None, None), ("NUMBER", None, 20240117.0), (None, None, None)]
+    assert r["f_currency"]["j"] == '{"a":1}' and r["f_tax"]["j"] == "true"
+    assert [(i["idx"], i["quantity"]["d"], i["amount"]["t"]) for i in r["items"]] == [(0, 1000.0, None), (1, None, None)]
