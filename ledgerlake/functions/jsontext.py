@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import WHITESPACE_CLASS as _W
+from ledgerlake.functions.text import WHITESPACE_CHARS, once
 
-EDGE_SPACE = rf"^{_W}+|{_W}+$"
 FENCES = rf"^```(?:json)?{_W}*|{_W}*```$"
 
 
@@ -17,12 +17,11 @@ def _col(c) -> Column:
 
 def json_quote(c) -> Column:
     """A string value as a JSON string literal (``null`` for NULL)."""
-    wrapped = F.to_json(F.array(_col(c)))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return once(F.to_json(F.array(_col(c))), lambda wrapped: F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
 
 
 def strip_edges(c) -> Column:
-    return F.regexp_replace(_col(c), EDGE_SPACE, "")
+    return F.btrim(_col(c), F.lit(WHITESPACE_CHARS))
 
 
 def strip_fences(c) -> Column:

@@ -27,7 +27,8 @@ def money(c) -> Column:
 
 def plain_number(c) -> Column:
     """Print a cents value like a Python float: 37.5, 100.0, 3.09."""
-    return F.regexp_replace(_col(c).cast(MONEY).cast("string"), r"(\.\d)0$", "$1")
+    text = _col(c).cast(MONEY).cast("string")
+    return F.when(text.endswith("0"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
 
 
 def currency_symbol(currency) -> Column:

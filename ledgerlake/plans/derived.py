@@ -85,8 +85,8 @@ def _dollar_text(c):
 def predictions(gold: DataFrame) -> DataFrame:
     """Two runs of raw model output per gold invoice: ``baseline`` varies every
     record by id mod 10; ``tuned`` varies only where id mod 20 < 10."""
-    items = F.transform("line_items", item_json)
-    n = F.size("line_items")
+    gold = gold.withColumn("items", F.transform("line_items", item_json))
+    items, n = F.col("items"), F.size("line_items")
     num = {m: plain_number(F.col(m)) for m in ("subtotal", "tax", "total")}
 
     def comp(items_json=items, total=num["total"], money_text=None):
@@ -97,7 +97,8 @@ def predictions(gold: DataFrame) -> DataFrame:
         return completion_text("vendor", "invoice_number", "invoice_date", items_json,
                                num["subtotal"], num["tax"], total, "currency")
 
-    c = comp()
+    gold = gold.withColumn("plain", comp())
+    c = F.col("plain")
     dropped = comp(items_json=F.filter(items, lambda x, i: i < n - 1))
     duplicated = comp(items_json=F.concat(items, F.slice(items, 1, 1)))
     wrong_total = comp(total=plain_number(F.col("total") + F.lit(1)))
@@ -118,7 +119,8 @@ def predictions(gold: DataFrame) -> DataFrame:
               .when(k == 7, duplicated)
               .when(k == 8, as_text)
               .otherwise(F.lit(NO_JSON)))
-    tuned = F.when(F.pmod(F.col("id"), F.lit(20)) < 10, varied).otherwise(c)
-    runs = F.array(F.struct(F.lit("baseline").alias("tag"), varied.alias("prediction")),
+    gold = gold.withColumn("varied", varied)
+    tuned = F.when(F.pmod(F.col("id"), F.lit(20)) < 10, F.col("varied")).otherwise(c)
+    runs = F.array(F.struct(F.lit("baseline").alias("tag"), F.col("varied").alias("prediction")),
                    F.struct(F.lit("tuned").alias("tag"), tuned.alias("prediction")))
     return gold.select("id", F.explode(runs).alias("r")).select("r.tag", "id", "r.prediction")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,37 @@ def test_every_code_point_folds_as_the_language_folds_it(spark):
 def test_folding_in_context(spark):
     words = ["ΟΔΥΣΣΕΥΣ", "ὈΔΥΣΣΕΎΣ.", "Straße STRASSE ẞ", "ﬁne ﬄuent", "İstanbul", "ſmall", "Ꭰꭰ", "ŉ", "plain", "", "日本"]
     assert one(spark, T.casefold, *words) == [w.casefold() for w in words] and one(spark, T.casefold, None) == [None]
+
+
+def test_values_are_worked_out_once_inside_lambdas(spark):
+    """Scoring tags run in lambdas, where no common expression is shared: every repeated part is repeated work."""
+    from ledgerlake.functions.jsontext import json_quote
+    from ledgerlake.functions.values import string_tag
+    from ledgerlake.operators.evaluate import _entry
+
+    df = spark.createDataFrame([("x",)], "x string")
+    plan = df.select(_entry(F.lit("p"), string_tag("x")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") <= 6 and plan.count("RLIKE") <= 7
+    assert df.select(json_quote("x"))._jdf.queryExecution().analyzed().toString().count("to_json(") <= 2  # with its name
+
+
+def test_tags_and_quotes_keep_their_results(spark):
+    from ledgerlake.functions.jsontext import json_quote, strip_edges
+    from ledgerlake.functions.money import plain_number
+    from ledgerlake.functions.text import WHITESPACE_CHARS, WHITESPACE_CLASS
+    from ledgerlake.functions.values import number_tag, string_tag
+
+    texts = {"$1,240.50": "n:1240.50", ",$5": "n:5.00", "CA$ 7": "n:7.00", "$CA$8": "n:8.00", "C,A$9": "n:9.00", "€£3": "n:3.00", "$x, Y": "s:$x, y",
+             " Acme,  Co": "s:acme, co", "NaN": "x:nan", "-inf": "n:-inf", "": "s:", "1_0": "n:10.00", "1e30": "n:" + "1" + "0" * 30 + ".00", "A$5": "s:a$5", "$": "s:$"}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "x string")
+    assert {r[0]: r[1] for r in df.select("x", string_tag("x")).collect()} == {**texts, None: None}
+    assert df.select(json_quote("x").alias("q")).where("q = 'null'").count() == 1
+    space = [chr(c) for c in range(0x3001) if re.fullmatch(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WHITESPACE_CLASS), chr(c))]
+    assert sorted(WHITESPACE_CHARS) == space
+    edges = [(w + "a" + w + "b" + w, "a" + w + "b") for w in space] + [("".join(space), "")]
+    got = spark.createDataFrame(edges, "x string, want string").select(strip_edges("x").alias("x"), "want")
+    assert got.where("x <> want").count() == 0
+    cents = spark.sql("SELECT explode(array(0.00, 0.10, -0.10, 100.00, 3.09, 10.50, NULL)) AS c")
+    assert [r[0] for r in cents.select(plain_number("c")).collect()] == ["0.0", "0.1", "-0.1", "100.0", "3.09", "10.5", None]
+    numbers = spark.createDataFrame([(1.005,), (1e40,), (float("inf"),), (None,)], "d double")
+    assert [r[0] for r in numbers.select(number_tag("d")).collect()] == ["n:1.01", "n:1.0E40", "n:inf", None]
