@@ -8,7 +8,7 @@ from ledgerlake.functions.text import normalize_text
 from ledgerlake.operators import reuse as R
 from ledgerlake.operators.embed import hash_embed, slot_counts
 from ledgerlake.operators.graph import components
-from ledgerlake.operators.similarity import Boxes, collisions, fit_boxes, nearest, pairs_above
+from ledgerlake.operators.similarity import Boxes, collision_pairs, collisions, fit_boxes, nearest, pairs_above
 
 # A delivery note, the same in other writing, with a remark, and one of another load.
 NOTE = "Delivery note 5512 from Harbour Timber: nine pallets of oak boards, 14 bundles of lath, gross 2310 kg, berth 6"
@@ -208,6 +208,20 @@ def test_collisions_as_classes(spark):
     assert len(set(same.values())) == len(same) and links.count() < 5 * len(rows)
 
 
+def test_collision_pairs_lists_every_pair(spark):
+    rng = np.random.default_rng(29)
+    mat, _ = _families(rng, 200)
+    tags = [None if i % 50 == 0 else str(int(t)) for i, t in enumerate(rng.integers(0, 4, 200))]
+    rows = [(i, [float(x) for x in mat[i]], tags[i]) for i in range(200)]
+    rows += [(200 + i, rows[11][1], rows[11][2]) for i in range(9)] + [(300 + i, rows[11][1], "other") for i in range(7)]
+    got = collision_pairs(spark.createDataFrame(rows, "id long, v array<double>, tag string"), "id", "v", "tag", 0.98, block_rows=16).collect()
+    unit = np.array([r[1] for r in rows])
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit @ unit.T, 9)
+    want = {(x[0], y[0]): sims[i, j] for i, x in enumerate(rows) for j, y in enumerate(rows) if x[0] < y[0] and sims[i, j] >= 0.98 and x[2] != y[2]}
+    assert len(got) == len(want) > 63 and all(abs(want[r["a"], r["b"]] - r["similarity"]) < 1e-8 for r in got)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, j) for j in range(6, 40)] + [(200, 200), (300, 301)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
