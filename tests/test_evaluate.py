@@ -107,3 +107,25 @@ def test_value_types_are_told_without_printing(spark):
         ("STRING", "1", None), ("NUMBER", None, 12.5), ("BOOLEAN", None, 1.0), ("VOID", None, None), ("OBJECT", None, None), ("NUMBER", None, 20240117.0), (None, None, None)]
     assert r["f_currency"]["j"] == '{"a":1}' and r["f_tax"]["j"] == "true"
     assert [(i["idx"], i["quantity"]["d"], i["amount"]["t"]) for i in r["items"]] == [(0, 1000.0, None), (1, None, None)]
+
+
+def test_entries_meet_once_and_types_are_compared_plainly(spark):
+    scored = score_records(answers(spark, [("t", 0, json.dumps(GOLD))]), targets(spark, 1), ["t"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+    assert " IN (" not in plan  # lists of types, searched for every value
+    assert [r["tp"] for r in scored.collect()] == [15]
+
+
+def test_invoices_of_stored_runs_are_assembled_once(spark, monkeypatch, tmp_path):
+    from ledgerlake.plans import q_evaluate as Q
+
+    asked, made_from, (gold_of, answers_of) = [], [], (Q.gold_invoices, Q.predictions)
+    monkeypatch.setattr(Q, "_STORED", {})
+    monkeypatch.setattr(Q, "gold_invoices", lambda *a: asked.append(a) or gold_of(*a))
+    monkeypatch.setattr(Q, "predictions", lambda gold: made_from.extend(gold.inputFiles()) or answers_of(gold))
+    sf = "/root/testdata/sf0.001"
+    preds, gold = Q.stored_runs(spark, sf)
+    assert len(asked) == 1 and made_from and not any("lineitem" in f for f in made_from)
+    want = answers_of(gold_of(spark, sf))
+    assert preds.count() == want.count() == 2 * gold.count() and not preds.exceptAll(want).count()
