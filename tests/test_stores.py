@@ -81,3 +81,13 @@ def test_sketches_keep_their_rank_error_and_merge(spark):
                 break
     few = spark.createDataFrame([("a", float(i)) for i in range(100)], "g string, x double")
     assert sketch_by(few, ["g"], "x").select(sketch_quantile("sketch", 0.5).alias("q")).first().q in (49.0, 50.0)
+
+
+def test_json_lines_are_written_compressed(spark, tmp_path):
+    from ledgerlake.sources.io import read_jsonl, write_jsonl
+    rows = spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, repeat('invoice line ', 20)) AS text")
+    write_jsonl(rows, str(tmp_path / "lines"))
+    parts = [p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]
+    assert parts and sum(p.stat().st_size for p in parts) < 5000 * 100
+    back = read_jsonl(spark, str(tmp_path / "lines"), rows.schema)
+    assert back.count() == 5000 and not back.exceptAll(rows).count()
