@@ -55,8 +55,9 @@ SELECT CAST(count(*) AS BIGINT) AS engine_calls,
        CAST(count(DISTINCT p.exact_key) AS BIGINT) AS distinct_keys
 FROM outcomes o JOIN probes p USING (probe_id) WHERE o.outcome IN ('miss', 'guard_rejected')""")
 def q_engine_calls(spark, sf_dir):
-    probes = QR._probes(QR._docs(spark, sf_dir))
-    out = QR._lookup(spark, sf_dir, threshold=QR.THRESHOLD)
+    rows = QR._described(spark, sf_dir)
+    probes = QR._probes(rows)
+    out = QR._lookup(spark, sf_dir, rows, threshold=QR.THRESHOLD)
     missed = out.filter(F.col("outcome").isin("miss", "guard_rejected")).join(
         probes.select("probe_id", "exact_key"), "probe_id")
     return missed.agg(F.count(F.lit(1)).alias("engine_calls"),
@@ -74,9 +75,9 @@ SELECT exact_key, answer, 'stored' AS origin FROM store WHERE exact_key NOT IN (
 UNION ALL SELECT exact_key, answer, 'filled' FROM filled""")
 def q_read_through_fill(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    keyed = QR._docs(spark, sf_dir)
-    probes, store = QR._probes(keyed), QR._store(keyed)
-    out = QR._lookup(spark, sf_dir, threshold=QR.THRESHOLD)
+    rows = QR._described(spark, sf_dir)
+    probes, store = QR._probes(rows), QR._store(rows)
+    out = QR._lookup(spark, sf_dir, rows, threshold=QR.THRESHOLD)
     # One engine call per distinct missing key (lowest probe id's text).
     missed = (out.filter(F.col("outcome").isin("miss", "guard_rejected"))
               .join(probes.select("probe_id", "exact_key"), "probe_id")
