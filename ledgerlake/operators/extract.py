@@ -6,6 +6,7 @@ lookup table); Spark partitions the documents and builds one engine per task.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +21,8 @@ FALLBACK = ('{"vendor":"Mock Vendor Inc.","invoice_number":"INV-0000-00000","inv
             '"line_items":[],"subtotal":0.0,"tax":0.0,"total":0.0,"currency":"USD"}')
 CHUNK_SIZE = 16
 MAX_ATTEMPTS = 3
+# What one task sorts of cumulative texts, about, and what a row takes besides its text.
+TASK_BYTES, ROW_BYTES = 256 << 20, 64
 
 
 def batch_extract(df: DataFrame, text_col: str, engine_factory: Callable[[], Callable[[str], str]],
@@ -177,7 +180,14 @@ def reassemble(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def cumulative_to_delta(steps: DataFrame, keys: list[str], step_col: str = "step",
                         text_col: str = "cumulative") -> DataFrame:
     """Cumulative text per step -> only the newly generated text; steps that
-    did not grow emit nothing."""
+    did not grow emit nothing.
+
+    Cumulative texts grow with the square of a text, and shrink so well in a shuffle that partitions sized by it are
+    far larger in memory; so the steps are measured first and dealt by key to tasks of about TASK_BYTES.
+    """
+    size = steps.agg(F.sum(F.octet_length(text_col) + ROW_BYTES)).first()[0] or 0
+    parts = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    steps = steps.repartition(parts, *keys)
     w = Window.partitionBy(*keys).orderBy(step_col).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.coalesce(F.max(F.length(text_col)).over(w), F.lit(0))
     out = steps.withColumn("_prev", prev)
