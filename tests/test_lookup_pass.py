@@ -15,7 +15,7 @@ def test_word_counts_are_slot_counts_without_a_shuffle(spark):
     rows = [(1, "a b b c"), (2, ""), (3, None), (4, "ß  Ünï x"), (4, "x y")]
     norm = spark.createDataFrame(rows, "id int, text string").select("id", T.normalize_text("text").alias("norm"))
     assert "Exchange" not in _plan(embed.word_counts(norm, "norm"))
-    got = {(r.id, d): c for r in embed.count_vectors(norm, "id", "norm").collect() for d, c in enumerate(r.embedding) if c}
+    got = {(r.id, d): c for r in embed.summed(embed.word_counts(norm, "norm"), "id", "words").collect() for d, c in enumerate(r.embedding) if c}
     assert got == {(r.id, r.dim): float(r.c) for r in embed.slot_counts(norm, "id", "norm").collect()}
 
 
