@@ -7,12 +7,20 @@ many small groups, and only its bucket summaries stand in one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.session import scratch_path
 
 BUCKET_SECONDS = 3600
+#: Events of a key that one task may walk in order, a batch at a time; keys with more are replayed by pointers.
+WALKED_ROWS = 1_000_000
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -71,15 +79,72 @@ def asof_lookup(reads: DataFrame, writes: DataFrame, keys: list[str], at: str, s
 
 
 def first_sights(events: DataFrame, keys: list[str], at: str, seq: str, ttl_seconds: int, anchors: DataFrame | None = None,
-                 max_rounds: int = 64) -> DataFrame:
+                 max_rounds: int = 64, walked_rows: int = WALKED_ROWS) -> DataFrame:
     """Those ``events`` that are first sights: the first of a key, and each first one at or after the last sight + ttl.
 
-    ``anchors`` (keys, at) are last sights from before. Every event points to the first event of its key that is a ttl
-    or more later; sights are what can be reached from the start by such steps. Each round follows pointers twice as long,
-    so the rounds grow with the logarithm of the number of sights of a key, and no task walks a key. ``seq``
-    tells events of one time apart; rows that repeat a (time, seq) of a key are one event. Null keys and times are no
-    events.
+    ``anchors`` (keys, at) are last sights from before. ``seq`` tells events of one time apart; rows that repeat a (time,
+    seq) of a key are one event. Null keys and times are no events. Keys of up to ``walked_rows`` events are dealt to tasks
+    and walked in order, in one shuffle; the others (and those with events without seq, or with several anchors)
+    are replayed by pointers, so that no task walks a key of any size.
     """
+    simple = (T.StringType, T.IntegralType, T.BooleanType, T.DateType, T.TimestampType)
+    if walked_rows < 1 or not all(isinstance(events.schema[k].dataType, simple) for k in keys):
+        return _sights_by_pointers(events, keys, at, seq, ttl_seconds, anchors, max_rounds)
+    named = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    events = events.where(f"{named} AND `{at}` IS NOT NULL")
+    n, known = F.count(F.lit(1)), None
+    apart = events.groupBy(*keys).agg(n.alias("n"), F.count(F.col(seq).cast("long")).alias("told")).where(f"n > {walked_rows} OR told < n").select(*keys)
+    if anchors is not None:
+        known = anchors.where(named).select(*[F.col(k).cast(events.schema[k].dataType) for k in keys], at)
+        apart = apart.unionByName(known.groupBy(*keys).agg(n.alias("n"), F.count(at).alias("told")).where("n > 1 OR told < n").select(*keys)).distinct()
+    apart = _written(apart, "sight-keys")
+    if not apart.take(1):
+        return _sights_by_walk(events, keys, at, seq, ttl_seconds, known)
+    few, many = ((events.join(apart, keys, how).select(*events.columns), None if known is None else known.join(apart, keys, how)) for how in ("left_anti", "left_semi"))
+    walked = _sights_by_walk(few[0], keys, at, seq, ttl_seconds, few[1])
+    return walked.unionByName(_sights_by_pointers(many[0], keys, at, seq, ttl_seconds, many[1], max_rounds))
+
+
+def _sights_by_walk(events: DataFrame, keys: list[str], at: str, seq: str, ttl_seconds: int, anchors: DataFrame | None) -> DataFrame:
+    """``first_sights`` of keys whose events have a seq and that have one anchor at most: a walk over sorted rows, of which a
+    task holds a batch."""
+    ttl, columns, schema = ttl_seconds * 1_000_000, events.columns, events.schema
+    rows = events.select(*columns, F.lit(True).alias("_event"), F.unix_micros(at).alias("_t"), F.col(seq).cast("long").alias("_s"))
+    if anchors is not None:
+        none = [F.col(c) if c in keys else F.lit(None).cast(schema[c].dataType).alias(c) for c in columns]
+        old = anchors.withColumn("_t", F.unix_micros(at))
+        rows = rows.unionByName(old.select(*none, F.lit(False).alias("_event"), "_t", F.lit(None).cast("long").alias("_s")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = anchor = sight = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [batch.column(k) for k in keys]
+            fresh = np.zeros(batch.num_rows, bool)
+            for c in held:
+                fresh[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            fresh[0] = last != [c[0].as_py() for c in held]
+            last = [c[len(c) - 1].as_py() for c in held]
+            keep = []
+            for new, event, t, s in zip(fresh.tolist(), *[batch.column(c).to_pylist() for c in ("_event", "_t", "_s")], strict=True):
+                if new:
+                    anchor = sight = None
+                if not event:
+                    anchor = t
+                elif anchor is None or t >= anchor + ttl:
+                    anchor, sight = t, (t, s)
+                keep.append(event and sight == (t, s))
+            at_ = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at_) for c in columns], names=columns)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_event", "_t", "_s").mapInArrow(run, schema)
+
+
+def _sights_by_pointers(events: DataFrame, keys: list[str], at: str, seq: str, ttl_seconds: int, anchors: DataFrame | None, max_rounds: int) -> DataFrame:
+    """``first_sights`` without a walk: every event points to the first event of its key that is a ttl or more later, and
+    sights are what can be reached from the start by such steps. Each round follows pointers twice as long, so the
+    rounds grow with the logarithm of the number of sights of a key."""
     ttl = ttl_seconds * 1_000_000
     key = F.struct(*keys)
     nodes = events.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, at])).select(key.alias("k"), F.unix_micros(at).alias("t"), F.col(seq).cast("long").alias("s")).distinct()

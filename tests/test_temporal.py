@@ -69,3 +69,21 @@ def test_sights_go_on_from_anchors(spark):
     two = first_sights(spark.createDataFrame(late, SCHEMA), ["key"], "ts", "id", 1_500, anchors)
     assert {r["id"] for r in one.collect()} | {r["id"] for r in two.collect()} == sights
     assert first_sights(spark.createDataFrame([], SCHEMA), ["key"], "ts", "id", 60).count() == 0
+
+
+def test_walked_and_pointed_sights_are_the_same(spark):
+    """Keys are walked where they are small; large ones, and odd rows, go by pointers. Events that come twice stay twice."""
+    rng = random.Random(5)
+    rows = events(rng, 300, ["a", "b", "c"], 25_000)
+    rows += rows[:40] + [("a", at(9), None, 1), ("z", at(1), 3, 1), ("z", at(1), 2, 1), (None, at(3), 7000, 0), ("a", None, 7001, 0)]
+    told = spark.createDataFrame(rows, SCHEMA)
+    anchors = spark.createDataFrame([("b", at(100)), ("c", at(5)), ("c", at(900)), ("q", at(3)), (None, at(1))], "key string, ts timestamp")
+    for old in (None, anchors):
+        all_pointed, mixed, walked = (sorted(map(str, first_sights(told, ["key"], "ts", "id", 700, old, walked_rows=n).collect())) for n in (0, 90, 10**6))
+        assert all_pointed == mixed == walked and len(walked) > 40
+
+
+def test_small_keys_are_walked_after_one_shuffle(spark):
+    told = spark.createDataFrame([("a", at(1), 1, 0), ("a", at(5), 2, 0), ("b", at(5), 3, 0)], SCHEMA)
+    plan = first_sights(told, ["key"], "ts", "id", 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
