@@ -59,3 +59,14 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert status.shuffleStatuses().size() <= held and spark.conf.get(name, None) == before and os.path.isdir(tmp_path / "dropped")
+
+
+def test_numbers_and_paths_are_read_as_before(spark):
+    items = [{"amount": i} for i in range(E.WRITTEN_PATHS + 2)]
+    texts = ['{"total":1e400,"tax":-1e400,"subtotal":1e3,"vendor":123456789012345678901234567890123456789012,"currency":-0.0,"invoice_number":9007199254740993,"invoice_date":0.12499999999999999999999}',
+             '{"total":true,"tax":null,"subtotal":{"a":[1.50]},"vendor":["x"],"currency":"\\u20ac 1.50"}', json.dumps({"line_items": items})]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, prediction string")
+    got = [r["e"] for r in E.validate_predictions(df).select("id", E.flatten_extracted().alias("e")).orderBy("id").collect()]
+    assert got[0] == ["vendor=n:1.2345678901234568E41", "invoice_number=n:9007199254740992.00", "invoice_date=n:0.13", "subtotal=n:1000.00", "tax=n:-inf", "total=n:inf", "currency=n:0.00"]
+    assert got[1] == ['vendor=s:["x"]', 'subtotal=s:{"a":[1.5]}', "total=b:true", "currency=n:1.50"]
+    assert got[2] == [f"line_items[{i}].amount=n:{i}.00" for i in range(len(items))]
